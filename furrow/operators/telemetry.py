@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from furrow.functions.stats import normal_cdf, normal_pdf
 from furrow.functions.text import bytes_to_kb, job_code, wall_clock, whole_seconds
@@ -390,7 +391,7 @@ def _leaves(node, path: str = ""):
         yield {"path": path, "value": node if isinstance(node, str) else json.dumps(node)}
 
 
-@F.pandas_udf("array<struct<path:string,value:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
 def json_leaves(documents: pd.Series) -> pd.Series:
     # the depth is not known beforehand, which the built-in JSON functions need
     return documents.map(lambda d: [] if d is None else list(_leaves(json.loads(d))))

@@ -221,8 +221,10 @@ def mutual_matches(near: DataFrame, near_back: DataFrame, shown: int = SHOWN_MAT
     return there.join(back, ["group_key", "kp", "target_kp"]).orderBy("dist", "kp").limit(shown)
 
 
-def match_points(matches: DataFrame, keypoints: DataFrame) -> DataFrame:
-    """Coordinates of both ends of each match; ``keypoints`` holds group, kp, x, y."""
-    source = keypoints.select("group_key", "kp", F.col("x").alias("xs"), F.col("y").alias("ys"))
-    target = keypoints.select("group_key", F.col("kp").alias("target_kp"), F.col("x").alias("xd"), F.col("y").alias("yd"))
-    return matches.join(source, ["group_key", "kp"]).join(target, ["group_key", "target_kp"])
+def match_points(matches: DataFrame, keypoints: DataFrame, target_band: int) -> DataFrame:
+    """Coordinates of both ends of each match; keypoint numbers count per band."""
+    source = keypoints.select("group_key", "band", "kp", F.col("x").alias("xs"), F.col("y").alias("ys"))
+    target = keypoints.where(F.col("band") == target_band).select(
+        "group_key", F.col("kp").alias("target_kp"), F.col("x").alias("xd"), F.col("y").alias("yd")
+    )
+    return matches.join(source, ["group_key", "band", "kp"]).join(target, ["group_key", "target_kp"])

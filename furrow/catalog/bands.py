@@ -122,11 +122,11 @@ def _(spark, sf):
     return B.back_projection(_points(spark, sf), homographies(spark, sf)).withColumn("bp_error", F.round("bp_error", 4))
 
 
-@query("x06_decomposed", sql("""select group_key, band, round(h2, 6) as shift_x, round(h5, 6) as shift_y, round(atan2(h1, h0), 6) as theta,
+@query("x06_decomposed", sql("""select group_key, band, round(h2, 9) as shift_x, round(h5, 9) as shift_y, round(atan2(h1, h0), 6) as theta,
     round(sqrt(h0 * h0 + h1 * h1), 6) as scale_x, round((h0 * h4 - h1 * h3) / sqrt(h0 * h0 + h1 * h1), 6) as scale_y,
     round((h0 * h3 + h1 * h4) / (h0 * h4 - h1 * h3), 6) as shear from hom""", "hom"))
 def _(spark, sf):
-    parts = {name: F.round(c, 6).alias(name) for name, c in decompose(F.col("h")).items()}
+    parts = {name: F.round(c, 9 if "shift" in name else 6).alias(name) for name, c in decompose(F.col("h")).items()}
     return homographies(spark, sf).select("group_key", "band", *parts.values())
 
 
@@ -167,11 +167,11 @@ def _(spark, sf):
 def _corner_points(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
-        F.col("l_quantity").alias("x"), F.round(F.col("l_extendedprice") / 1000.0, 2).alias("y"),
+        F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000.0).alias("y"),
     )
 
 
-CORNER_SQL = """with p as (select l_orderkey, l_quantity as x, round(l_extendedprice / 1000.0::DOUBLE, 2) as y,
+CORNER_SQL = """with p as (select l_orderkey, l_quantity as x, l_extendedprice / 1000.0::DOUBLE as y,
     row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos from lineitem),
   c as (select l_orderkey, first(x order by x + y, pos) as tlx, first(y order by x + y, pos) as tly,
     first(x order by y - x, pos) as trx, first(y order by y - x, pos) as try_, first(x order by x + y desc, pos) as brx,

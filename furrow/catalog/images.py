@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.catalog.registry import CORNERS, HEIGHT, WIDTH, grey, inside_sql, query, sql, table
 from furrow.functions import colour
+from furrow.operators import bands as B
 from furrow.operators import histograms as H
 from furrow.operators import images as I
 from furrow.operators import pixels as P
@@ -400,9 +401,8 @@ def _(spark, sf):
     return P.warp(px, turned, WIDTH, HEIGHT).withColumn("v", F.round("v", 6))
 
 
-def planes(spark, sf) -> DataFrame:
-    """Each grey image as one byte row, enlarged 8 times (a 64 x 64 picture)."""
-    scaled = 8
+def planes(spark, sf, scaled: int = 8) -> DataFrame:
+    """Each grey image as one byte row, enlarged ``scaled`` times (8: a 64 x 64 picture)."""
     e = grey(spark, sf)
     line = e.groupBy("image_id", "y").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: F.repeat(F.lpad(F.hex(s["v"]), 2, "0"), scaled)), "").alias("row")
@@ -423,10 +423,9 @@ def _(spark, sf):
     return I.blobs_of_planes(planes(spark, sf)).select("image_id", "n_blobs")
 
 
-@query("g11_png_round_trip", sql("""select g.image_id, (g.y * 8 + a)::INT as y, (g.x * 8 + b)::INT as x, g.v from grey g,
-    (select unnest(range(8)) as a), (select unnest(range(8)) as b)""", "grey"))
+@query("g11_png_round_trip", sql("select * from grey", "grey"))
 def _(spark, sf):
-    files = I.grey_to_png(planes(spark, sf), "image_id", "BIGINT")
+    files = I.grey_to_png(planes(spark, sf, 1), "image_id", "BIGINT")
     return _unpacked(I.decode_grey(files, "image_id", "BIGINT"), 255.0)
 
 
@@ -446,3 +445,38 @@ def _(spark, sf):
     rows = e.groupBy("image_id").agg(F.unhex(text).alias("data")).withColumns({"height": F.lit(HEIGHT), "width": F.lit(WIDTH)})
     files = I.grey_to_png(rows, "image_id", "BIGINT", 16)
     return _unpacked(I.decode_grey(files, "image_id", "BIGINT"), 65535.0)
+
+
+def _band_images(spark, sf) -> DataFrame:
+    """Five consecutive images as the bands of a group, values in 0..1."""
+    pixel = grey(spark, sf).withColumn("at", F.struct("y", "x", "v"))
+    plane = pixel.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda s: s["v"] / F.lit(255.0)).alias("v"))
+    group, band = F.floor(F.col("image_id") / 5).cast("string"), (F.col("image_id") % 5 + 1).cast("int")
+    return plane.select(
+        group.alias("group_key"), band.alias("band"), F.concat_ws("_", group, band.cast("string")).alias("name"),
+        F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "v",
+    )
+
+
+@query("g10_registration_products", sql("""select 'IMG_' || g || '_' || b as name, y, x, v::INT as value from moved union all
+    select 'IMG_' || g || '_NDVI', y, x, coalesce(greatest(round_even((n.v - r.v) / nullif(n.v + r.v, 0)::DOUBLE * 255, 0), 0), 0)::INT
+      from moved r join moved n using (g, y, x) where r.b = 3 and n.b = 4 union all
+    select 'IMG_' || g || '_RGB_CROPPED', y - 1, (x - 1) * 3 + 3 - b, v::INT from moved where b <= 3 and x between 1 and 6 and y between 1 and 6
+    """, "grey").replace("\nselect 'IMG_'", """,
+bnd as (select (image_id // 5)::VARCHAR as g, (image_id % 5 + 1)::INT as b, y, x, v from grey),
+moved as (select o.g, o.b, o.y, o.x, coalesce(s.v, 0) as v from bnd o left join bnd s on s.g = o.g and s.b = o.b
+    and s.x = o.x - (o.b = 2)::INT and s.y = o.y + (o.b = 5)::INT)
+select 'IMG_'""", 1))
+def _(spark, sf):
+    """Band 2 moves one pixel to the right and band 5 one up, so one pixel is cropped all round."""
+    bands = _band_images(spark, sf)
+    b = F.col("band")
+    h = F.array(*[F.lit(v) for v in (1.0, 0.0)], (b == 2).cast("double"), *[F.lit(v) for v in (0.0, 1.0)], -(b == 5).cast("double"),
+                *[F.lit(v) for v in (0.0, 0.0, 1.0)])
+    homographies = bands.select("group_key", "band", h.alias("h"))
+    boxes = B.crop_box(homographies, WIDTH, HEIGHT)
+    files = I.registration_products(bands, homographies, boxes).where(~F.col("name").endswith("_RGB"))
+    cell = I.decode_any(files, "name", "STRING").select("name", "width", F.posexplode("samples").alias("pos", "value"))
+    return cell.select(
+        "name", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).alias("x"), "value"
+    )

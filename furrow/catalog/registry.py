@@ -178,7 +178,7 @@ VIEWS = {
     "sound": "select y.* from yellow y join score c using (image_id) where c.score < 0.2",
     "ev": f"""select (case user_id % 4 when 0 then '{APP_PREFIXES[0]}' when 1 then '{APP_PREFIXES[1]}' when 2 then '{APP_PREFIXES[2]}'
         else '{APP_PREFIXES[3]}' end) || user_id as app, {mapped_sql("event_type", EVENT_NAMES)} as event,
-        epoch_ms(ts) as ts_ms, event_id from events""",
+        (epoch_us(ts) // 1000)::BIGINT as ts_ms, event_id from events""",
     "kept": f"select * from ev where event in ('{APP_START}', '{EXECUTOR_ADDED}', '{EXECUTOR_REMOVED}', '{APP_END}')",
     "segs": f"""select *, sum(case when event in ('{APP_START}', '{APP_END}') then 1 else 0 end)
         over (partition by app order by ts_ms, event_id rows unbounded preceding) as seg from kept""",
@@ -187,7 +187,7 @@ VIEWS = {
           over (partition by app, seg order by ts_ms, event_id rows unbounded preceding))::BIGINT as executors,
         lead(event) over (partition by app order by ts_ms, event_id) as next_event,
         lead(ts_ms) over (partition by app order by ts_ms, event_id) as next_ms from segs""",
-    "mem": f"""select epoch(ts)::BIGINT as ts_any, floor(epoch_us(ts) / 1000000)::BIGINT as ts, 'h' || (user_id % 11) as host,
+    "mem": f"""select floor(epoch_us(ts) / 1000000)::BIGINT as ts, 'h' || (user_id % 11) as host,
         {mapped_sql("event_type", MEMORY_METRICS)} as metric, value from events""",
     "cpu": f"""select floor(epoch_us(ts) / 1000000)::BIGINT as ts, 'h' || (user_id % 11) as host,
         {mapped_sql("event_type", CPU_METRICS)} as metric, value from events""",

@@ -157,6 +157,7 @@ def nearest_two(descriptors: DataFrame, target_band: int, block_rows: int = BLOC
     counts = query.groupBy("group_key", "band").agg(blocks("q")).join(n_target, "group_key")
     left = _blocked(query, counts, ["group_key", "band"], "q", "t")
     right = _blocked(target, counts, ["group_key"], "t", "q")
+    right = right.toDF(*right.columns)  # fresh columns: both sides come from one table
     keys = ["group_key", "band", "_q", "_t"]
     schema = "group_key STRING, band INT, kp BIGINT, target_kp BIGINT, dist DOUBLE"
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_pair, schema)

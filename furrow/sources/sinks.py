@@ -17,9 +17,13 @@ def tab_separated(result: DataFrame, folder: str) -> None:
     result.write.mode("overwrite").option("sep", "\t").csv(folder)
 
 
+def json_lines(result: DataFrame) -> DataFrame:
+    """One JSON text per row, keys in sorted order."""
+    return result.select(F.to_json(F.struct(*sorted(result.columns))).alias("line"))
+
+
 def sorted_json(result: DataFrame, folder: str) -> None:
-    """JSON lines with keys in sorted order."""
-    result.select(*sorted(result.columns)).write.mode("overwrite").json(folder)
+    json_lines(result).write.mode("overwrite").text(folder)
 
 
 def save_records(records: DataFrame, folder: str) -> None:

@@ -104,7 +104,8 @@ def _(spark, sf):
 @query("x11_best_lag", sql("select image_id, lag::INT as lag from lagged", "lagged"))
 def _(spark, sf):
     h = hists(spark, sf)
-    return h.withColumn("ref", H.first_histogram(h)).select("image_id", H.best_lag("hist", "ref").alias("lag"))
+    _, reference = H.first_histogram(h)
+    return h.select("image_id", H.best_lag_to(F.col("hist"), reference).alias("lag"))
 
 
 @query("x12_shift_threshold", sql(
@@ -120,8 +121,8 @@ def _(spark, sf):
     "select image_id, ref_lag::INT as ref_lag, (select sum(n) from ref)::BIGINT as ref_pixels from lagged, reflag", "lagged", "reflag"))
 def _(spark, sf):
     h = hists(spark, sf)
-    pixels = F.aggregate("ref", F.lit(0).cast("long"), lambda s, x: s + x)
-    return H.shifts(h).withColumn("ref", H.first_histogram(h)).select("image_id", "ref_lag", pixels.alias("ref_pixels"))
+    _, reference = H.first_histogram(h)
+    return H.shifts(h).select("image_id", "ref_lag", F.lit(sum(reference)).cast("long").alias("ref_pixels"))
 
 
 @query("a06_flower_pixels", sql("select image_id, shift::INT as shift, n_yellow from yellow", "yellow"))
@@ -448,9 +449,9 @@ def _(spark, sf):
 
 
 def _band_images(spark, sf) -> DataFrame:
-    """Five consecutive images as the bands of a group, values in 0..1."""
+    """Five consecutive images as the bands of a group, values in 0..1 (exact binary fractions)."""
     pixel = grey(spark, sf).withColumn("at", F.struct("y", "x", "v"))
-    plane = pixel.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda s: s["v"] / F.lit(255.0)).alias("v"))
+    plane = pixel.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda s: s["v"] / F.lit(256.0)).alias("v"))
     group, band = F.floor(F.col("image_id") / 5).cast("string"), (F.col("image_id") % 5 + 1).cast("int")
     return plane.select(
         group.alias("group_key"), band.alias("band"), F.concat_ws("_", group, band.cast("string")).alias("name"),
@@ -458,10 +459,10 @@ def _band_images(spark, sf) -> DataFrame:
     )
 
 
-@query("g10_registration_products", sql("""select 'IMG_' || g || '_' || b as name, y, x, v::INT as value from moved union all
+@query("g10_registration_products", sql("""select 'IMG_' || g || '_' || b as name, y, x, round_even(v / 256.0::DOUBLE * 255, 0)::INT as value from moved union all
     select 'IMG_' || g || '_NDVI', y, x, coalesce(greatest(round_even((n.v - r.v) / nullif(n.v + r.v, 0)::DOUBLE * 255, 0), 0), 0)::INT
       from moved r join moved n using (g, y, x) where r.b = 3 and n.b = 4 union all
-    select 'IMG_' || g || '_RGB_CROPPED', y - 1, (x - 1) * 3 + 3 - b, v::INT from moved where b <= 3 and x between 1 and 6 and y between 1 and 6
+    select 'IMG_' || g || '_RGB_CROPPED', y - 1, (x - 1) * 3 + 3 - b, round_even(v / 256.0::DOUBLE * 255, 0)::INT from moved where b <= 3 and x between 1 and 6 and y between 1 and 6
     """, "grey").replace("\nselect 'IMG_'", """,
 bnd as (select (image_id // 5)::VARCHAR as g, (image_id % 5 + 1)::INT as b, y, x, v from grey),
 moved as (select o.g, o.b, o.y, o.x, coalesce(s.v, 0) as v from bnd o left join bnd s on s.g = o.g and s.b = o.b

@@ -6,6 +6,8 @@ counts. Both hold at most 256 entries per image, whatever the image size.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,64 +63,69 @@ def mean_vector(vectors: DataFrame, column: str) -> DataFrame:
     )
 
 
-def as_array(positions: DataFrame, value: str) -> DataFrame:
-    """One row holding the vector; the input has one row per position."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", value)))
-    return positions.agg(F.transform(ordered, lambda s: s[value]).alias(value))
+def first_histogram(hists: DataFrame, column: str = "hist", order: str = "image_id") -> tuple:
+    """Key and histogram (256 numbers) of the first image, on the driver."""
+    return tuple(hists.agg(F.min(order), F.min_by(column, order)).first())
 
 
-def first_histogram(hists: DataFrame, order: str = "image_id", column: str = "hist") -> Column:
-    """Histogram of the first image as a scalar subquery."""
-    return hists.agg(F.min_by(column, order)).scalar()
+def total_histogram(hists: DataFrame, column: str = "hist") -> list[float]:
+    """Sum of all histograms (256 numbers), on the driver. The best lag against it equals
+    the best lag against the mean."""
+    total = [0.0] * BINS
+    for row in sum_vector(hists, column).collect():  # one row per bin
+        total[row["pos"]] = row["total"]
+    return total
 
 
-def total_histogram(hists: DataFrame, column: str = "hist") -> Column:
-    """Sum of all histograms as a scalar subquery; its best lag equals that of the mean."""
-    return as_array(sum_vector(hists, column), "total").scalar()
+def _lags(stack: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Index of the largest full cross-correlation of each row, smallest index on ties:
+    one matrix product with the shifted copies of the reference."""
+    size = len(reference)
+    padded = np.zeros(3 * size - 2)
+    padded[size - 1 : 2 * size - 1] = reference
+    shifts = np.lib.stride_tricks.sliding_window_view(padded, size)[::-1]
+    return (stack @ shifts.T).argmax(axis=1).astype(np.int32)
 
 
 @F.pandas_udf(IntegerType())
 def best_lag(a: pd.Series, v: pd.Series) -> pd.Series:
-    """Index of the largest full cross-correlation, smallest index on ties.
-
-    One matrix product per distinct ``v`` of the batch: row ``k`` of the shift matrix
-    holds ``v`` moved so that ``a @ row`` is the correlation at index ``k``.
-    """
+    """Best lag of ``a`` against ``v``, both on the row; one product per distinct ``v``."""
     out = np.zeros(len(a), dtype=np.int32)
     stack = np.stack(a.to_numpy()).astype(np.float64)
     references = np.stack(v.to_numpy()).astype(np.float64)
     distinct, inverse = np.unique(references, axis=0, return_inverse=True)
-    size = stack.shape[1]
     for i, reference in enumerate(distinct):
-        padded = np.zeros(3 * size - 2)
-        padded[size - 1 : 2 * size - 1] = reference
-        shifts = np.lib.stride_tricks.sliding_window_view(padded, size)[::-1]
         rows = np.flatnonzero(inverse.ravel() == i)
-        out[rows] = (stack[rows] @ shifts.T).argmax(axis=1)
+        out[rows] = _lags(stack[rows], reference)
     return pd.Series(out)
 
 
+def best_lag_to(hist: Column, reference: Sequence[float]) -> Column:
+    """Best lag against one reference that travels with the function, not with the rows."""
+
+    @F.pandas_udf(IntegerType())
+    def lag(a: pd.Series) -> pd.Series:
+        return pd.Series(_lags(np.stack(a.to_numpy()).astype(np.float64), np.asarray(reference, np.float64)))
+
+    return lag(hist)
+
+
 def shifts(hists: DataFrame, column: str = "hist", order: str = "image_id") -> DataFrame:
     """Adds ``lag`` (best lag against the first image; 0 for the first image itself),
     ``ref_lag`` (first image against the total) and their wrapped sum ``shift``."""
-    keyed = hists.withColumns(
-        {"_ref": first_histogram(hists, order, column), "_first": hists.agg(F.min(order)).scalar()}
-    )
-    reference = hists.agg(F.min_by(column, order).alias("_a")).withColumn("_v", total_histogram(hists, column))
-    ref_lag = reference.select(best_lag("_a", "_v")).scalar()
-    return (
-        keyed.withColumn("_lag", best_lag(F.col(column), F.col("_ref")))
-        .withColumn("lag", F.when(F.col(order) == F.col("_first"), F.lit(0)).otherwise(F.col("_lag")))
-        .withColumn("ref_lag", ref_lag)
-        .withColumn("shift", F.pmod(F.col("lag") + F.col("ref_lag"), F.lit(BINS)))
-        .drop("_ref", "_first", "_lag")
-    )
+    first, reference = first_histogram(hists, column, order)
+    if first is None:
+        lag, ref_lag = F.lit(None).cast("int"), 0
+    else:
+        lag = F.when(F.col(order) == F.lit(first), F.lit(0)).otherwise(best_lag_to(F.col(column), reference))
+        ref_lag = int(_lags(np.array([reference], float), np.array(total_histogram(hists, column)))[0])
+    shifted = hists.withColumns({"lag": lag, "ref_lag": F.lit(ref_lag)})
+    return shifted.withColumn("shift", F.pmod(F.col("lag") + F.col("ref_lag"), F.lit(BINS)))
 
 
 def shifts_to_mean(hists: DataFrame, column: str = "hist") -> DataFrame:
     """Older rule: best lag against the mean histogram, as a signed byte."""
-    keyed = hists.withColumn("_ref", total_histogram(hists, column))
-    return keyed.withColumn("shift", signed_byte(best_lag(F.col(column), F.col("_ref")))).drop("_ref")
+    return hists.withColumn("shift", signed_byte(best_lag_to(F.col(column), total_histogram(hists, column))))
 
 
 def threshold(shift: Column) -> Column:

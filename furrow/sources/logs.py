@@ -105,7 +105,7 @@ def tasks_of(documents: DataFrame, document: str = "value") -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON files as ``value, file``."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select("value", F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"))
 
 

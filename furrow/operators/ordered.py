@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from furrow.session import default_slices, materialize
@@ -40,24 +40,26 @@ def with_slices(df: DataFrame, column: str, cuts: Sequence[float]) -> DataFrame:
     return bucketizer.transform(df.withColumn("_order", F.col(column).cast("double"))).drop("_order")
 
 
-def _inside(keys: Sequence[str], order: Sequence[str]) -> Window:
+def inside(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """Window over the rows of one key in one slice."""
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
 
-def _across(keys: Sequence[str]) -> Window:
-    # one row per (key, slice): at most `slices` rows per key
+def across(keys: Sequence[str]) -> WindowSpec:
+    """Window over the slices of one key, for tables of one row per (key, slice): at most
+    as many rows per key as there are slices."""
     return Window.partitionBy(*keys).orderBy(SLICE)
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sum of each expression per key; needs the slice column."""
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         df.groupBy(*keys, SLICE)
         .agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
         .select(*keys, SLICE, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums])
     )
-    upto = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.withColumns({f"_l_{n}": F.sum(e).over(upto) for n, e in sums.items()})
     joined = local.join(carried, [*keys, SLICE])
     return joined.withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in sums}).drop(
@@ -65,47 +67,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     )
 
 
-def next_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
-    """``new -> old``: value of ``old`` in the next row of the key, NULL in its last row."""
-    row = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
-    heads = (
-        df.groupBy(*keys, SLICE)
-        .agg(F.min_by(row, F.struct(*order)).alias("_head"))
-        .select(*keys, SLICE, F.lead("_head").over(_across(keys)).alias("_later"))
-    )
-    local = df.withColumn("_next", F.lead(row).over(_inside(keys, order)))
-    joined = local.join(heads, [*keys, SLICE]).withColumn("_next", F.coalesce("_next", "_later"))
-    return joined.withColumns({new: F.col(f"_next.{new}") for new in columns}).drop("_next", "_later")
-
-
-def carried_values(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], backwards: bool = False
-) -> DataFrame:
-    """``new -> old``: latest non-NULL ``old`` up to and including the row (or the
-    earliest from the row on, when ``backwards``)."""
-    inside, across = _inside(keys, order), _across(keys)
-    if backwards:
-        inside, across = inside.rowsBetween(0, Window.unboundedFollowing), across.rowsBetween(1, Window.unboundedFollowing)
-        edge, pick = F.min_by, F.first
-    else:
-        inside, across = inside.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1)
-        edge, pick = F.max_by, F.last
-
-    def position(old: str) -> Column:
-        return F.when(F.col(old).isNotNull(), F.struct(*order))
-
-    edges = (
-        df.groupBy(*keys, SLICE)
-        .agg(*[edge(old, position(old)).alias(f"_e_{new}") for new, old in columns.items()])
-        .select(*keys, SLICE, *[pick(f"_e_{new}", ignorenulls=True).over(across).alias(f"_c_{new}") for new in columns])
-    )
-    local = df.withColumns({f"_l_{new}": pick(old, ignorenulls=True).over(inside) for new, old in columns.items()})
-    joined = local.join(edges, [*keys, SLICE])
-    return joined.withColumns({new: F.coalesce(f"_l_{new}", f"_c_{new}") for new in columns}).drop(
-        *[f"_l_{new}" for new in columns], *[f"_c_{new}" for new in columns]
-    )
-
-
 def rank_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", slices: int | None = None
 ) -> DataFrame:

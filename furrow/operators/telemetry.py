@@ -16,15 +16,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from furrow.functions.stats import normal_cdf, normal_pdf
 from furrow.functions.text import bytes_to_kb, job_code, wall_clock, whole_seconds
-from furrow.operators.ordered import (
-    SLICE,
-    carried_values,
-    next_values,
-    quantile_cuts,
-    rank_within,
-    running_sums,
-    with_slices,
-)
+from furrow.operators.ordered import SLICE, across, inside, quantile_cuts, rank_within, with_slices
 
 # The four listener events that make up an executor timeline.
 APP_START = "SparkListenerApplicationStart"
@@ -49,20 +41,43 @@ def executor_timeline(events: DataFrame, slices: int | None = None) -> DataFrame
     next event of the same app.
 
     The count resets to 0 at start and end, so it equals the running sum of the changes
-    minus that sum at the latest reset.
+    minus that sum at the latest reset. The last row of a slice holds all that later
+    slices need; both uses of the sliced rows read the same shuffle.
     """
-    kept = listener_events(events)
+    kept = listener_events(events).select("app", "event", "ts_ms", "event_id")
     kept = with_slices(kept, "ts_ms", quantile_cuts(kept, "ts_ms", slices))
     resets = F.col("event").isin(APP_START, APP_END)
     change = (
         F.when(F.col("event") == EXECUTOR_ADDED, 1).when(F.col("event") == EXECUTOR_REMOVED, -1).otherwise(0).cast("long")
     )
-    summed = running_sums(kept, ["app"], ORDER, {"_sum": change, "seg": resets.cast("long")})
-    marked = summed.withColumn("_mark", F.when(resets, F.col("_sum")))
-    based = carried_values(marked, ["app"], ORDER, {"_base": "_mark"})
-    counted = based.withColumn("executors", F.col("_sum") - F.coalesce("_base", F.lit(0).cast("long")))
-    return next_values(counted, ["app"], ORDER, {"next_event": "event", "next_ms": "ts_ms"}).drop(
-        SLICE, "_sum", "_mark", "_base"
+    here = inside(["app"], ORDER)
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    local = (
+        kept.withColumns({"_sum": F.sum(change).over(upto), "_seg": F.sum(resets.cast("long")).over(upto)})
+        .withColumn("_base", F.last(F.when(resets, F.col("_sum")), ignorenulls=True).over(upto))
+        .withColumn("_next", F.lead(F.struct("event", "ts_ms")).over(here))
+    )
+    ends = local.groupBy("app", SLICE).agg(
+        F.max_by(F.struct("_sum", "_seg", "_base"), F.struct(*ORDER)).alias("_end"),
+        F.min_by(F.struct("event", "ts_ms"), F.struct(*ORDER)).alias("_head"),
+    )
+    before = across(["app"]).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    carried = ends.withColumns(
+        {
+            "_sum0": F.coalesce(F.sum("_end._sum").over(before), zero),
+            "_seg0": F.coalesce(F.sum("_end._seg").over(before), zero),
+            "_later": F.lead("_head").over(across(["app"])),
+        }
+    ).withColumn("_base0", F.coalesce(F.last(F.col("_sum0") + F.col("_end._base"), ignorenulls=True).over(before), zero))
+    joined = local.join(carried.select("app", SLICE, "_sum0", "_seg0", "_base0", "_later"), ["app", SLICE])
+    base = F.coalesce(F.col("_sum0") + F.col("_base"), F.col("_base0"))
+    following = F.coalesce("_next", "_later")
+    return joined.select(
+        "app", "event", "ts_ms", "event_id",
+        (F.col("_seg0") + F.col("_seg")).alias("seg"),
+        (F.col("_sum0") + F.col("_sum") - base).alias("executors"),
+        following["event"].alias("next_event"), following["ts_ms"].alias("next_ms"),
     )
 
 
@@ -271,17 +286,44 @@ def iteration_means(runs: DataFrame, run: str, order: Sequence[str], value: str,
 
 
 def interpolated(series: DataFrame, keys: Sequence[str], order: str, value: str, slices: int | None = None) -> DataFrame:
-    """Adds ``filled``: missing values interpolated linearly on the row index of the
-    series; ends take the nearest known value."""
-    sliced = with_slices(series, order, quantile_cuts(series, order, slices))
-    indexed = running_sums(sliced, keys, [order], {"_i": F.lit(1).cast("long")})
-    known = indexed.withColumn("_p", F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v"))))
-    both = carried_values(known, keys, [order], {"_lo": "_p"})
-    both = carried_values(both, keys, [order], {"_hi": "_p"}, backwards=True)
-    lo, hi = F.col("_lo"), F.col("_hi")
-    between = lo["v"] + (hi["v"] - lo["v"]) * (F.col("_i") - lo["i"]) / (hi["i"] - lo["i"])
-    out = F.when(F.col(value).isNotNull(), F.col(value)).when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(between)
-    return both.withColumn("filled", out).drop(SLICE, "_i", "_p", "_lo", "_hi")
+    """``keys, order, value, filled``: missing values interpolated linearly on the row
+    index of the series; ends take the nearest known value.
+
+    Known points are carried inside a slice, and from slice to slice by its first and
+    last row.
+    """
+    keys = list(keys)
+    rows = series.select(*keys, order, value)
+    rows = with_slices(rows, order, quantile_cuts(rows, order, slices))
+    here = inside(keys, [order])
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
+    local = rows.withColumn("_i", F.row_number().over(here).cast("long")).withColumns(
+        {
+            "_lo": F.last(point, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)),
+            "_hi": F.first(point, ignorenulls=True).over(here.rowsBetween(0, Window.unboundedFollowing)),
+        }
+    )
+    ends = local.groupBy(*keys, SLICE).agg(
+        F.max_by(F.struct("_i", "_lo"), order).alias("_end"), F.min_by(F.struct("_hi"), order).alias("_head")
+    )
+    before = across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    after = across(keys).rowsBetween(1, Window.unboundedFollowing)
+    start = F.col("_i0")
+
+    def moved(p: Column) -> Column:
+        return F.when(p.isNotNull(), F.struct((start + p["i"]).alias("i"), p["v"].alias("v")))
+
+    carried = ends.withColumn("_i0", F.coalesce(F.sum("_end._i").over(before), F.lit(0).cast("long"))).withColumns(
+        {
+            "_lo0": F.last(moved(F.col("_end._lo")), ignorenulls=True).over(before),
+            "_hi0": F.first(moved(F.col("_head._hi")), ignorenulls=True).over(after),
+        }
+    )
+    joined = local.join(carried.select(*keys, SLICE, "_i0", "_lo0", "_hi0"), [*keys, SLICE])
+    lo, hi = F.coalesce(moved(F.col("_lo")), F.col("_lo0")), F.coalesce(moved(F.col("_hi")), F.col("_hi0"))
+    between = lo["v"] + (hi["v"] - lo["v"]) * (start + F.col("_i") - lo["i"]) / F.nullif(hi["i"] - lo["i"], F.lit(0))
+    filled = F.when(F.col(value).isNotNull(), F.col(value)).when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(between)
+    return joined.select(*keys, order, value, filled.alias("filled"))
 
 
 def empirical_cdf(values: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], slices: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,25 +48,6 @@ def test_running_sum(data):
             assert got[row[2]] == total
 
 
-def test_next_values(data):
-    table, df = data
-    got = {r["id"]: r["n"] for r in O.next_values(df, ["k"], ["t", "id"], {"n": "id"}).collect()}
-    for series in by_key(table).values():
-        for row, later in zip(series, [*series[1:], None], strict=True):
-            assert got[row[2]] == (later[2] if later else None)
-
-
-@pytest.mark.parametrize("backwards", [False, True])
-def test_carried_values(data, backwards):
-    table, df = data
-    got = {r["id"]: r["c"] for r in O.carried_values(df, ["k"], ["t", "id"], {"c": "v"}, backwards).collect()}
-    for series in by_key(table).values():
-        last = None
-        for row in reversed(series) if backwards else series:
-            last = row[3] if row[3] is not None else last
-            assert got[row[2]] == last
-
-
 def test_rank_and_index(spark, data):
     table, df = data
     ranks = {r["id"]: r["rank"] for r in O.rank_within(df.drop(O.SLICE), ["k"], ["t", "id"], slices=7).collect()}
@@ -111,6 +93,19 @@ def test_filled_every_second(spark):
     assert T.filled(long).select("at_ms").distinct().count() == 10_000
 
 
+def test_interpolation_on_a_hot_series(spark):
+    """Every slice cut, against numpy."""
+    rng = random.Random(5)
+    table = [("hot" if i % 3 else "cold", i, rng.choice([None, None, float(rng.randrange(50))])) for i in range(400)]
+    df = spark.createDataFrame(table, "k STRING, ts BIGINT, v DOUBLE")
+    got = {r["ts"]: r["filled"] for r in T.interpolated(df, ["k"], "ts", "v", 25).collect()}
+    for key in ("hot", "cold"):
+        series = [r for r in table if r[0] == key]
+        known = [(i, r[2]) for i, r in enumerate(series) if r[2] is not None]
+        want = np.interp(range(len(series)), *zip(*known, strict=True))
+        assert np.allclose([got[r[1]] for r in series], want)
+
+
 def test_interpolation_is_linear_on_the_row_index(spark):
     values = [None, 2.0, None, None, 8.0, None]
     df = spark.createDataFrame([("s", i * 10, v) for i, v in enumerate(values)], "k STRING, ts BIGINT, v DOUBLE")

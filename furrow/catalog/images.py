@@ -202,7 +202,8 @@ def _(spark, sf):
 @query("f03_lowest_cluster", sql("", "sound").rstrip() + ",\n" + _lloyd_sql("sound", 4, 10, "a")
        + "\nselect image_id, n_yellow from ac where cluster = 0")
 def _(spark, sf):
-    return jobs.lowest_cluster(jobs.flower_pixels(both(spark, sf)), 4).select("image_id", "n_yellow")
+    scored = jobs.flower_pixels(both(spark, sf))
+    return jobs.in_lowest_cluster(scored, V.fit_line(scored, "n_yellow", 4)).select("image_id", "n_yellow")
 
 
 @query("g16_flower_selection", sql("", "sound").rstrip() + ",\n" + _lloyd_sql("sound", 4, 10, "a")
@@ -448,21 +449,18 @@ def _(spark, sf):
     return _unpacked(I.decode_grey(files, "image_id", "BIGINT"), 65535.0)
 
 
-def _band_images(spark, sf) -> DataFrame:
-    """Five consecutive images as the bands of a group, values in 0..1 (exact binary fractions)."""
-    pixel = grey(spark, sf).withColumn("at", F.struct("y", "x", "v"))
-    plane = pixel.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda s: s["v"] / F.lit(256.0)).alias("v"))
+def _band_files(spark, sf) -> DataFrame:
+    """Five consecutive images as the bands of a group, as 8-bit PNG files."""
     group, band = F.floor(F.col("image_id") / 5).cast("string"), (F.col("image_id") % 5 + 1).cast("int")
-    return plane.select(
-        group.alias("group_key"), band.alias("band"), F.concat_ws("_", group, band.cast("string")).alias("name"),
-        F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "v",
+    return I.grey_to_png(planes(spark, sf, 1), "image_id", "BIGINT").select(
+        group.alias("group_key"), band.alias("band"), F.concat_ws("_", group, band.cast("string")).alias("name"), "content"
     )
 
 
-@query("g10_registration_products", sql("""select 'IMG_' || g || '_' || b as name, y, x, round_even(v / 256.0::DOUBLE * 255, 0)::INT as value from moved union all
-    select 'IMG_' || g || '_NDVI', y, x, coalesce(greatest(round_even((n.v - r.v) / nullif(n.v + r.v, 0)::DOUBLE * 255, 0), 0), 0)::INT
+@query("g10_registration_products", sql("""select 'IMG_' || g || '_' || b as name, y, x, v::INT as value from moved union all
+    select 'IMG_' || g || '_NDVI', y, x, coalesce(greatest(round_even((n.v * 257 / 65535.0::DOUBLE - r.v * 257 / 65535.0::DOUBLE) / nullif(n.v * 257 / 65535.0::DOUBLE + r.v * 257 / 65535.0::DOUBLE, 0) * 255, 0), 0), 0)::INT
       from moved r join moved n using (g, y, x) where r.b = 3 and n.b = 4 union all
-    select 'IMG_' || g || '_RGB_CROPPED', y - 1, (x - 1) * 3 + 3 - b, round_even(v / 256.0::DOUBLE * 255, 0)::INT from moved where b <= 3 and x between 1 and 6 and y between 1 and 6
+    select 'IMG_' || g || '_RGB_CROPPED', y - 1, (x - 1) * 3 + 3 - b, v::INT from moved where b <= 3 and x between 1 and 6 and y between 1 and 6
     """, "grey").replace("\nselect 'IMG_'", """,
 bnd as (select (image_id // 5)::VARCHAR as g, (image_id % 5 + 1)::INT as b, y, x, v from grey),
 moved as (select o.g, o.b, o.y, o.x, coalesce(s.v, 0) as v from bnd o left join bnd s on s.g = o.g and s.b = o.b
@@ -470,14 +468,14 @@ moved as (select o.g, o.b, o.y, o.x, coalesce(s.v, 0) as v from bnd o left join
 select 'IMG_'""", 1))
 def _(spark, sf):
     """Band 2 moves one pixel to the right and band 5 one up, so one pixel is cropped all round."""
-    bands = _band_images(spark, sf)
+    files = _band_files(spark, sf)
     b = F.col("band")
     h = F.array(*[F.lit(v) for v in (1.0, 0.0)], (b == 2).cast("double"), *[F.lit(v) for v in (0.0, 1.0)], -(b == 5).cast("double"),
                 *[F.lit(v) for v in (0.0, 0.0, 1.0)])
-    homographies = bands.select("group_key", "band", h.alias("h"))
+    homographies = files.select("group_key", "band", h.alias("h"))
     boxes = B.crop_box(homographies, WIDTH, HEIGHT)
-    files = I.registration_products(bands, homographies, boxes).where(~F.col("name").endswith("_RGB"))
-    cell = I.decode_any(files, "name", "STRING").select("name", "width", F.posexplode("samples").alias("pos", "value"))
+    products = I.registration_products(files, homographies, boxes).where(~F.col("name").endswith("_RGB"))
+    cell = I.decode_any(products, "name", "STRING").select("name", "width", F.posexplode("samples").alias("pos", "value"))
     return cell.select(
         "name", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).alias("x"), "value"
     )

@@ -37,7 +37,7 @@ def group_key(path: Column) -> Column:
 
 
 def band_number(path: Column) -> Column:
-    return F.regexp_extract(path, BAND_NAME, 2).cast("int")
+    return F.try_to_number(F.regexp_extract(path, BAND_NAME, 2), F.lit("999999999")).cast("int")
 
 
 def flat_name(path: Column) -> Column:

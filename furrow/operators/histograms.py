@@ -7,6 +7,7 @@ counts. Both hold at most 256 entries per image, whatever the image size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,15 +38,20 @@ def zero_filled(hist: DataFrame) -> DataFrame:
 
 
 def dense(hist: DataFrame, name: str = "hist") -> DataFrame:
-    """One array of 256 counts per image."""
-    counts = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    """One array of 256 counts per image: each count is followed by the zeros up to the
+    next bin present."""
+    bins = F.array_sort(F.collect_list(F.struct("bin", "n")))
+    zero = F.lit(0).cast("long")
+
+    def run(b: Column, i: Column) -> Column:
+        following = F.coalesce(F.get("_b", i + 1)["bin"], F.lit(BINS))
+        return F.concat(F.array(b["n"]), F.array_repeat(zero, following - b["bin"] - 1))
+
+    head = F.array_repeat(zero, F.get("_b", F.lit(0))["bin"])
     return (
         hist.groupBy("image_id")
-        .agg(counts.alias("_m"))
-        .select(
-            "image_id",
-            F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.col("_m")[b], F.lit(0))).alias(name),
-        )
+        .agg(bins.alias("_b"))
+        .select("image_id", F.concat(head, F.flatten(F.transform("_b", run))).alias(name))
     )
 
 
@@ -110,17 +116,34 @@ def best_lag_to(hist: Column, reference: Sequence[float]) -> Column:
     return lag(hist)
 
 
+@dataclass(frozen=True)
+class Reference:
+    """What every image is compared with: key and histogram of the first image, and the
+    best lag of that histogram against the total. Small enough to travel with the plan."""
+
+    first: object
+    hist: tuple[float, ...]
+    ref_lag: int
+
+    @staticmethod
+    def of(hists: DataFrame, column: str = "hist", order: str = "image_id") -> Reference:
+        first, hist = first_histogram(hists, column, order)
+        if first is None:
+            return Reference(None, (0.0,) * BINS, 0)
+        ref_lag = int(_lags(np.array([hist], float), np.array(total_histogram(hists, column)))[0])
+        return Reference(first, tuple(map(float, hist)), ref_lag)
+
+    def shift(self, hists: DataFrame, column: str = "hist", order: str = "image_id") -> DataFrame:
+        """Adds ``lag`` (best lag against the first image; 0 for the first image itself),
+        ``ref_lag`` and their wrapped sum ``shift``. Row by row, nothing shuffles."""
+        lag = F.when(F.col(order) == F.lit(self.first), F.lit(0)).otherwise(best_lag_to(F.col(column), self.hist))
+        shifted = hists.withColumns({"lag": lag, "ref_lag": F.lit(self.ref_lag)})
+        return shifted.withColumn("shift", F.pmod(F.col("lag") + F.col("ref_lag"), F.lit(BINS)))
+
+
 def shifts(hists: DataFrame, column: str = "hist", order: str = "image_id") -> DataFrame:
-    """Adds ``lag`` (best lag against the first image; 0 for the first image itself),
-    ``ref_lag`` (first image against the total) and their wrapped sum ``shift``."""
-    first, reference = first_histogram(hists, column, order)
-    if first is None:
-        lag, ref_lag = F.lit(None).cast("int"), 0
-    else:
-        lag = F.when(F.col(order) == F.lit(first), F.lit(0)).otherwise(best_lag_to(F.col(column), reference))
-        ref_lag = int(_lags(np.array([reference], float), np.array(total_histogram(hists, column)))[0])
-    shifted = hists.withColumns({"lag": lag, "ref_lag": F.lit(ref_lag)})
-    return shifted.withColumn("shift", F.pmod(F.col("lag") + F.col("ref_lag"), F.lit(BINS)))
+    """``lag``, ``ref_lag`` and ``shift`` of every image against the table's own reference."""
+    return Reference.of(hists, column, order).shift(hists, column, order)
 
 
 def shifts_to_mean(hists: DataFrame, column: str = "hist") -> DataFrame:

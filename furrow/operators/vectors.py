@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.session import materialize
+
 # Clusters and iterations of the bag-of-words model, the match ratio and
 # the number of mutual matches shown.
 WORDS, WORD_ITERATIONS = 3, 5
@@ -101,32 +103,28 @@ def model_centers(points: DataFrame, model: KMeansModel) -> DataFrame:
 
 
 def fit_line(values: DataFrame, column: str, k: int, iterations: int = 10) -> list[float]:
-    """k-means on one number: evenly spaced starts, fixed Lloyd steps, sorted centers.
-
-    The values are counted first, so each step reads one row per distinct value, and only
-    k sums come back per step. An empty cluster keeps its center.
-    """
-    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")).persist()
-    try:
-        low, high = counted.agg(F.min("x"), F.max("x")).first()
-        if low is None:
-            return []
-        centers = [low + (high - low) * (i + 0.5) / k for i in range(k)]
-        for _ in range(iterations):
-            means = {
-                r["cluster"]: r["m"]
-                for r in nearest_value(counted, centers, "x")
-                .groupBy("cluster")
-                .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m"))
-                .collect()
-            }
-            moved = [means.get(i, c) for i, c in enumerate(centers)]
-            if moved == centers:
-                break
-            centers = moved
-        return sorted(centers)
-    finally:
-        counted.unpersist()
+    """k-means on one number; the values are counted first, so a step reads one row per
+    distinct value."""
+    known = values.where(F.col(column).isNotNull())
+    return fit_counts(materialize(known.groupBy(column).agg(F.count("*").alias("weight"))), column, k, iterations)
+
+
+def fit_counts(counted: DataFrame, column: str, k: int, iterations: int = 10) -> list[float]:
+    """k-means on counted values (``column, weight``): evenly spaced starts, fixed Lloyd steps,
+    sorted centers. A step brings k sums back; an empty cluster keeps its center."""
+    x = F.col(column).cast("double")
+    low, high = counted.agg(F.min(x), F.max(x)).first()
+    if low is None:
+        return []
+    centers = [low + (high - low) * (i + 0.5) / k for i in range(k)]
+    for _ in range(iterations):
+        steps = nearest_value(counted, centers, column).groupBy("cluster").agg((F.sum(x * F.col("weight")) / F.sum("weight")).alias("m"))
+        means = {r["cluster"]: r["m"] for r in steps.collect()}  # at most k rows
+        moved = [means.get(i, c) for i, c in enumerate(centers)]
+        if moved == centers:
+            break
+        centers = moved
+    return sorted(centers)
 
 
 def _blocked(rows: DataFrame, counts: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:

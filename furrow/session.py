@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -44,6 +45,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Rows a side may have to be sent to every executor on purpose.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a written-out table for broadcast when it has at most ``rows`` rows; a larger
+    one stays as it is and joins by shuffle."""
+    small = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if small else df
+
+
 def default_slices(df: DataFrame) -> int:
     """How many ordered slices a prefix computation is cut into."""
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

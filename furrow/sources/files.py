@@ -30,10 +30,18 @@ def decoded(spark: SparkSession, path: str | Sequence[str], recursive: bool = Fa
     return image.where("nChannels = 3").select(F.col("origin").alias("path"), "height", "width", "data")
 
 
+def band_files(files: DataFrame) -> DataFrame:
+    """``group_key, band, name, content`` of the files whose name matches the group
+    pattern; images stay compressed."""
+    key = group_key(F.col("path"))
+    return files.where(key != "").select(
+        key.alias("group_key"), band_number(F.col("path")).alias("band"), base_name(F.col("path")).alias("name"), "content"
+    )
+
+
 def bands_of(files: DataFrame) -> DataFrame:
-    """Band images: ``group_key, band, name, height, width, v`` with v in 0..1. Names that
-    do not match the group pattern are left out."""
-    named = files.where(group_key(F.col("path")) != "").select("path", "content")
+    """Decoded bands: ``group_key, band, name, height, width, v`` with v in 0..1."""
+    named = files.where(group_key(F.col("path")) != "")
     planes = decode_grey(named, "path", "STRING")
     return planes.select(
         group_key(F.col("path")).alias("group_key"), band_number(F.col("path")).alias("band"),

@@ -132,10 +132,10 @@ def test_registration_job(spark, tmp_path):
             x, y = float(10 + i % 8 * 7), float(10 + i // 8 * 8)
             keypoints.append(("0000", band, i, (v + rng.normal(0, 1e-3, 16)).tolist(), x + dx, y + dy))
     (tmp_path / "IMG_0000_9.png").write_bytes(b"broken")
-    bands = files.bands(spark, str(tmp_path))
-    assert bands.count() == 5
+    assert files.bands(spark, str(tmp_path)).count() == 5
+    named = files.band_files(files.scan(spark, str(tmp_path)))
     points = spark.createDataFrame(keypoints, "group_key STRING, band INT, kp BIGINT, desc ARRAY<FLOAT>, x DOUBLE, y DOUBLE")
-    products = {r["name"]: png.decode(bytes(r["content"])) for r in jobs.register(bands, points, 80, 60).collect()}
+    products = {r["name"]: png.decode(bytes(r["content"])) for r in jobs.register(named, points, 80, 60).collect()}
     assert set(products) == {*(f"IMG_0000_{b}" for b in range(1, 6)), "IMG_0000_RGB", "IMG_0000_RGB_CROPPED", "IMG_0000_NDVI"}
     first = products["IMG_0000_1"].astype(int)
     for band in range(2, 6):

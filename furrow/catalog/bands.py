@@ -180,12 +180,7 @@ CORNER_SQL = """with p as (select l_orderkey, l_quantity as x, l_extendedprice /
 
 
 def _corners(spark, sf):
-    from pyspark.sql import Window
-
-    # the corner operator wants a number as position; order lines get one per order
-    lines = _corner_points(spark, sf)
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("pos"))
-    return B.ordered_corners(lines.withColumn("pos", place), "l_orderkey")
+    return B.ordered_corners(_corner_points(spark, sf), "l_orderkey")
 
 
 @query("x13_point_order", CORNER_SQL + """ select l_orderkey, tlx as tl_x, tly as tl_y, trx as tr_x, try_ as tr_y, brx as br_x, bry as br_y,

@@ -14,6 +14,7 @@ from furrow.operators import pixels as P
 from furrow.operators import vectors as V
 from furrow.operators.ordered import row_index
 from furrow.plans import jobs
+from furrow.plans.steps import Step, run_steps
 
 CELLS = [[0, 1, 0], [1, 0, 1], [0, 1, 0]]
 CENTRE = [[0, 0, 0], [0, 1, 0], [0, 0, 0]]
@@ -356,7 +357,7 @@ run as (select image_id, bin, sum(n) over (partition by image_id order by bin) a
 sp as (select image_id, bin, coalesce(round((m * t - w * mass)::DOUBLE * (m * t - w * mass)::DOUBLE / nullif(w * (t - w), 0)::DOUBLE, 6), -1) as s from run)
 select image_id, bin as level from (select *, row_number() over (partition by image_id order by s desc, bin) as i from sp) where i = 1""")
 def _(spark, sf):
-    return H.otsu_threshold(H.histogram(P.smooth(grey(spark, sf), WIDTH, HEIGHT)))
+    return H.otsu_threshold(H.histogram(P.smooth(grey(spark, sf))))
 
 
 def _blur_sql(name: str, source: str, sigma: float, size: int) -> str:
@@ -377,7 +378,7 @@ def _blur_sql(name: str, source: str, sigma: float, size: int) -> str:
 @query("g04_sharpen", sql("", "grey").rstrip() + ",\n" + _blur_sql("s1", "grey", 3.0, 8) + ",\n" + _blur_sql("s2", "s1", 1.0, 8)
        + "\nselect s1.image_id, s1.y, s1.x, round(s1.v + (s1.v - s2.v) * 30, 4) as v from s1 join s2 using (image_id, y, x)")
 def _(spark, sf):
-    return P.sharpen(grey(spark, sf), WIDTH, HEIGHT).withColumn("v", F.round("v", 4))
+    return P.sharpen(grey(spark, sf)).withColumn("v", F.round("v", 4))
 
 
 @query("g06_local_maxima", sql("""select g.image_id, g.y, g.x, g.v from grey g join grey n on n.image_id = g.image_id
@@ -415,6 +416,15 @@ def planes(spark, sf, scaled: int = 8) -> DataFrame:
     )
 
 
+@query("g07_checked_steps", sql("select image_id, bin, n from hist", "hist"))
+def _(spark, sf):
+    steps = [
+        Step("plot mask", ("image_id", "y", "x", "v"), lambda d: P.in_mask(d, CORNERS, WIDTH, HEIGHT)),
+        Step("histogram", ("image_id", "v"), H.histogram),
+    ]
+    return run_steps(grey(spark, sf), steps)
+
+
 @query("g05_blobs")
 def _(spark, sf):
     return I.blobs_of_planes(planes(spark, sf)).select("image_id", F.inline("blobs"))

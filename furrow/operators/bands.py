@@ -107,15 +107,12 @@ def canvas(homographies: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def ordered_corners(points: DataFrame, key: str) -> DataFrame:
-    """Top-left, top-right, bottom-right, bottom-left by coordinate sum and difference;
-    the first point (by ``pos``) wins ties, so one partial row per key is enough."""
+    """Top-left, top-right, bottom-right, bottom-left by coordinate sum and difference.
+    The first point by ``pos`` (any orderable column) wins ties; the aggregate keeps one
+    partial row per key."""
     total, diff, at = F.col("x") + F.col("y"), F.col("y") - F.col("x"), F.struct("x", "y")
-    return points.groupBy(key).agg(
-        F.min_by(at, F.struct(total, "pos")).alias("tl"),
-        F.min_by(at, F.struct(diff, "pos")).alias("tr"),
-        F.max_by(at, F.struct(total, -F.col("pos"))).alias("br"),
-        F.max_by(at, F.struct(diff, -F.col("pos"))).alias("bl"),
-    )
+    ranks = {"tl": total, "tr": diff, "br": -total, "bl": -diff}
+    return points.groupBy(key).agg(*[F.min_by(at, F.struct(rank, "pos")).alias(name) for name, rank in ranks.items()])
 
 
 def rectified_size(corners: DataFrame) -> DataFrame:

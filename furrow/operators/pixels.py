@@ -6,8 +6,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from furrow.functions.geometry import inside_region
 
@@ -108,86 +110,80 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / total for w in weights]
 
 
-def _reflect(position: Column, size: int) -> Column:
-    """Half-sample symmetric edge: -1 -> 0, size -> size - 1, any distance."""
-    folded = F.pmod(position, F.lit(2 * size))
-    return F.when(folded < size, folded).otherwise(2 * size - 1 - folded)
+# 5-tap binomial kernel used for the blur before the Otsu threshold.
+SMOOTH_KERNEL = (0.0625, 0.25, 0.375, 0.25, 0.0625)
 
 
-def _lines(pixels: DataFrame, axis: str, other: str, value: str) -> DataFrame:
-    """Image lines as dense arrays in position order; the image must be a full grid."""
-    ordered = F.array_sort(F.collect_list(F.struct(axis, F.col(value).alias("_value"))))
-    return pixels.groupBy("image_id", other).agg(F.transform(ordered, lambda s: s["_value"]).alias("_line"))
+def filter_lines(lines: np.ndarray, kernel: Sequence[float], repeat_edge: bool = True) -> np.ndarray:
+    """Symmetric filter along the last axis; positions outside mirror back into the line,
+    with the edge value repeated (``c b a | a b c``) or not (``c b | a b c``)."""
+    size, radius = lines.shape[-1], len(kernel) // 2
+    period = 2 * size if repeat_edge else max(2 * size - 2, 1)
+    place = np.arange(-radius, size + radius) % period
+    padded = lines[..., np.where(place < size, place, (period - 1 if repeat_edge else period) - place)]
+    return sum(w * padded[..., k : k + size] for k, w in enumerate(kernel))
 
 
-def blur_axis(pixels: DataFrame, axis: str, kernel: Sequence[float], size: int, value: str = "v") -> DataFrame:
-    """One pass of a separable symmetric filter along ``axis``.
+def _line_filter(*kernels: Sequence[float], repeat_edge: bool = True):
+    """Arrow function that applies the kernels in turn to an array column of lines."""
 
-    Lines of an image are gathered (at most ``size`` values each, the image side), and
-    every output pixel is a weighted sum over its line, so no pixel pairs are produced
-    and the shuffle moves each pixel once.
-    """
-    other = "y" if axis == "x" else "x"
-    radius = len(kernel) // 2
-    line = _lines(pixels, axis, other, value)
-    weights = F.array(*[F.struct(F.lit(k - radius).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(kernel)])
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(lines: pd.Series) -> pd.Series:
+        out = np.stack(lines.to_numpy()).astype(float)
+        for kernel in kernels:
+            out = filter_lines(out, kernel, repeat_edge)
+        return pd.Series(list(out))
 
-    def filtered(p: Column) -> Column:
-        return F.aggregate(
-            weights,
-            F.lit(0.0),
-            lambda s, k: s + k["w"] * F.col("_line")[_reflect(p + k["d"], size).cast("int")].cast("double"),
-        )
+    return run
 
-    positions = F.sequence(F.lit(0), F.lit(size - 1))
-    cells = F.transform(positions, lambda p: F.struct(p.alias(axis), filtered(p).alias(value)))
-    return line.select("image_id", other, F.inline(cells)).select("image_id", "y", "x", value)
 
+def _lines(pixels: DataFrame, axis: str, *values: str) -> DataFrame:
+    """Image lines along ``axis`` as arrays in position order (at most the image side
+    long); the image must be a full grid."""
+    other = "y" if axis == "x" else "x"
+    ordered = F.array_sort(F.collect_list(F.struct(axis, *values)))
+    return pixels.groupBy("image_id", other).agg(ordered.alias("_line")).select("image_id", other, *[F.col(f"_line.{v}").alias(v) for v in values])
 
-def gaussian_blur(pixels: DataFrame, sigma: float, width: int, height: int, value: str = "v") -> DataFrame:
-    kernel = gaussian_kernel(sigma)
-    return blur_axis(blur_axis(pixels, "y", kernel, height, value), "x", kernel, width, value)
 
+def _points(lines: DataFrame, axis: str, **values: Column) -> DataFrame:
+    """Lines back to pixels; ``values`` are array columns."""
+    other = "y" if axis == "x" else "x"
+    packed = lines.select("image_id", other, *[v.alias(n) for n, v in values.items()])
+    cells = F.arrays_zip(F.sequence(F.lit(0), F.size(next(iter(values))) - 1).alias(axis), *values)
+    return packed.select("image_id", other, F.inline(cells)).select("image_id", "y", "x", *values)
 
-def sharpen(pixels: DataFrame, width: int, height: int, first: float = 3.0, second: float = 1.0, alpha: float = 30.0) -> DataFrame:
-    """``b1 + alpha (b1 - b2)`` with ``b1 = G(first) image`` and ``b2 = G(second) b1``."""
-    b1 = gaussian_blur(pixels, first, width, height)
-    b2 = gaussian_blur(b1, second, width, height).withColumnRenamed("v", "_b2")
-    return b1.join(b2, ["image_id", "y", "x"]).select(
-        "image_id", "y", "x", (F.col("v") + (F.col("v") - F.col("_b2")) * alpha).alias("v")
-    )
 
+def separable_blur(pixels: DataFrame, kernel: Sequence[float], repeat_edge: bool = True) -> DataFrame:
+    """Symmetric separable filter: one pass over columns, one over rows. A pass gathers
+    lines and filters them in Arrow batches, so no pixel pairs exist and each pixel moves
+    once per pass."""
+    run = _line_filter(kernel, repeat_edge=repeat_edge)
+    for axis in ("y", "x"):
+        pixels = _points(_lines(pixels, axis, "v"), axis, v=run(F.col("v")))
+    return pixels
 
-# 5-tap binomial kernel used for the blur before the Otsu threshold.
-SMOOTH_KERNEL = (0.0625, 0.25, 0.375, 0.25, 0.0625)
+
+def gaussian_blur(pixels: DataFrame, sigma: float) -> DataFrame:
+    return separable_blur(pixels, gaussian_kernel(sigma))
 
 
-def smooth(pixels: DataFrame, width: int, height: int) -> DataFrame:
+def smooth(pixels: DataFrame) -> DataFrame:
     """5 x 5 blur, rounded back to 8 bits; edges mirror without repeating the border."""
-    out = pixels
-    for axis, size in (("y", height), ("x", width)):
-        out = _mirror_blur(out, axis, size)
-    return out.withColumn("v", F.floor(F.col("v") + 0.5).cast("int"))
+    soft = separable_blur(pixels, SMOOTH_KERNEL, repeat_edge=False)
+    return soft.withColumn("v", F.floor(F.col("v") + 0.5).cast("int"))
 
 
-def _mirror_blur(pixels: DataFrame, axis: str, size: int) -> DataFrame:
-    other = "y" if axis == "x" else "x"
-    line = _lines(pixels, axis, other, "v")
-
-    def mirror(p: Column) -> Column:
-        period = max(2 * size - 2, 1)
-        folded = F.pmod(p, F.lit(period))
-        return F.when(folded < size, folded).otherwise(period - folded).cast("int")
-
-    def filtered(p: Column) -> Column:
-        total = F.lit(0.0)
-        for k, w in enumerate(SMOOTH_KERNEL):
-            total = total + F.col("_line")[mirror(p + (k - 2))].cast("double") * w
-        return total
-
-    positions = F.sequence(F.lit(0), F.lit(size - 1))
-    cells = F.transform(positions, lambda p: F.struct(p.alias(axis), filtered(p).alias("v")))
-    return line.select("image_id", other, F.inline(cells)).select("image_id", "y", "x", "v")
+def sharpen(pixels: DataFrame, first: float = 3.0, second: float = 1.0, alpha: float = 30.0) -> DataFrame:
+    """``b1 + alpha (b1 - b2)`` with ``b1 = G(first) image`` and ``b2 = G(second) b1``.
+
+    Filters along different axes commute, so both blurs run together: columns give
+    ``G1 v`` and ``G2 G1 v``, rows finish both. Two shuffles, and no join of b1 with b2.
+    """
+    wide, narrow = gaussian_kernel(first), gaussian_kernel(second)
+    once, twice = _line_filter(wide), _line_filter(wide, narrow)
+    half = _points(_lines(pixels, "y", "v"), "y", b1=once(F.col("v")), b2=twice(F.col("v")))
+    full = _points(_lines(half, "x", "b1", "b2"), "x", b1=once(F.col("b1")), b2=twice(F.col("b2")))
+    return full.select("image_id", "y", "x", (F.col("b1") + (F.col("b1") - F.col("b2")) * alpha).alias("v"))
 
 
 def local_maxima(pixels: DataFrame, value: str = "v") -> DataFrame:

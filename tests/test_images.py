@@ -144,12 +144,19 @@ def test_sharpen_forms_agree(spark):
     image = rng.integers(100, 140, (9, 11)).astype(np.uint8)
     rows = [(1, int(y), int(x), int(image[y, x])) for y in range(9) for x in range(11)]
     df = spark.createDataFrame(rows, "image_id BIGINT, y INT, x INT, v INT")
-    table = {(r["y"], r["x"]): r["v"] for r in P.sharpen(df, 11, 9, 1.5, 0.8, 5.0).collect()}
-    soft = I._blur(image.astype(float), 1.5)
-    sharp = soft + 5.0 * (soft - I._blur(soft, 0.8))
+    table = {(r["y"], r["x"]): r["v"] for r in P.sharpen(df, 1.5, 0.8, 5.0).collect()}
+    soft = I.blur_plane(image.astype(float), 1.5)
+    sharp = soft + 5.0 * (soft - I.blur_plane(soft, 0.8))
     assert all(math.isclose(table[y, x], sharp[y, x], rel_tol=1e-9) for y in range(9) for x in range(11))
 
 
+def test_blur_keeps_the_mass(spark):
+    rows = [(1, y, x, 100.0 if (y, x) == (3, 4) else 0.0) for y in range(7) for x in range(9)]
+    df = spark.createDataFrame(rows, "image_id BIGINT, y INT, x INT, v DOUBLE")
+    got = {(r["y"], r["x"]): r["v"] for r in P.gaussian_blur(df, 1.0).collect()}
+    assert math.isclose(sum(got.values()), 100.0) and max(got, key=got.get) == (3, 4)
+
+
 def test_warp_forms_agree(spark):
     rng = np.random.default_rng(6)
     image = rng.random((10, 12))

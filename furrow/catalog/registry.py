@@ -119,9 +119,9 @@ def homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One group; the label is the band."""
+    """Two groups (odd and even vectors); the label is the band."""
     return table(spark, sf_dir, "embeddings").select(
-        F.lit("g").alias("group_key"), F.col("label").alias("band"), F.col("vec_id").alias("kp"),
+        F.concat(F.lit("g"), (F.col("vec_id") % 2).cast("string")).alias("group_key"), F.col("label").alias("band"), F.col("vec_id").alias("kp"),
         F.col("embedding").alias("desc"),
         (F.col("vec_id") % 8).cast("double").alias("x"), F.floor(F.col("vec_id") / 8).cast("double").alias("y"),
     )
@@ -212,7 +212,7 @@ VIEWS = {
         group by kp, cluster""",
     "near1": """select * exclude (i) from (select *, row_number() over (partition by kp order by dist, cluster) as i from cdist) where i = 1""",
     "pair": """select a.kp, any_value(a.label) as band, b.kp as target_kp, sqrt(sum((a.e - b.e) * (a.e - b.e))) as dist
-        from dpx a join dpx b on a.pos = b.pos and a.label <> 0 and b.label = 0 group by a.kp, b.kp""",
+        from dpx a join dpx b on a.pos = b.pos and a.kp % 2 = b.kp % 2 and a.label <> 0 and b.label = 0 group by a.kp, b.kp""",
     "near2": """select * from (select *, row_number() over (partition by kp order by dist, target_kp) as rank from pair) where rank <= 2""",
     "ratio": """select kp, any_value(band) as band, max(target_kp) filter (where rank = 1) as target_kp,
         max(dist) filter (where rank = 1) as dist, max(dist) filter (where rank = 2) as dist_2 from near2 group by kp

@@ -1,4 +1,6 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on the smallest tables, and the shape of its plan."""
+
+import re
 
 import pytest
 
@@ -13,13 +15,37 @@ def con():
     return check_oracle.connect(SF)
 
 
+# Windows over one row per partition of a sort, or over a top-seven list.
+SMALL_GLOBAL_WINDOWS = {"w01_row_index", "u02_halves", "o03_longest_stages"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, name):
-    message, _, rows = check_oracle.compare(spark, con, name, SF)
+    """Result as the SQL says, and a plan without cross joins, whole-table windows and
+    row-at-a-time Python."""
+    df = queries()[name](spark, SF)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "BatchEvalPython" not in text
+    if name not in SMALL_GLOBAL_WINDOWS:
+        # a window without partition keys starts with its ordering
+        assert not re.search(r"windowspecdefinition\(\S+ (ASC|DESC)", text)
+    message, _, rows = check_oracle.compare(spark, con, name, SF, df)
     assert not message
     assert rows > 0
 
 
+def test_scan_reads_two_columns(spark):
+    assert "ReadSchema: struct<event_type:string,value:double>" in plan(queries()["a23_standard_error"](spark, SF))
+
+
+def test_filters_reach_the_scan(spark):
+    assert "LessThanOrEqual(l_linenumber,5)" in plan(queries()["j08_aligned_bands"](spark, SF))
+
+
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 

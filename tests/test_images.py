@@ -242,6 +242,11 @@ def test_flower_count_job(spark, folder):
     assert all(everything[r["path"]] == r["flowers"] for r in rows) and len(everything) == 4
 
 
+def test_flower_count_never_shuffles_images(spark, folder):
+    result = jobs.flower_count(files.decoded(spark, str(folder / "1108-0701")), CORNERS)
+    assert "Exchange" not in result._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blob_count_on_a_drawn_field(spark):
     discs = [(15, 15, 5), (35, 60, 5), (55, 30, 5)]
     image = field(discs)[..., ::-1]

@@ -1,15 +1,16 @@
-"""Prefix computations (running sums, next row, carried values, ranks) without a
-window that puts a whole key into one task.
+"""Prefix computations (running sums, ranks, carried values) without a window that puts a
+hot key into one task.
 
-The order column is cut at its quantiles into slices of about equal row counts over the
-*whole* table, so the rows of any one key inside one slice can never exceed a slice, no
-matter how hot the key is. Each quantity is then computed twice: inside (key, slice),
-and over the table of one row per (key, slice) that carries it from slice to slice.
+Keys of ordinary size use a plain window. A key with more rows than an average shuffle
+partition is cut along the order column into slices of about equal row counts. Each
+quantity is then computed twice for it: inside (key, slice), and over the table of one row
+per (key, slice) that carries it from slice to slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -31,13 +32,43 @@ def quantile_cuts(df: DataFrame, column: str, slices: int | None = None) -> list
 
 
 def with_slices(df: DataFrame, column: str, cuts: Sequence[float]) -> DataFrame:
-    """Adds the slice number of ``column``: monotone in the column, so slices are ordered."""
+    """Adds the slice number of ``column``: monotone in the column, so slices are ordered.
+    An integer, since a floating key would be normalised again at every exchange."""
     if not cuts:
-        return df.withColumn(SLICE, F.lit(0.0))
+        return df.withColumn(SLICE, F.lit(0))
     bucketizer = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol=SLICE, handleInvalid="keep"
     )
-    return bucketizer.transform(df.withColumn("_order", F.col(column).cast("double"))).drop("_order")
+    sliced = bucketizer.transform(df.withColumn("_order", F.col(column).cast("double"))).drop("_order")
+    return sliced.withColumn(SLICE, F.col(SLICE).cast("int"))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` in which NULL equals NULL, as it does for windows and groups."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    matches = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(other, matches, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def sliced(df: DataFrame, keys: Sequence[str], column: str, slices: int | None = None) -> tuple[DataFrame, bool]:
+    """Adds the slice number of every row (0 for keys of ordinary size), and tells whether
+    any key was cut.
+
+    A key counts as hot when it holds more than ``4 / slices`` of all rows, by default more
+    than an average shuffle partition, so fewer than ``slices / 4`` keys can be hot and
+    their list is safe to broadcast.
+    """
+    n = slices or default_slices(df)
+    sizes = materialize(df.groupBy(*keys).agg(F.count("*").alias("_n")))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    hot = sizes.where(F.col("_n") > total * 4 / n).select(*keys)
+    if hot.isEmpty():
+        return df.withColumn(SLICE, F.lit(0)), False
+    hot = F.broadcast(hot)
+    cuts = quantile_cuts(null_safe_join(df, hot, keys, "left_semi"), column, n)
+    marked = null_safe_join(df, hot.withColumn("_hot", F.lit(True)), keys, "left")
+    out = with_slices(marked, column, cuts)
+    return out.withColumn(SLICE, F.when(F.col("_hot"), F.col(SLICE)).otherwise(0)).drop("_hot"), True
 
 
 def inside(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -51,28 +82,30 @@ def across(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(SLICE)
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Inclusive running sum of each expression per key; needs the slice column."""
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], slices: int | None = None
+) -> DataFrame:
+    """Inclusive running sum of each expression per key (first order column numeric)."""
+    cut, any_cut = sliced(df, keys, order[0], slices)
+    upto = inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumns({n: F.sum(e).over(upto) for n, e in sums.items()})
+    if not any_cut:
+        return local.drop(SLICE)
     before = across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        df.groupBy(*keys, SLICE)
+        cut.groupBy(*keys, SLICE)
         .agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
         .select(*keys, SLICE, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums])
     )
-    upto = inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = df.withColumns({f"_l_{n}": F.sum(e).over(upto) for n, e in sums.items()})
-    joined = local.join(carried, [*keys, SLICE])
-    return joined.withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in sums}).drop(
-        *[f"_l_{n}" for n in sums], *[f"_c_{n}" for n in sums]
-    )
+    joined = null_safe_join(local, carried, [*keys, SLICE])
+    return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums}).drop(SLICE, *[f"_c_{n}" for n in sums])
 
 
 def rank_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", slices: int | None = None
 ) -> DataFrame:
     """1-based row number per key in ``order`` (first order column numeric)."""
-    sliced = with_slices(df, order[0], quantile_cuts(df, order[0], slices))
-    return running_sums(sliced, keys, order, {name: F.lit(1).cast("long")}).drop(SLICE)
+    return running_sums(df, keys, order, {name: F.lit(1).cast("long")}, slices)
 
 
 def row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from furrow.functions.stats import normal_cdf, normal_pdf
 from furrow.functions.text import bytes_to_kb, job_code, wall_clock, whole_seconds
-from furrow.operators.ordered import SLICE, across, inside, quantile_cuts, rank_within, with_slices
+from furrow.operators.ordered import SLICE, across, inside, null_safe_join, rank_within, sliced
 
 # The four listener events that make up an executor timeline.
 APP_START = "SparkListenerApplicationStart"
@@ -41,43 +41,56 @@ def executor_timeline(events: DataFrame, slices: int | None = None) -> DataFrame
     next event of the same app.
 
     The count resets to 0 at start and end, so it equals the running sum of the changes
-    minus that sum at the latest reset. The last row of a slice holds all that later
-    slices need; both uses of the sliced rows read the same shuffle.
+    minus that sum at the latest reset. For an app that is cut into slices, the first and
+    last row of a slice hold all that its other slices need.
     """
-    kept = listener_events(events).select("app", "event", "ts_ms", "event_id")
-    kept = with_slices(kept, "ts_ms", quantile_cuts(kept, "ts_ms", slices))
+    kept, any_cut = sliced(listener_events(events).select("app", "event", "ts_ms", "event_id"), ["app"], "ts_ms", slices)
     resets = F.col("event").isin(APP_START, APP_END)
     change = (
         F.when(F.col("event") == EXECUTOR_ADDED, 1).when(F.col("event") == EXECUTOR_REMOVED, -1).otherwise(0).cast("long")
     )
     here = inside(["app"], ORDER)
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    local = (
-        kept.withColumns({"_sum": F.sum(change).over(upto), "_seg": F.sum(resets.cast("long")).over(upto)})
-        .withColumn("_base", F.last(F.when(resets, F.col("_sum")), ignorenulls=True).over(upto))
-        .withColumn("_next", F.lead(F.struct("event", "ts_ms")).over(here))
-    )
-    ends = local.groupBy("app", SLICE).agg(
-        F.max_by(F.struct("_sum", "_seg", "_base"), F.struct(*ORDER)).alias("_end"),
-        F.min_by(F.struct("event", "ts_ms"), F.struct(*ORDER)).alias("_head"),
+    local = kept.withColumns(
+        {
+            "_sum": F.sum(change).over(upto),
+            "_seg": F.sum(resets.cast("long")).over(upto),
+            "_place": F.row_number().over(here),
+            "_event": F.lead("event").over(here),
+            "_ms": F.lead("ts_ms").over(here),
+        }
+    ).withColumn("_base", F.last(F.when(resets, F.col("_sum")), ignorenulls=True).over(upto))
+    zero = F.lit(0).cast("long")
+    if not any_cut:
+        executors = F.col("_sum") - F.coalesce("_base", zero)
+        return local.select(
+            "app", "event", "ts_ms", "event_id", F.col("_seg").alias("seg"), executors.alias("executors"),
+            F.col("_event").alias("next_event"), F.col("_ms").alias("next_ms"),
+        )
+    first, last = F.col("_place") == 1, F.col("_ms").isNull()
+    edges = local.where(first | last).groupBy("app", SLICE).agg(
+        *[F.max(F.when(last, F.col(c))).alias(f"{c}_end") for c in ("_sum", "_seg", "_base")],
+        F.max(F.when(first, F.col("event"))).alias("_event_head"),
+        F.max(F.when(first, F.col("ts_ms"))).alias("_ms_head"),
     )
     before = across(["app"]).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    carried = ends.withColumns(
+    carried = edges.withColumns(
         {
-            "_sum0": F.coalesce(F.sum("_end._sum").over(before), zero),
-            "_seg0": F.coalesce(F.sum("_end._seg").over(before), zero),
-            "_later": F.lead("_head").over(across(["app"])),
+            "_sum0": F.coalesce(F.sum("_sum_end").over(before), zero),
+            "_seg0": F.coalesce(F.sum("_seg_end").over(before), zero),
+            "_event_later": F.lead("_event_head").over(across(["app"])),
+            "_ms_later": F.lead("_ms_head").over(across(["app"])),
         }
-    ).withColumn("_base0", F.coalesce(F.last(F.col("_sum0") + F.col("_end._base"), ignorenulls=True).over(before), zero))
-    joined = local.join(carried.select("app", SLICE, "_sum0", "_seg0", "_base0", "_later"), ["app", SLICE])
+    ).withColumn("_base0", F.coalesce(F.last(F.col("_sum0") + F.col("_base_end"), ignorenulls=True).over(before), zero))
+    carried = carried.select("app", SLICE, "_sum0", "_seg0", "_base0", "_event_later", "_ms_later")
+    joined = null_safe_join(local, carried, ["app", SLICE])
     base = F.coalesce(F.col("_sum0") + F.col("_base"), F.col("_base0"))
-    following = F.coalesce("_next", "_later")
     return joined.select(
         "app", "event", "ts_ms", "event_id",
         (F.col("_seg0") + F.col("_seg")).alias("seg"),
         (F.col("_sum0") + F.col("_sum") - base).alias("executors"),
-        following["event"].alias("next_event"), following["ts_ms"].alias("next_ms"),
+        F.coalesce("_event", "_event_later").alias("next_event"),
+        F.coalesce("_ms", "_ms_later").alias("next_ms"),
     )
 
 
@@ -293,8 +306,7 @@ def interpolated(series: DataFrame, keys: Sequence[str], order: str, value: str,
     last row.
     """
     keys = list(keys)
-    rows = series.select(*keys, order, value)
-    rows = with_slices(rows, order, quantile_cuts(rows, order, slices))
+    rows, any_cut = sliced(series.select(*keys, order, value), keys, order, slices)
     here = inside(keys, [order])
     point = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
     local = rows.withColumn("_i", F.row_number().over(here).cast("long")).withColumns(
@@ -303,8 +315,13 @@ def interpolated(series: DataFrame, keys: Sequence[str], order: str, value: str,
             "_hi": F.first(point, ignorenulls=True).over(here.rowsBetween(0, Window.unboundedFollowing)),
         }
     )
-    ends = local.groupBy(*keys, SLICE).agg(
-        F.max_by(F.struct("_i", "_lo"), order).alias("_end"), F.min_by(F.struct("_hi"), order).alias("_head")
+    if not any_cut:
+        return local.select(*keys, order, value, _between(value, F.col("_i"), F.col("_lo"), F.col("_hi")).alias("filled"))
+    marked = local.withColumn("_tail", F.lead("_i").over(here).isNull()).where(F.col("_tail") | (F.col("_i") == 1))
+    ends = marked.groupBy(*keys, SLICE).agg(
+        F.max("_i").alias("_n"),
+        F.max(F.when(F.col("_tail"), F.col("_lo"))).alias("_lo_end"),
+        F.max(F.when(F.col("_i") == 1, F.col("_hi"))).alias("_hi_head"),
     )
     before = across(keys).rowsBetween(Window.unboundedPreceding, -1)
     after = across(keys).rowsBetween(1, Window.unboundedFollowing)
@@ -313,17 +330,22 @@ def interpolated(series: DataFrame, keys: Sequence[str], order: str, value: str,
     def moved(p: Column) -> Column:
         return F.when(p.isNotNull(), F.struct((start + p["i"]).alias("i"), p["v"].alias("v")))
 
-    carried = ends.withColumn("_i0", F.coalesce(F.sum("_end._i").over(before), F.lit(0).cast("long"))).withColumns(
+    carried = ends.withColumn("_i0", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).withColumns(
         {
-            "_lo0": F.last(moved(F.col("_end._lo")), ignorenulls=True).over(before),
-            "_hi0": F.first(moved(F.col("_head._hi")), ignorenulls=True).over(after),
+            "_lo0": F.last(moved(F.col("_lo_end")), ignorenulls=True).over(before),
+            "_hi0": F.first(moved(F.col("_hi_head")), ignorenulls=True).over(after),
         }
     )
-    joined = local.join(carried.select(*keys, SLICE, "_i0", "_lo0", "_hi0"), [*keys, SLICE])
+    joined = null_safe_join(local, carried.select(*keys, SLICE, "_i0", "_lo0", "_hi0"), [*keys, SLICE])
     lo, hi = F.coalesce(moved(F.col("_lo")), F.col("_lo0")), F.coalesce(moved(F.col("_hi")), F.col("_hi0"))
-    between = lo["v"] + (hi["v"] - lo["v"]) * (start + F.col("_i") - lo["i"]) / F.nullif(hi["i"] - lo["i"], F.lit(0))
-    filled = F.when(F.col(value).isNotNull(), F.col(value)).when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(between)
-    return joined.select(*keys, order, value, filled.alias("filled"))
+    return joined.select(*keys, order, value, _between(value, start + F.col("_i"), lo, hi).alias("filled"))
+
+
+def _between(value: str, index: Column, lo: Column, hi: Column) -> Column:
+    """Value at ``index`` on the line between two known points (structs of index and value)."""
+    line = lo["v"] + (hi["v"] - lo["v"]) * (index - lo["i"]) / F.nullif(hi["i"] - lo["i"], F.lit(0))
+    known = F.col(value)
+    return F.when(known.isNotNull(), known).when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(line)
 
 
 def empirical_cdf(values: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], slices: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from furrow.session import materialize
 
@@ -20,7 +21,7 @@ from furrow.session import materialize
 WORDS, WORD_ITERATIONS = 3, 5
 MATCH_RATIO = 0.75
 SHOWN_MATCHES = 10
-# Centers travel to every row, so their number is checked.
+# Centers travel to every task, so their number is checked.
 MAX_CENTERS = 4096
 # Rows of one block in the blocked nearest-neighbour join.
 BLOCK_ROWS = 2048
@@ -33,32 +34,37 @@ def with_features(descriptors: DataFrame, column: str = "desc") -> DataFrame:
     return descriptors.where(F.col(column).isNotNull() & (F.size(column) > 0))
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
-
-
-def center_array(centers: DataFrame, limit: int = MAX_CENTERS) -> Column:
-    """All centers as one array (scalar subquery), in cluster order; fails beyond ``limit``."""
-    entries = F.array_sort(F.collect_list(F.struct("cluster", "center")))
-    size_ok = F.assert_true(F.count("*") <= limit, F.lit("too many centers to send to every row"))
-    return centers.agg(F.when(size_ok.isNull(), entries)).scalar()
+def center_list(centers: DataFrame, limit: int = MAX_CENTERS) -> np.ndarray:
+    """All centers in cluster order, on the driver; refuses more than ``limit``."""
+    rows = centers.select("cluster", "center").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} centers to send to every task")
+    rows.sort(key=lambda r: r["cluster"])
+    if [r["cluster"] for r in rows] != list(range(len(rows))):
+        raise ValueError("clusters must be numbered from 0 without gaps")
+    return np.array([r["center"] for r in rows], dtype=np.float64)
 
 
 def nearest_center(points: DataFrame, centers: DataFrame, column: str = "desc") -> DataFrame:
     """Adds ``cluster`` and ``dist``: the closest center, smallest cluster on ties.
 
-    The centers sit in the row as an array, so no row is multiplied and nothing shuffles.
+    The centers travel with the function and are compared in Arrow batches, so no row is
+    multiplied and nothing shuffles.
     """
-    scored = F.transform(
-        F.col("_centers"),
-        lambda c: F.struct(euclidean(F.col(column), c["center"]).alias("dist"), c["cluster"].alias("cluster")),
-    )
-    return (
-        points.withColumn("_centers", center_array(centers))
-        .withColumn("_best", F.array_min(scored))
-        .withColumns({"cluster": F.col("_best.cluster"), "dist": F.col("_best.dist")})
-        .drop("_centers", "_best")
+    known = center_list(centers)
+
+    @F.pandas_udf(StructType([StructField("cluster", IntegerType()), StructField("dist", DoubleType())]))
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        best, cluster = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
+        for k, center in enumerate(known):  # one center at a time keeps memory at the batch size
+            squares = ((x - center) ** 2).sum(axis=1)
+            closer = squares < best
+            best[closer], cluster[closer] = squares[closer], k
+        return pd.DataFrame({"cluster": cluster, "dist": np.sqrt(best)})
+
+    return points.withColumn("_near", nearest(column)).select(
+        *points.columns, F.col("_near.cluster").alias("cluster"), F.col("_near.dist").alias("dist")
     )
 
 

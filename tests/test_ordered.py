@@ -21,8 +21,7 @@ def rows(n=600, seed=1):
 @pytest.fixture()
 def data(spark):
     table = rows()
-    df = spark.createDataFrame(table, "k STRING, t BIGINT, id BIGINT, v DOUBLE").repartition(5)
-    return table, O.with_slices(df, "t", O.quantile_cuts(df, "t", 16))
+    return table, spark.createDataFrame(table, "k STRING, t BIGINT, id BIGINT, v DOUBLE").repartition(5)
 
 
 def by_key(table):
@@ -32,15 +31,20 @@ def by_key(table):
     return out
 
 
-def test_slices_split_the_hot_key(data):
+def test_only_the_hot_key_is_cut(data):
     table, df = data
-    sizes = [r["count"] for r in df.groupBy("k", O.SLICE).count().collect()]
-    assert max(sizes) < len(table) / 5
+    cut, any_cut = O.sliced(df, ["k"], "t", 16)
+    sizes = {(r["k"], r[O.SLICE]): r["count"] for r in cut.groupBy("k", O.SLICE).count().collect()}
+    assert any_cut and sum(k == "hot" for k, _ in sizes) > 10
+    assert max(n for (k, _), n in sizes.items() if k == "hot") < len(table) / 8
+    assert {s for k, s in sizes if k != "hot"} == {0}
+    assert O.sliced(df.where("k <> 'hot'"), ["k"], "t", 4)[1] is False
 
 
-def test_running_sum(data):
+@pytest.mark.parametrize("slices", [1, 16, 40])
+def test_running_sum(data, slices):
     table, df = data
-    got = {r["id"]: r["s"] for r in O.running_sums(df, ["k"], ["t", "id"], {"s": F.col("id")}).collect()}
+    got = {r["id"]: r["s"] for r in O.running_sums(df, ["k"], ["t", "id"], {"s": F.col("id")}, slices).collect()}
     for series in by_key(table).values():
         total = 0
         for row in series:
@@ -48,9 +52,15 @@ def test_running_sum(data):
             assert got[row[2]] == total
 
 
+def test_rows_without_key_are_kept(spark):
+    df = spark.createDataFrame([(None, i, i) for i in range(40)] + [("a", 3, 90)], "k STRING, t BIGINT, id BIGINT")
+    got = {r["id"]: r["rank"] for r in O.rank_within(df, ["k"], ["t", "id"], slices=8).collect()}
+    assert got == {**{i: i + 1 for i in range(40)}, 90: 1}
+
+
 def test_rank_and_index(spark, data):
     table, df = data
-    ranks = {r["id"]: r["rank"] for r in O.rank_within(df.drop(O.SLICE), ["k"], ["t", "id"], slices=7).collect()}
+    ranks = {r["id"]: r["rank"] for r in O.rank_within(df, ["k"], ["t", "id"], slices=7).collect()}
     for series in by_key(table).values():
         assert [ranks[r[2]] for r in series] == list(range(1, len(series) + 1))
     index = {r["id"]: r["row_index"] for r in O.row_index(df, "k", "t", "id").collect()}

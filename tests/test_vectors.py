@@ -75,10 +75,16 @@ def test_fitted_words_and_check_points(spark, tmp_path):
 
 
 def test_too_many_centers_are_refused(spark):
-    df = spark.createDataFrame([([1.0],)], "desc ARRAY<DOUBLE>")
     centers = spark.range(5).select(F.col("id").cast("int").alias("cluster"), F.array(F.col("id").cast("double")).alias("center"))
-    with pytest.raises(Exception, match="too many centers"):
-        df.withColumn("c", V.center_array(centers, limit=4)).collect()
+    with pytest.raises(ValueError, match="more than 4 centers"):
+        V.center_list(centers, limit=4)
+    assert V.center_list(centers).ravel().tolist() == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_nearest_center_takes_the_first_on_ties(spark):
+    df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 0.0],)], "desc ARRAY<FLOAT>")
+    centers = spark.createDataFrame([(1, [2.0, 0.0]), (0, [-2.0, 0.0])], "cluster INT, center ARRAY<DOUBLE>")
+    assert [(r["cluster"], r["dist"]) for r in V.nearest_center(df, centers).collect()] == [(0, 2.0), (1, 1.0)]
 
 
 def test_identity_has_no_residual(spark):

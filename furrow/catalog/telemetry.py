@@ -255,10 +255,10 @@ def _(spark, sf):
     f as (select p.*, l.value as lv, r.value as rv from p left join s l on l.host = p.host and l.metric = p.metric and l.i = p.li
       left join s r on r.host = p.host and r.metric = p.metric and r.i = p.ri)
     select host, metric, ts, round(case when value is not null then value when lv is null then rv when rv is null then lv
-      else lv + (rv - lv) * (i - li) / (ri - li) end, 6) as filled from f""").replace("\n,", ","))
+      else lv + (rv - lv) * (i - li) / (ri - li) end, 8) as filled from f""").replace("\n,", ","))
 def _(spark, sf):
     series = T.on_axis(hourly(spark, sf, MEMORY_METRICS), HOUR)
-    return T.interpolated(series, ["host", "metric"], "ts", "value").select("host", "metric", "ts", F.round("filled", 6).alias("filled"))
+    return T.interpolated(series, ["host", "metric"], "ts", "value").select("host", "metric", "ts", F.round("filled", 8).alias("filled"))
 
 
 @query("w09_empirical_cdf", _hourly_sql("cpu", """select ts, metric, round(value, 6) as value, round((row_number() over (partition by metric order by value, ts) - 1)

@@ -15,6 +15,7 @@ from furrow.operators import vectors as V
 from furrow.operators.ordered import row_index
 from furrow.plans import jobs
 from furrow.plans.steps import Step, run_steps
+from furrow.session import default_slices
 
 CELLS = [[0, 1, 0], [1, 0, 1], [0, 1, 0]]
 CENTRE = [[0, 0, 0], [0, 1, 0], [0, 0, 0]]
@@ -407,6 +408,8 @@ def _(spark, sf):
 def planes(spark, sf, scaled: int = 8) -> DataFrame:
     """Each grey image as one byte row, enlarged ``scaled`` times (8: a 64 x 64 picture)."""
     e = grey(spark, sf)
+    # both groupings below and the per-image work behind them share this one partitioning
+    e = e.repartition(default_slices(e), "image_id")
     line = e.groupBy("image_id", "y").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: F.repeat(F.lpad(F.hex(s["v"]), 2, "0"), scaled)), "").alias("row")
     )

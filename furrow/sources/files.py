@@ -89,9 +89,11 @@ def unpack(spark: SparkSession, source: str) -> DataFrame:
     return unpack_of(spark.read.schema("name STRING, content BINARY").parquet(source))
 
 
-def write_files(rows: DataFrame, folder: str) -> DataFrame:
+def write_files(rows: DataFrame, folder: str, flat: bool = False) -> DataFrame:
     """One file per ``(path, content)`` row in a folder that all executors share; returns
-    ``path, bytes`` when run. A repeated task overwrites its own files."""
+    ``path, bytes`` when run. Files take the base name of the path, or with ``flat`` its
+    folders too, for inputs that repeat a name in several folders. A repeated task writes
+    its own files again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pathlib import Path
@@ -99,8 +101,10 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
         base = Path(folder)
         base.mkdir(parents=True, exist_ok=True)
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                (base / path.rsplit("/", 1)[-1]).write_bytes(content)
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                (base / name).write_bytes(content)
             yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["content"].map(len)})
 
-    return rows.select("path", "content").mapInPandas(run, "path STRING, bytes BIGINT")
+    local = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    name = flat_name(local) if flat else base_name(F.col("path"))
+    return rows.select("path", name.alias("name"), "content").mapInPandas(run, "path STRING, bytes BIGINT")

@@ -270,3 +270,9 @@ def test_conversion_and_sharpening_write_readable_files(spark, folder, tmp_path)
     )
     assert pairs.where("data = again").count() == 5
     assert I.sharpen_images(images).where(F.length("content") > 0).count() == 5
+
+
+def test_same_names_in_several_folders(spark, folder, tmp_path):
+    images = files.decoded(spark, str(folder), recursive=True)
+    assert len(files.write_files(I.to_png(images), str(tmp_path / "flat"), flat=True).collect()) == 15
+    assert len(list((tmp_path / "flat").iterdir())) == 15

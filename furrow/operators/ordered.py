@@ -85,8 +85,14 @@ def across(keys: Sequence[str]) -> WindowSpec:
 def running_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], slices: int | None = None
 ) -> DataFrame:
-    """Inclusive running sum of each expression per key (first order column numeric)."""
+    """Inclusive running sum of each expression per key (first order column numeric).
+
+    Rows of a table with hot keys are written out once with their slices: an order column
+    that is itself a float average may come out a digit different when it is computed
+    again, and a row must not change its slice between the two uses.
+    """
     cut, any_cut = sliced(df, keys, order[0], slices)
+    cut = materialize(cut) if any_cut else cut
     upto = inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumns({n: F.sum(e).over(upto) for n, e in sums.items()})
     if not any_cut:

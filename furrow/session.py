@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import uuid
+import zipfile
+from pathlib import Path
+from tempfile import NamedTemporaryFile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,26 +29,59 @@ def build_session(app: str = "furrow", master: str | None = None, **conf: str) -
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and read it back from there.
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that they can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_furrow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, Path(root.name) / file.relative_to(root))
+    # the driver's own file server hands this file out; executors fetch it from there
+    with NamedTemporaryFile(prefix="furrow-", suffix=".zip", delete=False) as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(out.name)
+    sc._furrow_shipped = True
+
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local-mode session
-    that names none falls back to a temporary folder, since there the one machine
-    holds driver and executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which every executor can reach.
+
+    It is the one that the session names in ``spark.checkpoint.dir``. Where none is named, it
+    lies in the warehouse, which executors share as well.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="furrow-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if folder:
+        return folder.rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_furrow_intermediate"
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/furrow-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once, as Parquet in the shared folder, and reads it from there."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of ``df`` with a table in the shared folder."""
+    return stored(df)
 
 
 # Rows a side may have to be sent to every executor on purpose.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from furrow.llm.ngram_join import op9_ngram_join
 from furrow.llm.suffix_dedup import op7_suffix_dedup
 
 QUERIES = {
+    "op9_ngram_join": op9_ngram_join,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}

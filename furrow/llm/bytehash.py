@@ -73,7 +73,7 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Cuts a batch into row ranges of at most ``most`` bytes of text each; a longer row stands alone."""
     if not batch.num_rows:
         return

@@ -25,8 +25,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Number of hash buckets: several for each shuffle partition, so that these come out even."""
-    return 8 * shuffle_partitions(spark)
+    """Number of hash buckets. Two for each shuffle partition: packed rows number at most a task's slices or a
+    bucket's records times this."""
+    return 2 * shuffle_partitions(spark)
 
 
 def key_of(id_col: str) -> Column:

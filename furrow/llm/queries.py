@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from furrow.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from furrow.llm.ngram_join import op9_ngram_join
+from furrow.llm.packing import op6_best_fit
 from furrow.llm.suffix_dedup import op7_suffix_dedup
+from furrow.llm.token_files import op3_token_files
 
 QUERIES = {
-    "op9_ngram_join": op9_ngram_join,
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_token_files": op3_token_files,
+    "op6_best_fit": op6_best_fit,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_ngram_join": op9_ngram_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}

@@ -196,18 +196,41 @@ def _(spark, sf):
     return B.rectified_size(_corners(spark, sf)).select("l_orderkey", "width", "height")
 
 
-@query("g08_fitted_homographies")
+# One transform per supplier, and its order lines as matches, four in ten of them off.
+SCALE_X, SCALE_Y = "(1 + l_suppkey % 7 / 100.0::DOUBLE)", "(l_suppkey % 5 / 100.0::DOUBLE)"
+FITTED = f"""with m as (select l_suppkey::VARCHAR as group_key, count(*) as n, count(*) filter (where (l_orderkey * 7 + l_linenumber * 3) % 10 >= 4) as good,
+    any_value({SCALE_X}) as a, any_value({SCALE_Y}) as b, any_value(l_suppkey % 50) as c, any_value(l_suppkey % 30) as d from lineitem group by 1)"""
+
+
+def supplier_matches(spark, sf):
+    key = F.col("l_suppkey")
+    a, b = F.lit(1) + key % 7 / F.lit(100.0), key % 5 / F.lit(100.0)
+    line = table(spark, sf, "lineitem").withColumns({"xs": (F.col("l_partkey") * 37 % 1000).cast("double"), "ys": F.floor(F.col("l_extendedprice")) % 997 * F.lit(1.0)})
+    off = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3) % 10 < 4
+    away = F.when(off, F.lit(100.0) + F.col("l_orderkey") * 13 % 600).otherwise(0.0)
+    return line.select(
+        key.cast("string").alias("group_key"), F.lit(1).alias("band"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("kp"), "xs", "ys",
+        (a * F.col("xs") - b * F.col("ys") + key % 50 + away).alias("xd"), (b * F.col("xs") + a * F.col("ys") + key % 30 - away).alias("yd"),
+    )
+
+
+def _fitted(spark, sf):
+    matches = supplier_matches(spark, sf)
+    return G.with_target(G.fit_homographies(matches), matches.select("group_key").distinct(), 0)
+
+
+@query("g08_fitted_homographies", FITTED + """ select group_key, 1 as band, [round(a, 3), round(-b, 3) + 0, c, round(b, 3), round(a, 3), d, 0, 0, 1]::DOUBLE[] as h,
+    0.0::DOUBLE as bp_error, good as inliers from m union all select group_key, 0, [1, 0, 0, 0, 1, 0, 0, 0, 1]::DOUBLE[], 0.0, 0 from m""")
 def _(spark, sf):
-    keyed = keyed_descriptors(spark, sf)
-    matches = V.match_points(V.ratio_matches(V.nearest_two(keyed, 0), 0.95), keyed, 0)
-    groups = keyed.select("group_key").distinct()
-    return G.with_target(G.fit_homographies(matches), groups, 0)
+    """Fitted transforms to three digits, and the matches that agree."""
+    h = F.transform("h", lambda v: F.round(v, 3) + 0.0)
+    return _fitted(spark, sf).select("group_key", "band", h.alias("h"), (F.round("bp_error", 3) + 0.0).alias("bp_error"), "inliers")
 
 
-@query("g19_registration_fit")
+@query("g19_registration_fit", FITTED + f""" select group_key, ceil(round(c, 3))::BIGINT + r as x0, {WIDTH} - (ceil(round(c, 3))::BIGINT + r) as x1,
+    ceil(round(d, 3))::BIGINT + r as y0, {HEIGHT} - (ceil(round(d, 3))::BIGINT + r) as y1
+    from (select *, ceil(round(sin(abs(atan2(-round(b, 5), round(a, 5)))) * {WIDTH}, 9))::BIGINT as r from m)""")
 def _(spark, sf):
-    """Registration up to the crop box: neighbours, ratio test, fit, common box."""
-    keyed = keyed_descriptors(spark, sf)
-    matches = V.match_points(V.ratio_matches(V.nearest_two(keyed, 0), 0.95), keyed, 0)
-    fitted = G.with_target(G.fit_homographies(matches), keyed.select("group_key").distinct(), 0)
+    """Registration up to the crop box of the fitted bands."""
+    fitted = _fitted(spark, sf).withColumn("h", F.transform("h", lambda v: F.round(v, 5) + 0.0))
     return B.crop_box(fitted.where(F.col("h").isNotNull()), WIDTH, HEIGHT)

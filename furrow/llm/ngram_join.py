@@ -99,7 +99,7 @@ class Bands:
         self.num, self.den = num, den
         low = [1]
         while low[-1] < 2**31:
-            low.append(max(low[-1] + 1, -(-low[-1] * den // num)))
+            low.append(max(low[-1] + 1, -(-low[-1] * den // num), low[-1] * 11 // 10))
         self.low = np.array(low, np.int64)
         most = self.low[1:] - 1
         self.differ = 2 * most * (den - num) // (den + num)  # most shingles in which linked sets differ
@@ -309,7 +309,8 @@ def ngram_join(
     sizes = met.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("size"))
     classes = connected_components(met.where(F.col("kind") == EDGE).select("a", "b"))
     tiles = _tiles(classes, sizes.groupBy("id").agg(F.max("size").alias("size")), bands)
-    pieces = texts.join(tiles, "id").withColumn("bucket", F.pmod(F.xxhash64("pair"), F.lit(n)))
+    # a merge join at every size: texts move once, tiles are as many as documents that may link
+    pieces = texts.join(tiles.hint("merge"), "id").withColumn("bucket", F.pmod(F.xxhash64("pair"), F.lit(n)))
     links = pieces.groupBy("bucket").applyInArrow(compare_tiles(words, bands), "a long, b long")
     found = connected_components(links)
     joined = sizes.join(found, "id", "left")

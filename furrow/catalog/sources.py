@@ -66,20 +66,21 @@ def _(spark, sf):
     return L.event_lines(log.select("app", "event_id", cut.alias("value"))).select("app", "event", "ts_ms", "event_id")
 
 
-@query("s10_long_metrics", """select floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 as ts, 'node-' || (user_id % 2) as host,
-    case event_type when 'signup' then 'cpu_idle' else 'mem_free' end as metric, round(sum(value), 6) as value from events
-    where event_type in ('signup', 'view') group by all""")
+KINDS = {"signup": "cpu_idle", "view": "mem_free", "click": "cpu_user", "purchase": "bytes_in", "error": "load_one"}
+
+
+@query("s10_long_metrics", f"""select floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 as ts, 'node-' || (user_id % 11) as host,
+    case event_type {" ".join(f"when '{k}' then '{v}'" for k, v in KINDS.items())} end as metric, round(sum(value), 6) as value from events group by all""")
 def _(spark, sf):
-    """A wide sheet with one row per hour, padded headers as exported."""
+    """A wide sheet with one row per hour and a column per host and event type, padded headers as exported."""
     e = table(spark, sf, "events").withColumn("hour", F.date_trunc("hour", "ts"))
 
-    def cell(kind: str, host: int, header: str):
-        return F.round(F.sum(F.when((F.col("event_type") == kind) & (F.col("user_id") % 2 == host), F.col("value"))), 6).alias(header)
+    def cell(kind: str, host: int):
+        pad = " " * (host % 3)
+        value = F.when((F.col("event_type") == kind) & (F.col("user_id") % 11 == host), F.col("value"))
+        return F.round(F.sum(value), 6).alias(f"{pad}node-{host} {KINDS[kind]}{pad}")
 
-    wide = e.groupBy(F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ssXXX").alias(" Timestamp")).agg(
-        cell("signup", 0, "node-0 cpu_idle "), cell("signup", 1, " node-1 cpu_idle"),
-        cell("view", 0, "node-0 mem_free"), cell("view", 1, " node-1 mem_free "),
-    )
+    wide = e.groupBy(F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ssXXX").alias(" Timestamp")).agg(*[cell(k, h) for k in KINDS for h in range(11)])
     return L.long_metrics(wide).where(F.col("value").isNotNull())
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from furrow.catalog.registry import (
@@ -13,9 +12,8 @@ from furrow.operators import telemetry as T
 from furrow.operators.ordered import row_index
 from furrow.sources.sinks import json_lines
 
-HOUR = 3600
-# A month of sparse events: one step per hour instead of one per second.
-FILL_STEP = HOUR
+# The events span a month; as a log that is filled second by second, an hour of theirs is one second.
+FASTER = 3600
 
 
 @query("f06_listener_events", sql("select app, event, ts_ms, event_id from kept", "kept"))
@@ -72,11 +70,12 @@ def _(spark, sf):
     return T.last_per_second(T.executor_timeline(events), start)
 
 
-@query("w07_filled_timeline", sql(f"""select app, event_id, ts_ms + k * {FILL_STEP * 1000} as at_ms, executors from (select *,
-    unnest(range(greatest(ceil((coalesce(next_ms, ts_ms + {FILL_STEP * 1000}) - ts_ms) / {FILL_STEP * 1000}.0::DOUBLE), 1)::BIGINT)) as k from timeline)""",
-    "timeline"))
+@query("w07_filled_timeline", sql(f"""select app, event_id, ts_ms + k * 1000 as at_ms, executors from (select *,
+    unnest(range(greatest(ceil((coalesce(next_ms, ts_ms + 1000) - ts_ms) / 1000.0::DOUBLE), 1)::BIGINT)) as k
+    from (select * replace (ts_ms // {FASTER} as ts_ms, next_ms // {FASTER} as next_ms) from timeline))""", "timeline"))
 def _(spark, sf):
-    return T.filled(T.executor_timeline(event_log(spark, sf)), FILL_STEP)
+    line = T.executor_timeline(event_log(spark, sf))
+    return T.filled(line.withColumns({c: F.floor(F.col(c) / F.lit(FASTER)) for c in ("ts_ms", "next_ms")}))
 
 
 @query("a19_job_times", sql("select *, round(waiting + execution, 3) as total from jobsecs", "jobsecs"))
@@ -107,11 +106,11 @@ JOB_SQL = "case when app like '%imageClustering%' then 'IC' when app like '%flow
     round(a.value, 6) as start_value, round(b.value, 6) as end_value
     from (select *, round((first_executor_ms - (select min(ts_ms) from ev)) / 1000.0::DOUBLE)::BIGINT as start_s,
       round((end_ms - (select min(ts_ms) from ev)) / 1000.0::DOUBLE)::BIGINT as end_s from jobtimes) j
-    left join axis a on a.slot = floor(floor(first_executor_ms / 1000) / 900) * 900
-    left join axis b on b.slot = floor(floor(end_ms / 1000) / 900) * 900""", "jobtimes", "mem").replace(
-    "\nselect app, case", ",\naxis as (select floor(ts / 900)::BIGINT * 900 as slot, avg(value) as value from mem group by 1)\nselect app, case", 1))
+    left join axis a on a.slot = floor(floor(first_executor_ms / 1000) / 15) * 15
+    left join axis b on b.slot = floor(floor(end_ms / 1000) / 15) * 15""", "jobtimes", "mem").replace(
+    "\nselect app, case", ",\naxis as (select floor(ts / 15)::BIGINT * 15 as slot, avg(value) as value from mem group by 1)\nselect app, case", 1))
 def _(spark, sf):
-    marks = T.job_marks(event_log(spark, sf), metrics(spark, sf), 900)
+    marks = T.job_marks(event_log(spark, sf), metrics(spark, sf))
     return marks.withColumns({c: F.round(c, 6) for c in ("start_value", "end_value")})
 
 
@@ -140,10 +139,13 @@ def _(spark, sf):
 # ---- host metrics -----------------------------------------------------------------
 
 
-@query("s11_fetched_metrics", sql("""select floor(ts / 15)::BIGINT * 15 as ts, host, metric, round(avg(value), 6) as value from mem
-    where ts between 1704412800 and 1705622400 and host not in ('h0', 'h7') group by 1, 2, 3""", "mem"))
+@query("s11_fetched_metrics", sql("""select ts, host, metric, round(value, 6) as value from
+    (select distinct host, metric from inside) cross join (select unnest(range(1704412800, 1704434400 + 1, 15))::BIGINT as ts)
+    left join (select floor(ts / 15)::BIGINT * 15 as ts, host, metric, avg(value) as value from inside group by 1, 2, 3) using (host, metric, ts)""",
+    "mem").replace("\nselect ts", ", inside as (select * from mem where ts between 1704412800 and 1704434400 and host not in ('h0', 'h7'))\nselect ts", 1))
 def _(spark, sf):
-    fetched = T.fetch(metrics(spark, sf), 1704412800, 1705622400, exclude_hosts=["h0", "h7"])
+    """Six hours, each slot of 15 seconds."""
+    fetched = T.fetch(metrics(spark, sf), 1704412800, 1704434400, exclude_hosts=["h0", "h7"])
     return fetched.withColumn("value", F.round("value", 6))
 
 
@@ -152,51 +154,52 @@ def _(spark, sf):
     return T.pick_metrics(metrics(spark, sf), ["mem_"], ["h3", "h10"])
 
 
-def hourly(spark, sf, names):
+def slotted(spark, sf, names):
+    """Means of each slot of 15 seconds."""
     m = metrics(spark, sf, names)
-    return m.groupBy(T.slot(F.col("ts"), HOUR).alias("ts"), "host", "metric").agg(F.avg("value").alias("value"))
+    return m.groupBy(T.slot(F.col("ts")).alias("ts"), "host", "metric").agg(F.avg("value").alias("value"))
 
 
-HOURLY = ", hourly as (select floor(ts / 3600)::BIGINT * 3600 as ts, host, metric, avg(value) as value from {} group by 1, 2, 3)"
+SLOTTED = ", slotted as (select floor(ts / 15)::BIGINT * 15 as ts, host, metric, avg(value) as value from {} group by 1, 2, 3)"
 
 
-def _hourly_sql(source: str, final: str) -> str:
-    return sql("", source).rstrip() + HOURLY.format(source) + "\n" + final
+def _slotted_sql(source: str, final: str) -> str:
+    return sql("", source).rstrip() + SLOTTED.format(source) + "\n" + final
 
 
-@query("a14_host_mean", _hourly_sql("cpu", """select ts, metric, round(avg(case when metric like 'bytes%' then value / 1024 else value end), 6) as value,
-    count(value) as hosts from hourly group by 1, 2"""))
+@query("a14_host_mean", _slotted_sql("cpu", """select ts, metric, round(avg(case when metric like 'bytes%' then value / 1024 else value end), 6) as value,
+    count(value) as hosts from slotted group by 1, 2"""))
 def _(spark, sf):
-    return T.host_mean(hourly(spark, sf, CPU_METRICS)).withColumn("value", F.round("value", 6))
+    return T.host_mean(slotted(spark, sf, CPU_METRICS)).withColumn("value", F.round("value", 6))
 
 
-@query("a14_cpu_use", _hourly_sql("cpu", """select ts, round(avg(value) filter (where metric = 'cpu_user')
-    + avg(value) filter (where metric = 'cpu_wio'), 6) as cpu_use from hourly group by 1"""))
+@query("a14_cpu_use", _slotted_sql("cpu", """select ts, round(avg(value) filter (where metric = 'cpu_user')
+    + avg(value) filter (where metric = 'cpu_wio'), 6) as cpu_use from slotted group by 1"""))
 def _(spark, sf):
-    return T.cpu_use(hourly(spark, sf, CPU_METRICS), with_wait=True).withColumn("cpu_use", F.round("cpu_use", 6))
+    return T.cpu_use(slotted(spark, sf, CPU_METRICS), with_wait=True).withColumn("cpu_use", F.round("cpu_use", 6))
 
 
-@query("a15_host_sum", _hourly_sql("cpu", "select ts, metric, round(sum(value) / 11, 6) as value from hourly group by 1, 2"))
+@query("a15_host_sum", _slotted_sql("cpu", "select ts, metric, round(sum(value) / 11, 6) as value from slotted group by 1, 2"))
 def _(spark, sf):
-    return T.host_sum(hourly(spark, sf, CPU_METRICS), 11.0).withColumn("value", F.round("value", 6))
+    return T.host_sum(slotted(spark, sf, CPU_METRICS), 11.0).withColumn("value", F.round("value", 6))
 
 
 MEMORY_SQL = """select ts, round(avg(used), 4) as mem_used, round(100 - avg(used), 4) as mem_free from (select ts, host, (t - f) / nullif(t, 0) * 100 as used
     from (select ts, host, sum(value) filter (where metric = 'mem_total') as t, coalesce(sum(value) filter (where metric = 'mem_free'), 0)
       + coalesce(sum(value) filter (where metric = 'mem_cached'), 0) + coalesce(sum(value) filter (where metric = 'mem_buffers'), 0) as f
-      from hourly group by 1, 2)) group by 1"""
+      from slotted group by 1, 2)) group by 1"""
 
 
-@query("a16_memory_use", _hourly_sql("mem", MEMORY_SQL))
+@query("a16_memory_use", _slotted_sql("mem", MEMORY_SQL))
 def _(spark, sf):
-    used = T.memory_use(hourly(spark, sf, MEMORY_METRICS))
+    used = T.memory_use(slotted(spark, sf, MEMORY_METRICS))
     return used.select("ts", F.round("mem_used", 4).alias("mem_used"), F.round("mem_free", 4).alias("mem_free"))
 
 
-@query("a16_memory_by_class", _hourly_sql("mem", """select ts, round(avg(value / case when host like '%h1%' then 40.0 else 25.0 end * 100), 8) as mem_free,
-    round(100 - avg(value / case when host like '%h1%' then 40.0 else 25.0 end * 100), 8) as mem_used from hourly where metric = 'mem_free' group by 1"""))
+@query("a16_memory_by_class", _slotted_sql("mem", """select ts, round(avg(value / case when host like '%h1%' then 40.0 else 25.0 end * 100), 8) as mem_free,
+    round(100 - avg(value / case when host like '%h1%' then 40.0 else 25.0 end * 100), 8) as mem_used from slotted where metric = 'mem_free' group by 1"""))
 def _(spark, sf):
-    used = T.memory_use_by_class(hourly(spark, sf, MEMORY_METRICS), ["h1"], 40.0, 25.0)
+    used = T.memory_use_by_class(slotted(spark, sf, MEMORY_METRICS), ["h1"], 40.0, 25.0)
     return used.select("ts", F.round("mem_free", 8).alias("mem_free"), F.round("mem_used", 8).alias("mem_used"))
 
 
@@ -213,11 +216,12 @@ def metrics_maps(spark, sf):
 
 
 @query("x19_flat_json", """select event_id, 'k' as path, props->>'k' as value from events union all
-    select event_id, 'tags_0', event_type from events union all select event_id, 'tags_1_user', user_id::VARCHAR from events""")
+    select event_id, 'tags_0', event_type from events union all select event_id, 'tags_1_user', user_id::VARCHAR from events
+    union all select event_id, 'tags_1_none', null from events""")
 def _(spark, sf):
     e = table(spark, sf, "events")
     tags = F.concat(
-        F.lit(', "tags": ["'), "event_type", F.lit('", {"user": '), F.col("user_id").cast("string"), F.lit("}]}")
+        F.lit(', "tags": ["'), "event_type", F.lit('", {"user": '), F.col("user_id").cast("string"), F.lit(', "none": null}]}')
     )
     nested = e.select("event_id", F.concat(F.expr("substring(props, 1, length(props) - 1)"), tags).alias("doc"))
     return T.flat_json(nested, "event_id", "doc")
@@ -236,35 +240,42 @@ def _(spark, sf):
     return T.standard_error(table(spark, sf, "events"), ["event_type"], "value").withColumn("std_error", F.round("std_error", 6))
 
 
-@query("a24_unit_histogram", """select least(floor(value), 48)::BIGINT as bin, count(*) as n from events where value >= 0 and value <= 49 group by 1""")
+@query("a24_unit_histogram", """select bin::BIGINT as bin, coalesce(n, 0) as n from (select unnest(range((select floor(max(value))::BIGINT + 1 from events))) as bin)
+    left join (select floor(value)::BIGINT as bin, count(*) as n from events where value >= 0 group by 1) using (bin)""")
 def _(spark, sf):
-    return T.unit_histogram(table(spark, sf, "events"), "value", 50)
+    return T.unit_histogram(table(spark, sf, "events"), "value")
 
 
-@query("a24_equal_histogram", """select least(floor((v - lo) * 10 / nullif(hi - lo, 0)::DOUBLE), 9)::BIGINT as bin, count(*) as n from
-    (select trunc(value)::BIGINT as v from events), (select min(trunc(value))::BIGINT as lo, max(trunc(value))::BIGINT as hi from events) group by 1""")
+@query("a24_equal_histogram", """select bin::BIGINT as bin, coalesce(n, 0) as n from (select unnest(range(10)) as bin) left join
+    (select least(floor((v - lo) * 10 / nullif(hi - lo, 0)::DOUBLE), 9)::BIGINT as bin, count(*) as n from
+    (select trunc(value)::BIGINT as v from events), (select min(trunc(value))::BIGINT as lo, max(trunc(value))::BIGINT as hi from events) group by 1) using (bin)""")
 def _(spark, sf):
     return T.equal_histogram(table(spark, sf, "events"), "value")
 
 
-@query("w08_interpolated", _hourly_sql("mem", """, ax as (select host, metric, unnest(range(lo, hi + 1, 3600)) as ts from
-      (select distinct host, metric from hourly), (select min(ts) as lo, max(ts) as hi from hourly)),
-    s as (select a.*, h.value, row_number() over (partition by a.host, a.metric order by a.ts) as i from ax a left join hourly h using (host, metric, ts)),
+DAY = 1704412800
+
+
+@query("w08_interpolated", sql("", "mem").rstrip() + f""", inside as (select * from mem where ts between {DAY} and {DAY + 86399}),
+    h as (select floor(ts / 15)::BIGINT * 15 as ts, host, metric, avg(value) as value from inside group by 1, 2, 3),
+    ax as (select host, metric, unnest(range({DAY}, {DAY + 86400}, 15))::BIGINT as ts from (select distinct host, metric from h)),
+    s as (select a.*, h.value, row_number() over (partition by a.host, a.metric order by a.ts) as i from ax a left join h using (host, metric, ts)),
     p as (select *, max(case when value is not null then i end) over (partition by host, metric order by i rows unbounded preceding) as li,
       min(case when value is not null then i end) over (partition by host, metric order by i rows between current row and unbounded following) as ri from s),
     f as (select p.*, l.value as lv, r.value as rv from p left join s l on l.host = p.host and l.metric = p.metric and l.i = p.li
       left join s r on r.host = p.host and r.metric = p.metric and r.i = p.ri)
     select host, metric, ts, round(case when value is not null then value when lv is null then rv when rv is null then lv
-      else lv + (rv - lv) * (i - li) / (ri - li) end, 8) as filled from f""").replace("\n,", ","))
+      else lv + (rv - lv) * (i - li) / (ri - li) end, 8) as filled from f""")
 def _(spark, sf):
-    series = T.on_axis(hourly(spark, sf, MEMORY_METRICS), HOUR)
+    """A fetched day, each slot of 15 seconds."""
+    series = T.fetch(metrics(spark, sf), DAY, DAY + 86399)
     return T.interpolated(series, ["host", "metric"], "ts", "value").select("host", "metric", "ts", F.round("filled", 8).alias("filled"))
 
 
-@query("w09_empirical_cdf", _hourly_sql("cpu", """select ts, metric, round(value, 6) as value, round((row_number() over (partition by metric order by value, ts) - 1)
-    / nullif(count(*) over (partition by metric) - 1, 0)::DOUBLE, 6) as cdf from (select ts, metric, round(avg(value), 9) as value from hourly group by 1, 2)"""))
+@query("w09_empirical_cdf", _slotted_sql("cpu", """select ts, metric, round(value, 6) as value, round((row_number() over (partition by metric order by value, ts) - 1)
+    / nullif(count(*) over (partition by metric) - 1, 0)::DOUBLE, 6) as cdf from (select ts, metric, round(avg(value), 9) as value from slotted group by 1, 2)"""))
 def _(spark, sf):
-    mean = T.host_mean(hourly(spark, sf, {**CPU_METRICS, "error": "net_in"})).select("ts", "metric", F.round("value", 9).alias("value"))
+    mean = T.host_mean(slotted(spark, sf, {**CPU_METRICS, "error": "net_in"})).select("ts", "metric", F.round("value", 9).alias("value"))
     renamed = mean.withColumn("metric", F.when(F.col("metric") == "net_in", "bytes_in").otherwise(F.col("metric")))
     out = T.empirical_cdf(renamed, ["metric"], "value", ["ts"])
     return out.select("ts", "metric", F.round("value", 6).alias("value"), F.round("cdf", 6).alias("cdf"))
@@ -290,9 +301,11 @@ def _(spark, sf):
     return indexed.select("page_id", F.when(F.col("row_index") < half, "first").otherwise("second").alias("half"))
 
 
-@query("a25_partition_sizes")
+@query("a25_partition_sizes", "select count(*) as rows, count(*) / 8.0::DOUBLE as mean, 8::BIGINT as partitions from events")
 def _(spark, sf):
-    return T.partition_sizes(table(spark, sf, "events").repartition(8, "event_id"))
+    """Sizes that repartitioning by key gives depend on Spark's hash; their sum, mean and number do not."""
+    sizes = T.partition_sizes(table(spark, sf, "events").repartition(8, "event_id"))
+    return sizes.select((F.col("mean") * F.col("partitions")).cast("long").alias("rows"), "mean", "partitions")
 
 
 @query("a28_key_sums", "select event_type as key, round(sum(value), 4) as total from events group by 1")
@@ -309,7 +322,7 @@ def _(spark, sf):
 
 @query("o06_layout", "select event_type, count(*) as n from events group by 1")
 def _(spark, sf):
-    spread = table(spark, sf, "events").repartition(8, "event_id").persist(StorageLevel.MEMORY_AND_DISK)
+    spread = table(spark, sf, "events").repartition(8, "event_id")
     return spread.coalesce(4).groupBy("event_type").agg(F.count("*").alias("n"))
 
 

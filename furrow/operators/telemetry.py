@@ -6,13 +6,10 @@ seconds), ``host, metric, value``. Ordering is always (time, id).
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from furrow.functions.stats import normal_cdf, normal_pdf
 from furrow.functions.text import bytes_to_kb, job_code, wall_clock, whole_seconds
@@ -126,6 +123,16 @@ def last_per_second(timeline: DataFrame, start: Column | None = None) -> DataFra
     )
 
 
+def counted_out(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row ``count`` times, with ``name`` = 0, 1, ... Opened in two levels (runs of 4096, then their members),
+    so that no row ever carries one long array; runs are spread over all tasks in between."""
+    run = 4096
+    last_run = F.floor((F.col(count) - 1) / run)
+    runs = rows.where(F.col(count) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last_run)))
+    last = F.least(F.col(count) - 1, F.col("_run") * run + (run - 1))
+    return runs.withColumn(name, F.explode(F.sequence(F.col("_run") * run, last))).drop("_run")
+
+
 def filled(timeline: DataFrame, step_s: int = 1) -> DataFrame:
     """One row per step between an event and the next one, with the current count.
 
@@ -133,13 +140,8 @@ def filled(timeline: DataFrame, step_s: int = 1) -> DataFrame:
     no row ever carries one long array.
     """
     step = step_s * 1000
-    run = 4096
     count = F.greatest(F.ceil((F.coalesce("next_ms", F.col("ts_ms") + step) - F.col("ts_ms")) / F.lit(float(step))), F.lit(1))
-    runs = timeline.withColumn("_n", count.cast("long")).withColumn(
-        "_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / run)))
-    )
-    last = F.least(F.col("_n") - 1, F.col("_run") * run + (run - 1))
-    steps = runs.withColumn("_k", F.explode(F.sequence(F.col("_run") * run, last)))
+    steps = counted_out(timeline.withColumn("_n", count.cast("long")), "_n", "_k")
     return steps.select("app", "event_id", (F.col("ts_ms") + F.col("_k") * step).alias("at_ms"), "executors")
 
 
@@ -224,9 +226,18 @@ def pick_metrics(metrics: DataFrame, fragments: Sequence[str] = (), exclude_host
 
 
 def fetch(metrics: DataFrame, start: int, end: int, resolution: int = RESOLUTION, exclude_hosts: Sequence[str] = ()) -> DataFrame:
-    """Average per (host, metric, slot) inside the range, both ends included."""
+    """Average per (host, metric, slot) of the range, both ends included. Every slot of the range is returned for
+    each (host, metric) that has a value in it; slots without values are NULL."""
     inside = pick_metrics(metrics, exclude_hosts=exclude_hosts).where(F.col("ts").between(start, end))
-    return inside.groupBy(slot(F.col("ts"), resolution).alias("ts"), "host", "metric").agg(F.avg("value").alias("value"))
+    found = inside.groupBy(slot(F.col("ts"), resolution).alias("ts"), "host", "metric").agg(F.avg("value").alias("value"))
+    first, last = start // resolution * resolution, end // resolution * resolution
+    return _every_slot(found, F.lit(first), F.lit((last - first) // resolution + 1), resolution)
+
+
+def _every_slot(metrics: DataFrame, first: Column, slots: Column, resolution: int) -> DataFrame:
+    series = metrics.select("host", "metric").distinct().withColumn("_n", slots.cast("long"))
+    axis = counted_out(series, "_n", "_k").select("host", "metric", (first + F.col("_k") * resolution).cast("long").alias("ts"))
+    return axis.join(metrics, ["host", "metric", "ts"], "left").select("ts", "host", "metric", "value")
 
 
 def on_axis(metrics: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
@@ -234,8 +245,7 @@ def on_axis(metrics: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     missing slots are NULL."""
     bounds = metrics.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
     low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
-    axis = metrics.select("host", "metric").distinct().withColumn("ts", F.explode(F.sequence(low, high, F.lit(resolution).cast("long"))))
-    return axis.join(metrics, ["host", "metric", "ts"], "left")
+    return _every_slot(metrics, low, F.floor((high - low) / F.lit(resolution)) + 1, resolution)
 
 
 def host_mean(metrics: DataFrame) -> DataFrame:
@@ -309,11 +319,11 @@ def interpolated(series: DataFrame, keys: Sequence[str], order: str, value: str,
     rows, any_cut = sliced(series.select(*keys, order, value), keys, order, slices)
     here = inside(keys, [order])
     point = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
+    # both frames grow with the rows; one that shrinks to the end would be read anew for every row
+    upwards = Window.partitionBy(*keys, SLICE).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    downwards = Window.partitionBy(*keys, SLICE).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_i", F.row_number().over(here).cast("long")).withColumns(
-        {
-            "_lo": F.last(point, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)),
-            "_hi": F.first(point, ignorenulls=True).over(here.rowsBetween(0, Window.unboundedFollowing)),
-        }
+        {"_lo": F.last(point, ignorenulls=True).over(upwards), "_hi": F.last(point, ignorenulls=True).over(downwards)}
     )
     if not any_cut:
         return local.select(*keys, order, value, _between(value, F.col("_i"), F.col("_lo"), F.col("_hi")).alias("filled"))
@@ -374,22 +384,33 @@ def standard_error(values: DataFrame, keys: Sequence[str], value: str) -> DataFr
     return values.groupBy(*keys).agg((F.stddev_pop(value) / F.sqrt(F.nullif(F.count(value), F.lit(0)))).alias("std_error"))
 
 
-def unit_histogram(values: DataFrame, column: str, limit: Column | int) -> DataFrame:
-    """Counts in the unit bins 0 .. limit - 1; the last bin includes its upper edge."""
-    v, top = F.col(column), F.lit(limit) if isinstance(limit, int) else limit
+def unit_histogram(values: DataFrame, column: str, limit: Column | int | None = None) -> DataFrame:
+    """Counts in the unit bins 0 .. limit - 2, empty ones included; the last bin includes its upper edge. Without a
+    limit the bins reach the greatest value."""
+    v = F.col(column)
+    if limit is None:
+        limit = values.agg((F.floor(F.max(column)) + 2).alias("top")).select("top").scalar()
+    top = F.lit(limit) if isinstance(limit, int) else limit
     kept = values.where((v >= 0) & (v <= top - 1))
-    return kept.groupBy(F.least(F.floor(v), top - 2).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    counts = kept.groupBy(F.least(F.floor(v), top - 2).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return _every_bin(counts, (top - 1).cast("long"))
+
+
+def _every_bin(counts: DataFrame, bins: Column) -> DataFrame:
+    """All bins 0 .. bins - 1, with 0 where nothing was counted."""
+    one = counts.sparkSession.range(1).select(F.coalesce(bins, F.lit(0)).cast("long").alias("_n"))
+    axis = counted_out(one, "_n", "bin").select("bin")
+    return axis.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def equal_histogram(values: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Counts of the truncated values in ``bins`` equal bins between their min and max."""
-    whole = values.select(F.col(column).cast("long").alias("_v"))
+    """Counts of the truncated values in ``bins`` equal bins between their min and max, empty ones included."""
+    whole = values.select(F.col(column).cast("long").alias("_v")).where("_v is not null")
     bounds = whole.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     place = F.floor((F.col("_v") - lo) * bins / F.nullif(hi - lo, F.lit(0)))
-    return whole.groupBy(F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("long").alias("bin")).agg(
-        F.count("*").alias("n")
-    )
+    counts = whole.groupBy(F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return _every_bin(counts, F.lit(bins))
 
 
 def partition_sizes(df: DataFrame) -> DataFrame:
@@ -441,24 +462,31 @@ def longest_stages(stages: DataFrame) -> DataFrame:
 
 
 def flat_json(rows: DataFrame, key: str, document: str) -> DataFrame:
-    """Leaves of a JSON document as (path, value) rows; the path joins the object keys and
-    array positions with underscores, at any depth."""
-    return rows.select(key, F.inline(json_leaves(F.col(document))))
-
-
-def _leaves(node, path: str = ""):
-    if isinstance(node, dict | list):
-        members = node.items() if isinstance(node, dict) else enumerate(node)
-        for name, child in members:
-            yield from _leaves(child, f"{path}_{name}" if path else str(name))
-    elif node is not None:
-        yield {"path": path, "value": node if isinstance(node, str) else json.dumps(node)}
-
-
-@F.pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
-def json_leaves(documents: pd.Series) -> pd.Series:
-    # the depth is not known beforehand, which the built-in JSON functions need
-    return documents.map(lambda d: [] if d is None else list(_leaves(json.loads(d))))
+    """Leaves of a JSON document as (path, value) rows; the path joins the object keys and array positions with
+    underscores. Null leaves keep their row, with a NULL value. Documents are opened level by level, as deep as the
+    deepest goes; a document that is no JSON has no leaves.
+    """
+    level = rows.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(F.col(document)).alias("node"))
+    leaves = None
+    while True:
+        shape = F.schema_of_variant("node")
+        opened = level.withColumn("shape", F.when(shape.startswith("OBJECT<"), "object").when(shape.startswith("ARRAY<"), "array").otherwise("leaf"))
+        here = opened.where("shape = 'leaf' and path <> ''").select(key, "path", F.col("node").cast("string").alias("value"))
+        leaves = here if leaves is None else leaves.unionByName(here)
+        inner = opened.where("shape <> 'leaf'")
+        if inner.isEmpty():
+            return leaves
+        prefix = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("_")))
+        members = F.when(
+            F.col("shape") == "object",
+            F.map_entries(F.try_variant_get("node", "$", "map<string,variant>")),
+        )
+        items = F.when(
+            F.col("shape") == "array",
+            F.transform(F.try_variant_get("node", "$", "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value"))),
+        )
+        child = inner.select(key, prefix.alias("_prefix"), F.explode(F.coalesce(members, items)).alias("m"))
+        level = child.select(key, F.concat("_prefix", "m.key").alias("path"), F.col("m.value").alias("node"))
 
 
 # ---- result comparison ------------------------------------------------------------

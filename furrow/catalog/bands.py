@@ -29,28 +29,21 @@ def _(spark, sf):
     return named.groupBy("path", "group_key", "band").agg(F.count("*").alias("n"))
 
 
-@query("a01_group_members", """with b as (select l_orderkey::VARCHAR as group_key, l_linenumber as band, l_orderkey || '_' || l_linenumber as name
-    from lineitem where l_linenumber <= 5 group by l_orderkey, l_linenumber)
-    select group_key, count(*) as n_members, string_agg(name, ',' order by name) as names, string_agg(band::VARCHAR, ',' order by name) as bands
-    from b group by 1""")
+@query("a01_group_members", """select l_orderkey::VARCHAR as group_key, (row_number() over (partition by l_orderkey order by l_orderkey || '_' || l_linenumber) - 1)::BIGINT as pos,
+    l_orderkey || '_' || l_linenumber as name, l_linenumber as band, count(*) over (partition by l_orderkey) as n_members from lineitem""")
 def _(spark, sf):
     files = _files(spark, sf).select(
         F.col("l_orderkey").cast("string").alias("group_key"), F.col("l_linenumber").alias("band"),
         F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("name"),
         F.col("l_extendedprice").alias("v"),
     )
-    grouped = B.group_members(files)
-    return grouped.select(
-        "group_key", "n_members", F.array_join("members.name", ",").alias("names"),
-        F.array_join(F.transform("members.band", lambda b: b.cast("string")), ",").alias("bands"),
-    )
+    return B.group_members(files).select("group_key", "pos", "name", "band", "n_members")
 
 
-@query("j10_names_with_images", sql("""select group_key, (row_number() over (partition by group_key order by name) - 1)::INT as pos, name, band, v from bands""",
+@query("j10_names_with_images", sql("""select group_key, (row_number() over (partition by group_key order by name) - 1)::BIGINT as pos, name, band, v from bands""",
                                     "bands"))
 def _(spark, sf):
-    grouped = B.group_members(bands(spark, sf))
-    return grouped.select("group_key", F.posexplode("members").alias("pos", "m")).select("group_key", "pos", "m.name", "m.band", "m.v")
+    return B.group_members(bands(spark, sf)).select("group_key", "pos", "name", "band", "v")
 
 
 @query("g20_first_of_group", sql("""select group_key, name, band, v from (select *, row_number() over (partition by group_key order by name) as i

@@ -93,11 +93,10 @@ def metrics(spark: SparkSession, sf_dir: str, names: dict[str, str] | None = Non
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One value per order and line number 1..5."""
+    """One value per order and line number; the lines above 5 are members that no band column holds."""
     name = F.concat(F.lit("IMG_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".png"))
     return (
         table(spark, sf_dir, "lineitem")
-        .where(F.col("l_linenumber") <= 5)
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.round(F.avg("l_extendedprice"), 4).alias("v"))
         .select(
@@ -118,11 +117,15 @@ def homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select(F.col("l_orderkey").cast("string").alias("group_key"), F.col("l_linenumber").alias("band"), h.alias("h"))
 
 
+# Vectors of a group, each half of it a band's keypoints: matching compares within groups, so its work grows with the table.
+GROUP = 100
+
+
 def keyed_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two groups (odd and even vectors); the label is the band."""
+    """Groups of ``GROUP`` neighbouring vectors; the label, one of four here, is the band."""
     return table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("g"), (F.col("vec_id") % 2).cast("string")).alias("group_key"), F.col("label").alias("band"), F.col("vec_id").alias("kp"),
-        F.col("embedding").alias("desc"),
+        F.concat(F.lit("g"), F.floor(F.col("vec_id") / GROUP).cast("string")).alias("group_key"), (F.col("label") % 4).alias("band"),
+        F.col("vec_id").alias("kp"), F.col("embedding").alias("desc"),
         (F.col("vec_id") % 8).cast("double").alias("x"), F.floor(F.col("vec_id") / 8).cast("double").alias("y"),
     )
 
@@ -197,10 +200,10 @@ VIEWS = {
     "jobsecs": """select *, round((first_executor_ms - start_ms) / 1000.0::DOUBLE, 3) as waiting,
         round((end_ms - first_executor_ms) / 1000.0::DOUBLE, 3) as execution from jobtimes""",
     "bands": """select l_orderkey::VARCHAR as group_key, l_linenumber as band, 'IMG_' || l_orderkey || '_' || l_linenumber || '.png' as name,
-        0 as y, 0 as x, round(avg(l_extendedprice), 4) as v from lineitem where l_linenumber <= 5 group by l_orderkey, l_linenumber""",
+        0 as y, 0 as x, round(avg(l_extendedprice), 4) as v from lineitem group by l_orderkey, l_linenumber""",
     "wide": """select group_key, y, x, max(v) filter (where band = 1) as b1, max(v) filter (where band = 2) as b2,
-        max(v) filter (where band = 3) as b3, max(v) filter (where band = 4) as b4, max(v) filter (where band = 5) as b5
-        from bands group by 1, 2, 3""",
+        max(v) filter (where band = 3) as b3, max(v) filter (where band = 4) as b4, max(v) filter (where band = 5) as b5,
+        count(*) - count(distinct band) filter (where band <= 5) as set_aside from bands group by 1, 2, 3""",
     "rates": """select l_orderkey::VARCHAR as group_key, l_linenumber as band, round(avg(l_discount), 6) as d, round(avg(l_tax), 6) as t,
         round(avg(l_quantity), 6) as q, round(avg(l_extendedprice), 6) as p from lineitem group by 1, 2""",
     "hom": """select group_key, band, d + 1 as h0, -t as h1, q as h2, t as h3, d + 1 as h4, p / 1000.0::DOUBLE as h5,
@@ -211,8 +214,8 @@ VIEWS = {
     "cdist": """select kp, any_value(label) as label, cluster, sqrt(sum((e - m) * (e - m))) as dist from dpx join cen using (pos)
         group by kp, cluster""",
     "near1": """select * exclude (i) from (select *, row_number() over (partition by kp order by dist, cluster) as i from cdist) where i = 1""",
-    "pair": """select a.kp, any_value(a.label) as band, b.kp as target_kp, sqrt(sum((a.e - b.e) * (a.e - b.e))) as dist
-        from dpx a join dpx b on a.pos = b.pos and a.kp % 2 = b.kp % 2 and a.label <> 0 and b.label = 0 group by a.kp, b.kp""",
+    "pair": f"""select a.kp, any_value(a.label % 4) as band, b.kp as target_kp, sqrt(sum((a.e - b.e) * (a.e - b.e))) as dist
+        from dpx a join dpx b on a.pos = b.pos and a.kp // {GROUP} = b.kp // {GROUP} and a.label % 4 <> 0 and b.label % 4 = 0 group by a.kp, b.kp""",
     "near2": """select * from (select *, row_number() over (partition by kp order by dist, target_kp) as rank from pair) where rank <= 2""",
     "ratio": """select kp, any_value(band) as band, max(target_kp) filter (where rank = 1) as target_kp,
         max(dist) filter (where rank = 1) as dist, max(dist) filter (where rank = 2) as dist_2 from near2 group by kp

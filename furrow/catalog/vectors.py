@@ -84,13 +84,26 @@ def _(spark, sf):
     return good.select("kp", "band", "target_kp", F.round("dist", 6).alias("dist"), F.round("dist_2", 6).alias("dist_2"))
 
 
-@query("j06_mutual_nearest", sql("""select kp, target_kp, round(dist, 6) as dist from
+MUTUAL = """select kp, target_kp, round(dist, 6) as dist from
     (select *, row_number() over (partition by kp order by dist, target_kp) as i,
        row_number() over (partition by target_kp order by dist, kp) as j from pair where band = 1)
-    where i = 1 and j = 1 order by dist, kp limit 10""", "pair"))
-def _(spark, sf):
+    where i = 1 and j = 1"""
+
+
+def _mutual(spark, sf):
+    """Pairs of the bands 1 and 0, which are the two images of a comparison."""
     two = keyed_descriptors(spark, sf).where("band in (0, 1)")
-    return V.mutual_matches(V.nearest_two(two, 0), V.nearest_two(two, 1)).select("kp", "target_kp", F.round("dist", 6).alias("dist"))
+    return V.mutual_matches(V.nearest_two(two, 0), V.nearest_two(two, 1))
+
+
+@query("j06_mutual_nearest", sql(MUTUAL, "pair"))
+def _(spark, sf):
+    return _mutual(spark, sf).select("kp", "target_kp", F.round("dist", 6).alias("dist"))
+
+
+@query("j06_shown_matches", sql(MUTUAL + " order by dist, kp limit 10", "pair"))
+def _(spark, sf):
+    return V.shown_matches(_mutual(spark, sf)).select("kp", "target_kp", F.round("dist", 6).alias("dist"))
 
 
 @query("j07_match_points", sql("""select kp, target_kp, band, (kp % 8)::DOUBLE as xs, floor(kp / 8.0)::DOUBLE as ys,

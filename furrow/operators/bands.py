@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.geometry import decompose, project, squared_residual
+from furrow.operators.ordered import row_index
 
 # Bands of one camera group, and which are red, green, blue and near infrared.
 BANDS = (1, 2, 3, 4, 5)
@@ -19,16 +20,16 @@ RED, GREEN, BLUE, NIR = 3, 2, 1, 4
 NDVI_RANGE = (0.3, 0.6)
 
 
-def group_members(files: DataFrame, bands: Sequence[int] = BANDS) -> DataFrame:
-    """Members of each group as an array sorted by name.
+def group_members(files: DataFrame) -> DataFrame:
+    """Every member of each group as a row, with its position by name and the size of its group.
 
-    One row per (group, band) is kept first (smallest name), which bounds the array by
-    the number of bands however many copies a group holds.
+    ``files`` holds ``group_key, name, band, v``. Positions come from one sort of all files by group and name,
+    which cuts a hot group like any other run of rows; a group is never one row or one task.
     """
-    known = files.where(F.col("band").isin(*bands))
-    single = known.groupBy("group_key", "band").agg(F.min_by("v", "name").alias("v"), F.min("name").alias("name"))
-    members = F.array_sort(F.collect_list(F.struct("name", "band", "v")))
-    return single.groupBy("group_key").agg(members.alias("members"), F.count("*").alias("n_members"))
+    placed = row_index(files, "group_key", "name", "band", "v", name="_at")
+    groups = placed.groupBy("group_key").agg(F.min("_at").alias("_first"), F.count("*").alias("n_members"))
+    joined = placed.join(groups, "group_key")
+    return joined.select("group_key", (F.col("_at") - F.col("_first")).alias("pos"), "name", "band", "v", "n_members")
 
 
 def first_of_group(files: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -37,10 +38,13 @@ def first_of_group(files: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def align_bands(bands: DataFrame, numbers: Sequence[int] = BANDS) -> DataFrame:
-    """One row per (group, y, x) with a column per band; a fixed band list needs no scan
-    for pivot values."""
+    """One row per (group, y, x) with a column per band and ``set_aside``, the number of values that have no column:
+    those of other bands, and all but one of a band that comes several times (the smallest stays). A fixed band list
+    needs no scan for pivot values."""
+    columns = [F.when(F.col("band") == n, F.col("v")) for n in numbers]
+    present = sum((F.max((F.col("band") == n).cast("long")) for n in numbers), F.lit(0))
     return bands.groupBy("group_key", "y", "x").agg(
-        *[F.min(F.when(F.col("band") == n, F.col("v"))).alias(f"b{n}") for n in numbers]
+        *[F.min(c).alias(f"b{n}") for c, n in zip(columns, numbers, strict=True)], (F.count("*") - present).alias("set_aside")
     )
 
 

@@ -219,11 +219,16 @@ def ratio_matches(near: DataFrame, ratio: float = MATCH_RATIO) -> DataFrame:
     return wide.where(F.col("dist_2").isNotNull() & (F.col("dist") < F.col("dist_2") * ratio))
 
 
-def mutual_matches(near: DataFrame, near_back: DataFrame, shown: int = SHOWN_MATCHES) -> DataFrame:
-    """Pairs that are each other's nearest neighbour, closest first, the first ``shown``."""
+def mutual_matches(near: DataFrame, near_back: DataFrame) -> DataFrame:
+    """All pairs that are each other's nearest neighbour, in one group."""
     there = near.where("rank = 1").select("group_key", "kp", "target_kp", "dist")
     back = near_back.where("rank = 1").select("group_key", F.col("kp").alias("target_kp"), F.col("target_kp").alias("kp"))
-    return there.join(back, ["group_key", "kp", "target_kp"]).orderBy("dist", "kp").limit(shown)
+    return there.join(back, ["group_key", "kp", "target_kp"])
+
+
+def shown_matches(matches: DataFrame, shown: int = SHOWN_MATCHES) -> DataFrame:
+    """The closest pairs, as a plot shows them."""
+    return matches.orderBy("dist", "kp").limit(shown)
 
 
 def match_points(matches: DataFrame, keypoints: DataFrame, target_band: int) -> DataFrame:

@@ -119,11 +119,28 @@ def test_known_transform_is_recovered(spark):
     assert got["g"]["inliers"] >= good and got["g"]["bp_error"] < 30
 
 
-def test_group_products_keep_one_image_per_band(spark):
-    rows = [("a", b % 5 + 1, f"n{b}", float(b)) for b in range(5000)]
+@pytest.mark.parametrize("share", [0.5, 0.3, 0.2])
+def test_known_transforms_are_recovered_among_outliers(spark, share):
+    rows = [r for k in range(8) for r in matched(spark, n=400, outliers=1 - share, group=f"g{k}", seed=k)[0]]
+    got = {r["group_key"]: r for r in G.fit_homographies(spark.createDataFrame(rows, MATCHES).repartition(3)).collect()}
+    assert len(got) == 8 and all(np.allclose(r["h"], TRUE, rtol=1e-2, atol=1e-2) for r in got.values())
+
+
+def test_no_transform_is_no_transform(spark):
+    """Matches that agree on nothing have none, instead of an arbitrary one."""
+    rows = matched(spark, n=300, outliers=1.0)[0]
+    got = G.fit_homographies(spark.createDataFrame(rows, MATCHES), shares=(0.5, 0.3)).first()
+    assert got["h"] is None
+
+
+def test_all_members_stay(spark):
+    rows = [("a", b % 7 + 1, f"n{b:05d}", float(b)) for b in range(5000)] + [("b", 1, "n", 1.0), ("b", 1, "n", 1.0)]
     df = spark.createDataFrame(rows, "group_key STRING, band INT, name STRING, v DOUBLE")
-    members = B.group_members(df).first()
-    assert members["n_members"] == 5 and [m["band"] for m in members["members"]] == [1, 2, 3, 4, 5]
+    got = sorted(map(tuple, B.group_members(df).collect()))
+    assert got[:5000] == [("a", k, f"n{k:05d}", k % 7 + 1, float(k), 5000) for k in range(5000)]
+    assert got[5000:] == [("b", 0, "n", 1, 1.0, 2), ("b", 1, "n", 1, 1.0, 2)]
+    wide = B.align_bands(df.withColumns({"y": F.lit(0), "x": F.lit(0)})).orderBy("group_key").collect()
+    assert [r["set_aside"] for r in wide] == [4995, 1] and wide[1]["b2"] is None
 
 
 def test_registration_job(spark, tmp_path):

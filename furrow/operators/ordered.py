@@ -1,10 +1,10 @@
 """Prefix computations (running sums, ranks, carried values) without a window that puts a
 hot key into one task.
 
-Keys of ordinary size use a plain window. A key with more rows than an average shuffle
-partition is cut along the order column into slices of about equal row counts. Each
-quantity is then computed twice for it: inside (key, slice), and over the table of one row
-per (key, slice) that carries it from slice to slice.
+All rows are dealt out by ranges of (key, order columns), and the number of the range is the
+slice of a row: a key of ordinary size lies in one or two slices, a hot one in many, and runs of
+equal order values are cut by the columns after them. Each quantity is then computed twice: inside
+(key, slice), and over the table of one row per (key, slice) that carries it from slice to slice.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -21,28 +20,6 @@ from furrow.session import default_slices, materialize
 SLICE = "_slice"
 
 
-def quantile_cuts(df: DataFrame, column: str, slices: int | None = None) -> list[float]:
-    """Distinct interior cut points of ``column``: a driver list of fewer than ``slices`` numbers."""
-    n = slices or default_slices(df)
-    if n < 2:
-        return []
-    probabilities = [i / n for i in range(1, n)]
-    numbers = df.select(F.col(column).cast("double").alias("_q"))
-    return sorted(set(numbers.stat.approxQuantile("_q", probabilities, 0.25 / n)))
-
-
-def with_slices(df: DataFrame, column: str, cuts: Sequence[float]) -> DataFrame:
-    """Adds the slice number of ``column``: monotone in the column, so slices are ordered.
-    An integer, since a floating key would be normalised again at every exchange."""
-    if not cuts:
-        return df.withColumn(SLICE, F.lit(0))
-    bucketizer = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol=SLICE, handleInvalid="keep"
-    )
-    sliced = bucketizer.transform(df.withColumn("_order", F.col(column).cast("double"))).drop("_order")
-    return sliced.withColumn(SLICE, F.col(SLICE).cast("int"))
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on ``keys`` in which NULL equals NULL, as it does for windows and groups."""
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -50,25 +27,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, matches, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def sliced(df: DataFrame, keys: Sequence[str], column: str, slices: int | None = None) -> tuple[DataFrame, bool]:
-    """Adds the slice number of every row (0 for keys of ordinary size), and tells whether
-    any key was cut.
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Adds the slice number of every row: slices follow one another in the order of keys and ``order``.
 
-    A key counts as hot when it holds more than ``4 / slices`` of all rows, by default more
-    than an average shuffle partition, so fewer than ``slices / 4`` keys can be hot and
-    their list is safe to broadcast.
+    The table is written out once with its slices. Ranges are drawn from a sample, so they may come out different when
+    they are computed again, and a row must not change its slice between two uses.
     """
     n = slices or default_slices(df)
-    sizes = materialize(df.groupBy(*keys).agg(F.count("*").alias("_n")))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    hot = sizes.where(F.col("_n") > total * 4 / n).select(*keys)
-    if hot.isEmpty():
-        return df.withColumn(SLICE, F.lit(0)), False
-    hot = F.broadcast(hot)
-    cuts = quantile_cuts(null_safe_join(df, hot, keys, "left_semi"), column, n)
-    marked = null_safe_join(df, hot.withColumn("_hot", F.lit(True)), keys, "left")
-    out = with_slices(marked, column, cuts)
-    return out.withColumn(SLICE, F.when(F.col("_hot"), F.col(SLICE)).otherwise(0)).drop("_hot"), True
+    return materialize(df.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def inside(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -85,18 +51,10 @@ def across(keys: Sequence[str]) -> WindowSpec:
 def running_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], slices: int | None = None
 ) -> DataFrame:
-    """Inclusive running sum of each expression per key (first order column numeric).
-
-    Rows of a table with hot keys are written out once with their slices: an order column
-    that is itself a float average may come out a digit different when it is computed
-    again, and a row must not change its slice between the two uses.
-    """
-    cut, any_cut = sliced(df, keys, order[0], slices)
-    cut = materialize(cut) if any_cut else cut
+    """Inclusive running sum of each expression per key, in ``order``, any orderable columns."""
+    cut = sliced(df, keys, order, slices)
     upto = inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumns({n: F.sum(e).over(upto) for n, e in sums.items()})
-    if not any_cut:
-        return local.drop(SLICE)
     before = across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         cut.groupBy(*keys, SLICE)
@@ -110,7 +68,7 @@ def running_sums(
 def rank_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", slices: int | None = None
 ) -> DataFrame:
-    """1-based row number per key in ``order`` (first order column numeric)."""
+    """1-based row number per key in ``order``."""
     return running_sums(df, keys, order, {name: F.lit(1).cast("long")}, slices)
 
 

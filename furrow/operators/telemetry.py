@@ -41,7 +41,7 @@ def executor_timeline(events: DataFrame, slices: int | None = None) -> DataFrame
     minus that sum at the latest reset. For an app that is cut into slices, the first and
     last row of a slice hold all that its other slices need.
     """
-    kept, any_cut = sliced(listener_events(events).select("app", "event", "ts_ms", "event_id"), ["app"], "ts_ms", slices)
+    kept = sliced(listener_events(events).select("app", "event", "ts_ms", "event_id"), ["app"], ORDER, slices)
     resets = F.col("event").isin(APP_START, APP_END)
     change = (
         F.when(F.col("event") == EXECUTOR_ADDED, 1).when(F.col("event") == EXECUTOR_REMOVED, -1).otherwise(0).cast("long")
@@ -58,12 +58,6 @@ def executor_timeline(events: DataFrame, slices: int | None = None) -> DataFrame
         }
     ).withColumn("_base", F.last(F.when(resets, F.col("_sum")), ignorenulls=True).over(upto))
     zero = F.lit(0).cast("long")
-    if not any_cut:
-        executors = F.col("_sum") - F.coalesce("_base", zero)
-        return local.select(
-            "app", "event", "ts_ms", "event_id", F.col("_seg").alias("seg"), executors.alias("executors"),
-            F.col("_event").alias("next_event"), F.col("_ms").alias("next_ms"),
-        )
     first, last = F.col("_place") == 1, F.col("_ms").isNull()
     edges = local.where(first | last).groupBy("app", SLICE).agg(
         *[F.max(F.when(last, F.col(c))).alias(f"{c}_end") for c in ("_sum", "_seg", "_base")],
@@ -316,7 +310,7 @@ def interpolated(series: DataFrame, keys: Sequence[str], order: str, value: str,
     last row.
     """
     keys = list(keys)
-    rows, any_cut = sliced(series.select(*keys, order, value), keys, order, slices)
+    rows = sliced(series.select(*keys, order, value), keys, [order], slices)
     here = inside(keys, [order])
     point = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
     # both frames grow with the rows; one that shrinks to the end would be read anew for every row
@@ -325,8 +319,6 @@ def interpolated(series: DataFrame, keys: Sequence[str], order: str, value: str,
     local = rows.withColumn("_i", F.row_number().over(here).cast("long")).withColumns(
         {"_lo": F.last(point, ignorenulls=True).over(upwards), "_hi": F.last(point, ignorenulls=True).over(downwards)}
     )
-    if not any_cut:
-        return local.select(*keys, order, value, _between(value, F.col("_i"), F.col("_lo"), F.col("_hi")).alias("filled"))
     marked = local.withColumn("_tail", F.lead("_i").over(here).isNull()).where(F.col("_tail") | (F.col("_i") == 1))
     ends = marked.groupBy(*keys, SLICE).agg(
         F.max("_i").alias("_n"),

@@ -473,7 +473,8 @@ def _band_files(spark, sf) -> DataFrame:
 @query("g10_registration_products", sql("""select 'IMG_' || g || '_' || b as name, y, x, v::INT as value from moved union all
     select 'IMG_' || g || '_NDVI', y, x, coalesce(greatest(round_even((n.v * 257 / 65535.0::DOUBLE - r.v * 257 / 65535.0::DOUBLE) / nullif(n.v * 257 / 65535.0::DOUBLE + r.v * 257 / 65535.0::DOUBLE, 0) * 255, 0), 0), 0)::INT
       from moved r join moved n using (g, y, x) where r.b = 3 and n.b = 4 union all
-    select 'IMG_' || g || '_RGB_CROPPED', y - 1, (x - 1) * 3 + 3 - b, v::INT from moved where b <= 3 and x between 1 and 6 and y between 1 and 6
+    select 'IMG_' || g || '_RGB_CROPPED', y - 1, (x - 1) * 3 + 3 - b, v::INT from moved where b <= 3 and x between 1 and 6 and y between 1 and 6 union all
+    select 'IMG_' || g || '_RGB', y, x * 3 + 3 - b, v::INT from moved where b <= 3 and g in (select g from moved group by g having count(distinct b) filter (where b <= 3) = 3)
     """, "grey").replace("\nselect 'IMG_'", """,
 bnd as (select (image_id // 5)::VARCHAR as g, (image_id % 5 + 1)::INT as b, y, x, v from grey),
 moved as (select o.g, o.b, o.y, o.x, coalesce(s.v, 0) as v from bnd o left join bnd s on s.g = o.g and s.b = o.b
@@ -487,7 +488,7 @@ def _(spark, sf):
                 *[F.lit(v) for v in (0.0, 0.0, 1.0)])
     homographies = files.select("group_key", "band", h.alias("h"))
     boxes = B.crop_box(homographies, WIDTH, HEIGHT)
-    products = I.registration_products(files, homographies, boxes).where(~F.col("name").endswith("_RGB"))
+    products = I.registration_products(files, homographies, boxes)
     cell = I.decode_any(products, "name", "STRING").select("name", "width", F.posexplode("samples").alias("pos", "value"))
     return cell.select(
         "name", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).alias("x"), "value"

@@ -6,19 +6,71 @@ from pyspark.sql import functions as F
 
 from furrow.catalog.registry import epoch_micros, event_log, query, sql, table
 from furrow.functions import text as X
+from furrow.session import new_folder, stored
 from furrow.sources import files as S
 from furrow.sources import logs as L
+from furrow.sources import sinks as K
 
 
-@query("s01_scanned_files")
+def _page_files(spark, sf) -> str:
+    """Each page as a file of its own, every third one as text instead of HTML; returns the folder."""
+    folder = new_folder(spark)
+    ending = F.when(F.col("page_id") % 3 == 0, ".txt").otherwise(".html")
+    path = F.concat(F.lit("/pages/page"), F.col("page_id").cast("string"), ending)
+    S.write_files(table(spark, sf, "pages").select(path.alias("path"), F.col("html").cast("binary").alias("content")), folder).count()
+    return folder
+
+
+PAGE_FILES = "select 'page' || page_id || case when page_id % 3 = 0 then '.txt' else '.html' end as name, strlen(html) as length"
+
+
+@query("s01_scanned_files", PAGE_FILES + ", sha256(html) as digest from pages")
+def _(spark, sf):
+    """A folder of files, written and scanned."""
+    return S.scan(spark, _page_files(spark, sf)).select(X.base_name(F.col("path")).alias("name"), "length", F.sha2("content", 256).alias("digest"))
+
+
+@query("s05_flat_listing", PAGE_FILES + " from pages where page_id % 3 <> 0")
+def _(spark, sf):
+    """The files of one extension; their contents are not read."""
+    return S.scan(spark, _page_files(spark, sf), glob="*.html").select(X.base_name(F.col("path")).alias("name"), "length")
+
+
+@query("k03_written_files", PAGE_FILES.replace("select", "select '/pages/page' || page_id || case when page_id % 3 = 0 then '.txt' else '.html' end as path,", 1).replace(
+    "'page' || page_id || case when page_id % 3 = 0 then '.txt' else '.html' end as name, strlen(html) as length", "strlen(html) as bytes") + " from pages")
+def _(spark, sf):
+    """What writing one file per record reports."""
+    path = F.concat(F.lit("/pages/page"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".txt").otherwise(".html"))
+    rows = table(spark, sf, "pages").select(path.alias("path"), F.col("html").cast("binary").alias("content"))
+    return stored(S.write_files(rows, new_folder(spark)))
+
+
+@query("k01_one_text_file", "select l_returnflag as flag, count(*) as n, sum(l_quantity)::BIGINT as quantity from lineitem group by 1")
+def _(spark, sf):
+    """A small result as one text file, replacing an older one, read back."""
+    folder = new_folder(spark)
+    flags = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(
+        F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity")
+    )
+    K.one_text_file(flags.limit(1), folder)
+    K.one_text_file(flags, folder)
+    return spark.read.schema("flag STRING, n BIGINT, quantity BIGINT").csv(folder)
+
+
+@query("k02_tab_separated", "select s_name as name, s_acctbal as value from supplier")
 def _(spark, sf):
-    """The table files themselves, as binary files."""
-    return S.scan(spark, sf).select(X.base_name(F.col("path")).alias("name"), "length", F.length("content").alias("bytes"))
+    """Names and values as tab-separated text, read back."""
+    folder = new_folder(spark)
+    K.tab_separated(table(spark, sf, "supplier").select("s_name", F.col("s_acctbal").cast("double").cast("string")), folder)
+    return spark.read.schema("name STRING, value DOUBLE").option("sep", "\t").csv(folder)
 
 
-@query("s05_flat_listing")
+@query("k06_reloaded_records", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey % 2 = 0")
 def _(spark, sf):
-    return S.scan(spark, sf, glob="[d-l]*.parquet").select(X.base_name(F.col("path")).alias("name"), "length")
+    """Processed records saved and loaded again."""
+    folder = new_folder(spark)
+    K.save_records(table(spark, sf, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", "o_totalprice"), folder)
+    return K.load_records(spark, folder)
 
 
 # Extensions in turn: kept lower and upper case ones, and look-alikes that are not kept.

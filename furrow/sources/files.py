@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.text import band_number, base_name, flat_name, group_key, is_image_name, with_extension
 from furrow.operators.images import decode_grey
+from furrow.sources.output import Output, qualified
 
 
 def scan(spark: SparkSession, path: str | Sequence[str], partitions: int | None = None, recursive: bool = False, glob: str | None = None) -> DataFrame:
@@ -90,19 +91,18 @@ def unpack(spark: SparkSession, source: str) -> DataFrame:
 
 
 def write_files(rows: DataFrame, folder: str, flat: bool = False) -> DataFrame:
-    """One file per ``(path, content)`` row in a folder that all executors share; returns
+    """One file per ``(path, content)`` row in a folder of the session's file system; returns
     ``path, bytes`` when run. Files take the base name of the path, or with ``flat`` its
-    folders too, for inputs that repeat a name in several folders. A repeated task writes
-    its own files again."""
+    folders too, for inputs that repeat a name in several folders. A file is renamed to its
+    name once it is whole, so a repeated or speculative task leaves no half one."""
+    target = qualified(rows.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
-
-        base = Path(folder)
-        base.mkdir(parents=True, exist_ok=True)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                (base / name).write_bytes(content)
+                file = Output(f"{target}/{name}")
+                file.file.write(content)
+                file.commit()
             yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["content"].map(len)})
 
     local = F.regexp_replace("path", "^[a-z]+:/*", "/")

@@ -125,4 +125,4 @@ def test_flat_json(spark):
     doc = json.dumps({"a": {"b": [1, {"c": "x"}]}, "d": None, "e": True, "f": {"g": {"h": {"i": {"j": 5}}}}})
     df = spark.createDataFrame([(1, doc), (2, None)], "k INT, doc STRING")
     got = {(r["path"], r["value"]) for r in T.flat_json(df, "k", "doc").collect()}
-    assert got == {("a_b_0", "1"), ("a_b_1_c", "x"), ("e", "true"), ("f_g_h_i_j", "5")}
+    assert got == {("a_b_0", "1"), ("a_b_1_c", "x"), ("d", None), ("e", "true"), ("f_g_h_i_j", "5")}

@@ -15,7 +15,7 @@ from furrow.operators import vectors as V
 from furrow.operators.ordered import row_index
 from furrow.plans import jobs
 from furrow.plans.steps import Step, run_steps
-from furrow.session import default_slices
+from furrow.session import default_slices, stored
 
 CELLS = [[0, 1, 0], [1, 0, 1], [0, 1, 0]]
 CENTRE = [[0, 0, 0], [0, 1, 0], [0, 0, 0]]
@@ -30,8 +30,8 @@ def hist(spark, sf) -> DataFrame:
 
 
 def hists(spark, sf) -> DataFrame:
-    """Dense histograms; the stand-in has one channel for both roles."""
-    return H.dense(hist(spark, sf))
+    """Dense histograms, written once for all their uses; the stand-in has one channel for both roles."""
+    return stored(H.dense(hist(spark, sf)))
 
 
 def both(spark, sf) -> DataFrame:

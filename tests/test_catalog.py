@@ -16,7 +16,7 @@ def con():
 
 
 # Windows over one row per partition of a sort, or over a top-seven list.
-SMALL_GLOBAL_WINDOWS = {"w01_row_index", "u02_halves", "o03_longest_stages"}
+SMALL_GLOBAL_WINDOWS = {"a01_group_members", "j10_names_with_images", "w01_row_index", "u02_halves", "o03_longest_stages"}
 
 
 def plan(df):

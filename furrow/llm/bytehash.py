@@ -13,25 +13,32 @@ import pyarrow as pa
 ONE = np.uint64(1)
 
 
+class Powers:
+    """Powers of one odd base and of its inverse, shared by all hashes of a worker."""
+
+    base = 0x5851F42D4C957F2D
+    inverse = pow(base, -1, 2**64)
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            up, down = np.full(n, cls.base, np.uint64), np.full(n, cls.inverse, np.uint64)
+            up[0] = down[0] = 1
+            cls.up, cls.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        return cls.up[:n], cls.down[:n]
+
+
 class RunHash:
-    """Polynomial hash number ``number``; hashes with different numbers are independent."""
+    """Polynomial hash number ``number``; hashes with different numbers give bytes independent values."""
 
     def __init__(self, number: int):
         rng = np.random.default_rng(7_919 + number)
         self.values = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.base = int(rng.integers(0, 2**62, dtype=np.uint64)) * 4 + 1 | 2  # odd, so that it has an inverse
-        self.inverse = pow(self.base, -1, 2**64)
         self.finish = np.uint64(int(rng.integers(0, 2**63, dtype=np.uint64)) | 1)
-        self._up = np.ones(1, np.uint64)
-        self._down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            up = np.full(n, self.base, np.uint64)
-            down = np.full(n, self.inverse, np.uint64)
-            up[0] = down[0] = 1
-            self._up, self._down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self._up[:n], self._down[:n]
+        return Powers.of(n)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Prefix sums of a byte array, one longer than the array."""

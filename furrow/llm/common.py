@@ -7,6 +7,9 @@ partitions, shuffles and retries them; only the cost per record goes.
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +56,26 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return found.select(dest_of(F.col("id"), n).alias("dest"), "id", "th", "text")
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
+def frugal(run):
+    """A function over batches that releases memory when it ends."""
+
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def planes(values: np.ndarray) -> bytes:
     """Bytes of an array, first all low bytes, then all next ones: high bytes that are 0 compress away."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()

@@ -98,7 +98,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = C.keyed(docs, id_col, text_col, 1).select("id", "th", "text")
     read = stored(
         texts.mapInArrow(
-            recipes, "id long, th int, text_sha256 string, chunks array<struct<place:int,name:long,digest:binary>>"
+            C.frugal(recipes), "id long, th int, text_sha256 string, chunks array<struct<place:int,name:long,digest:binary>>"
         )
     )
     # one row per document key; repeated rows are counted

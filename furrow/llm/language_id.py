@@ -201,7 +201,7 @@ def identify(docs: DataFrame, network: Network, text_col: str = "text", lang: st
     sent = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], text)
     types = {f.name: f.dataType for f in sent.schema.fields}
     schema = ", ".join(f"`{i}` {types[i].simpleString()}" for i in inner) + ", _lang string, _score double"
-    out = sent.mapInArrow(predict(network, inner), schema.lstrip(", "))
+    out = sent.mapInArrow(C.frugal(predict(network, inner)), schema.lstrip(", "))
     return out.select(*[F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)], F.col("_lang").alias(lang), F.col("_score").alias(score))
 
 

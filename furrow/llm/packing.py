@@ -145,7 +145,7 @@ def pack(
     integers, two bytes each if the vocabulary fits; ``sequences`` joins them.
     """
     texts = docs.select(C.key_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = stored(texts.mapInArrow(encode_pieces(vocabulary, end_id, size), PIECE))
+    pieces = stored(texts.mapInArrow(C.frugal(encode_pieces(vocabulary, end_id, size)), PIECE))
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("pieces"))
     per_task = stored(per_task)
     counts = np.zeros(size + 1, np.int64)
@@ -157,7 +157,7 @@ def pack(
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
     numbered = pieces.join(bases, ["task", "length"]).select(*columns, (F.col("number") + F.col("base")).alias("number"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
-    return numbered.mapInArrow(place_pieces(table, size, columns), f"{kinds}, sequence_id long, offset long")
+    return numbered.mapInArrow(C.frugal(place_pieces(table, size, columns)), f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     n = C.buckets(docs.sparkSession)
     texts = C.keyed(docs, id_col, text_col, n)
-    found = texts.select("id", "th", "text").mapInArrow(find_runs(least, words, n), PACKED)
+    found = texts.select("id", "th", "text").mapInArrow(C.frugal(find_runs(least, words, n)), PACKED)
     settled = found.groupBy("bucket").applyInArrow(settle_runs(n), DEALT)
     return texts.groupBy("dest").cogroup(settled.groupBy("dest")).applyInArrow(
         cut_sentences, "doc_id long, n_sentences long, n_removed long, kept string"

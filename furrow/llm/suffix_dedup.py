@@ -300,7 +300,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("depth must lie between 64 and 140 bytes")
     n = C.buckets(docs.sparkSession)
     texts = C.keyed(docs, id_col, text_col, n)
-    found = texts.select("id", "th", "text").mapInArrow(find_blocks(depth, n), PACKED)
+    found = texts.select("id", "th", "text").mapInArrow(C.frugal(find_blocks(depth, n)), PACKED)
     settled = found.groupBy("bucket").applyInArrow(settle_blocks(depth, n), DEALT)
     # the two passes over the texts share one exchange
     by_dest = texts.groupBy("dest")

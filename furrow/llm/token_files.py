@@ -25,7 +25,7 @@ from furrow.llm.bytehash import slices
 from furrow.llm.tokens import Encoder
 from furrow.session import new_folder, stored
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 MANIFEST = "part int, path string, docs long, tokens long, bytes_per_id int"
 
 
@@ -113,7 +113,7 @@ def write_token_files(
     spark = docs.sparkSession
     texts = C.keyed(docs, id_col, text_col, 1).select("id", "th", "text")
     ordered = texts.repartitionByRange(C.shuffle_partitions(spark), "id", "th").sortWithinPartitions("id", "th")
-    written = stored(ordered.mapInArrow(write_parts(qualified(spark, folder), vocabulary, end_id), MANIFEST))
+    written = stored(ordered.mapInArrow(C.frugal(write_parts(qualified(spark, folder), vocabulary, end_id)), MANIFEST))
     # one row per part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))

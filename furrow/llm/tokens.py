@@ -28,11 +28,11 @@ CUT = re.compile(r" (?=[!-~¡-˿Ͱ-҂Ҋ-֐])")
 WORD = "^(?P<feed>\\n?)(?P<word> ?[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+)(?P<mark>[.,]?)$"
 PLAIN_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Pieces a worker remembers; beyond that it forgets all and starts anew. No text is treated differently for it.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 class Known:
-    """Strings and their ids, in Arrow and numpy arrays: a million take some 40 MB."""
+    """Strings and their ids, in Arrow and numpy arrays: 400,000 take some 20 MB."""
 
     def __init__(self, dtype: np.dtype):
         self.strings = pa.array([], pa.string())

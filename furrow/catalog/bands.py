@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.catalog.registry import bands, homographies, keyed_descriptors, query, sql, table
+from furrow.catalog.registry import bands, homographies, query, sql, table
 from furrow.functions.geometry import decompose, project, squared_residual
 from furrow.functions.text import band_number, group_key
 from furrow.operators import bands as B
 from furrow.operators import homography as G
-from furrow.operators import vectors as V
 
 WIDTH, HEIGHT = 1280, 960
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.catalog.registry import (
-    CPU_METRICS, EVENT_NAMES, MEMORY_METRICS, event_log, metrics, query, sql, table,
+    CPU_METRICS, MEMORY_METRICS, event_log, metrics, query, sql, table,
 )
 from furrow.functions.text import metric_seconds, wall_clock
 from furrow.operators import telemetry as T

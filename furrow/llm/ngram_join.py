@@ -9,8 +9,10 @@
 2. **Tiles.** Documents that may link form candidate classes (stars, then connected components, never pairs).
    A class is cut into tiles by size band and hash, and a task compares two tiles whose sizes fit.
 3. **Bounds.** Each set has a bitmap of the parities of its hashed shingles. Two sets differ at least by the
-   number of bits in which their bitmaps differ; that bounds the overlap from above. Pairs that pass are
-   intersected exactly, as sorted arrays. Documents already in one class are not compared again.
+   number of bits in which their bitmaps differ; that bounds the overlap from above. Tiles are compared by bitmaps
+   first, 128 bytes a document: documents that only share passages part there, before any text moves.
+4. **Exact.** What may still link is tiled again, with texts, and intersected exactly, as sorted arrays. Documents
+   already in one class are not compared again.
 
 The result has one row per document with its class: links between different texts are all found, copies are
 not expanded into pairs.
@@ -34,7 +36,8 @@ PACKED = "bucket int, kind int, payload binary"
 PART, EDGE, SIZE = 0, 1, 2
 PART_TYPES = ["<u4", "<u2", "<i8"]  # 48 bits of a part's hash, id
 EDGE_TYPES = ["<i8", "<i8"]
-SIZE_TYPES = ["<i8", "<i4"]
+BITS = 1024
+SIZE_TYPES = ["<i8", "<i4", ("u1", BITS // 8)]  # id, number of shingles, bitmap
 SEEDS = 12  # after so many seeds sets with empty parts also meet in those
 TILE = 1500  # documents in a tile
 
@@ -198,7 +201,9 @@ def deal_parts(words: int, bands: Bands, n: int):
                 where = np.mod(a, n)
                 yield C.rows(EDGE, C.pack(np.argsort(where, kind="stable"), where, [a, b]))
                 where = np.mod(ids, n)
-                yield C.rows(SIZE, C.pack(np.argsort(where, kind="stable"), where, [ids, np.diff(offsets).astype("<i4")]))
+                bits = bitmaps(values, offsets, np.arange(len(ids)))
+                sizes = [ids, np.diff(offsets).astype("<i4"), bits.view(np.uint8)]
+                yield C.rows(SIZE, C.pack(np.argsort(where, kind="stable"), where, sizes))
 
     return run
 
@@ -209,63 +214,92 @@ def meet_parts(group: pa.Table) -> pa.Table:
     _, a, b = stars(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), ids)
     a2, b2 = C.unpack(C.payloads(group, EDGE), EDGE_TYPES)
     a, b = unique_edges(np.concatenate((a, a2)), np.concatenate((b, b2)))
-    doc, size = C.unpack(C.payloads(group, SIZE), SIZE_TYPES)
+    doc, size, bits = C.unpack(C.payloads(group, SIZE), SIZE_TYPES)
     return pa.table({
         "kind": pa.array(np.repeat(np.array([EDGE, SIZE], np.int32), [len(a), len(doc)])),
         "a": pa.array(np.concatenate((a, doc))),
         "b": pa.array(np.concatenate((b, size.astype(np.int64)))),
+        "bits": pa.array([None] * len(a) + [row.tobytes() for row in bits], pa.binary()),
     })
 
 
-def compare_tiles(words: int, bands: Bands):
-    """Links found between the tiles of each group, as edges from the least id of a class."""
+def by_pair(group: pa.Table, size: np.ndarray, classes) -> pa.Table:
+    """Edges from the least id of each class that ``classes(rows, side)`` finds in a pair of tiles; rows come in
+    order of size."""
+    side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
+    pair = group.column("pair").combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.lexsort((size, pair))
+    cuts = np.searchsorted(pair[order], np.arange(int(pair.max(initial=-1)) + 2))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = order[first:last]
+        label = classes(rows, side[rows])
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids[rows])
+        root = least[label]
+        other = root != ids[rows]
+        a.append(root[other])
+        b.append(ids[rows][other])
+    C.release()
+    a, b = unique_edges(np.concatenate(a), np.concatenate(b))
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+
+def compare_bitmaps(bands: Bands):
+    """Links that the bitmaps do not rule out."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        pair = np.array(group.column("pair").to_pylist(), object)
-        side = group.column("side").to_numpy()
-        ids = group.column("id").to_numpy()
-        values, offsets = shingle_sets(group.column("text").combine_chunks(), words)
+        size = group.column("size").to_numpy()
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        return by_pair(group, size, lambda rows, side: link(bands, size[rows], side, bits[rows], None))
+
+    return run
+
+
+def compare_texts(words: int, bands: Bands):
+    """Links between documents, by the intersection of their sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts, total = [], 0
+        offsets = [np.zeros(1, np.int64)]
+        for batch in group.select(["text"]).to_batches():
+            for piece in slices(batch, "text"):
+                values, ends = shingle_sets(piece.column("text"), words)
+                parts.append(values)
+                offsets.append(ends[1:] + total)
+                total += len(values)
+        values, offsets = np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate(offsets)
         size = np.diff(offsets)
-        name, number = np.unique(pair.astype(str), return_inverse=True) if len(pair) else (pair, np.zeros(0, np.int64))
-        order = np.lexsort((size, number))
-        cuts = np.searchsorted(number[order], np.arange(len(name) + 1))
-        a, b = [], []
-        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = order[first:last]
-            label = link(bands, values, offsets, rows, side[rows])
-            least = np.full(len(rows), np.iinfo(np.int64).max)
-            np.minimum.at(least, label, ids[rows])
-            root = least[label]
-            other = root != ids[rows]
-            a.append(root[other])
-            b.append(ids[rows][other])
-        empty = np.zeros(0, np.int64)
-        a, b = unique_edges(np.concatenate([empty, *a]), np.concatenate([empty, *b]))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+        def classes(rows, side):
+            def overlap(i, others):
+                mine = values[offsets[rows[i]] : offsets[rows[i] + 1]]
+                take, row = expand(offsets, rows[others])
+                at = np.minimum(np.searchsorted(mine, values[take]), len(mine) - 1)
+                return np.bincount(row, weights=mine[at] == values[take], minlength=len(others))
+
+            return link(bands, size[rows], side, bitmaps(values, offsets, rows), overlap)
+
+        return by_pair(group, size, classes)
 
     return run
 
 
 def bitmaps(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Parities of the hashed shingles of each set; as many bits as the largest set needs to be told apart."""
-    size = offsets[rows + 1] - offsets[rows]
-    bits = int(min(8192, max(256, 2 ** int(np.ceil(np.log2(max(1, size.max())))))))
+    """Parities of the hashed shingles of each set, ``BITS`` of them."""
     take, row = expand(offsets, rows)
-    place = row * bits + (values[take] & np.uint64(bits - 1)).astype(np.int64)
-    odd = (np.bincount(place, minlength=len(rows) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(rows), bits), axis=1).view(np.uint64)
+    place = row * BITS + (values[take] & np.uint64(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(rows) * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(rows), BITS), axis=1).view(np.uint64)
 
 
-def link(bands: Bands, values, offsets, rows, side) -> np.ndarray:
-    """Class of each of the rows, which are in order of size; rows on sides 1 and 2 are compared with the
-    other side only, rows on side 0 with all."""
-    n = len(rows)
+def link(bands: Bands, size: np.ndarray, side: np.ndarray, bitmap: np.ndarray, overlap) -> np.ndarray:
+    """Class of each set, in order of size; sets on sides 1 and 2 are compared with the other side only, those on
+    side 0 with all. Without ``overlap``, which measures one set against others, what the bitmaps allow counts."""
+    n = len(size)
     label = np.arange(n)
-    size = offsets[rows + 1] - offsets[rows]
     if n < 2 or size[-1] == 0:
         return label
-    bitmap = bitmaps(values, offsets, rows)
     reach = np.searchsorted(size, bands.largest(size), side="right")
     for i in range(int(np.searchsorted(size, 1)), n - 1):
         other = np.arange(i + 1, reach[i])
@@ -277,15 +311,10 @@ def link(bands: Bands, values, offsets, rows, side) -> np.ndarray:
         differ = np.bitwise_count(bitmap[other] ^ bitmap[i]).sum(axis=1, dtype=np.int64)
         could = differ <= total - 2 * need
         other, need = other[could], need[could]
-        if not len(other):
-            continue
-        mine = values[offsets[rows[i]] : offsets[rows[i] + 1]]
-        take, row = expand(offsets, rows[other])
-        at = np.minimum(np.searchsorted(mine, values[take]), len(mine) - 1)
-        common = np.bincount(row, weights=mine[at] == values[take], minlength=len(other))
-        linked = other[common >= need]
-        if len(linked):
-            found = np.append(label[linked], label[i])
+        if overlap is not None and len(other):
+            other = other[overlap(i, other) >= need]
+        if len(other):
+            found = np.append(label[other], label[i])
             label[np.isin(label, found)] = found.min()
     return label
 
@@ -304,14 +333,21 @@ def ngram_join(
     n = C.buckets(spark)
     bands = Bands(num, den)
     texts = docs.select(C.key_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = texts.mapInArrow(deal_parts(words, bands, n), PACKED)
-    met = stored(dealt.groupBy("bucket").applyInArrow(meet_parts, "kind int, a long, b long"))
+    dealt = texts.mapInArrow(C.frugal(deal_parts(words, bands, n)), PACKED)
+    met = stored(dealt.groupBy("bucket").applyInArrow(meet_parts, "kind int, a long, b long, bits binary"))
     sizes = met.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("size"))
+    largest = sizes.groupBy("id").agg(F.max("size").alias("size"))
+    bits = met.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("size"), "bits")
+    bucket = F.pmod(F.xxhash64("pair"), F.lit(n)).alias("bucket")
+
     classes = connected_components(met.where(F.col("kind") == EDGE).select("a", "b"))
-    tiles = _tiles(classes, sizes.groupBy("id").agg(F.max("size").alias("size")), bands)
+    tiles = _tiles(classes, largest, bands)
+    pieces = bits.join(tiles, "id").select(bucket, "pair", "side", "id", "size", "bits")
+    classes = connected_components(pieces.groupBy("bucket").applyInArrow(compare_bitmaps(bands), "a long, b long"))
+    tiles = _tiles(classes, largest, bands)
     # a merge join at every size: texts move once, tiles are as many as documents that may link
-    pieces = texts.join(tiles.hint("merge"), "id").withColumn("bucket", F.pmod(F.xxhash64("pair"), F.lit(n)))
-    links = pieces.groupBy("bucket").applyInArrow(compare_tiles(words, bands), "a long, b long")
+    pieces = texts.join(tiles.hint("merge"), "id").select(bucket, "pair", "side", "id", "text")
+    links = pieces.groupBy("bucket").applyInArrow(compare_texts(words, bands), "a long, b long")
     found = connected_components(links)
     joined = sizes.join(found, "id", "left")
     own = lambda c: F.when(c != C.NO_ID, c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from furrow.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from furrow.llm.language_id import op5_language_id
 from furrow.llm.mixing import op10_mixing
-from furrow.llm.ngram_join import op9_ngram_join
+from furrow.llm.ngram_join import OP9_SQL, op9_ngram_join
 from furrow.llm.packing import op6_best_fit
 from furrow.llm.sentence_dedup import op2_sentence_dedup
 from furrow.llm.suffix_dedup import op7_suffix_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op9_ngram_join": OP9_SQL}

@@ -8,6 +8,7 @@ partitions, shuffles and retries them; only the cost per record goes.
 from __future__ import annotations
 
 import ctypes
+import gc
 from functools import wraps
 
 import numpy as np
@@ -19,7 +20,19 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
+# Rows of an Arrow batch; documents are kilobytes, and a task holds a batch on both sides.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send batches of ``BATCH_ROWS`` to Python, unless it was told to send fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,6 +71,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
 def release() -> None:
     """Gives memory that a worker no longer uses back to the machine; workers live on between tasks."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -65,11 +79,20 @@ def release() -> None:
         pass
 
 
-def frugal(run):
-    """A function over batches that releases memory when it ends."""
+# What operators keep in a worker between its tasks, by name.
+KEPT: dict[str, dict] = {}
+
+
+def frugal(run, keeps: str | None = None):
+    """A function over batches that releases memory when it ends. When it starts it drops what other operators have
+    kept in this worker; only its own, named ``keeps``, stays."""
 
     @wraps(run)
     def wrapped(batches):
+        for name, kept in KEPT.items():
+            if name != keeps:
+                kept.clear()
+        release()
         yield from run(batches)
         release()
 

@@ -278,19 +278,30 @@ def compare_texts(words: int, bands: Bands):
                 at = np.minimum(np.searchsorted(mine, values[take]), len(mine) - 1)
                 return np.bincount(row, weights=mine[at] == values[take], minlength=len(others))
 
-            return link(bands, size[rows], side, bitmaps(values, offsets, rows), overlap)
+            bits = bits_for(max(1, int(size[rows].max(initial=1))))
+            return link(bands, size[rows], side, bitmaps(values, offsets, rows, bits), overlap)
 
         return by_pair(group, size, classes)
 
     return run
 
 
-def bitmaps(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Parities of the hashed shingles of each set, ``BITS`` of them."""
-    take, row = expand(offsets, rows)
-    place = row * BITS + (values[take] & np.uint64(BITS - 1)).astype(np.int64)
-    odd = (np.bincount(place, minlength=len(rows) * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(rows), BITS), axis=1).view(np.uint64)
+def bitmaps(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parities of the hashed shingles of each set, ``bits`` of them, which is a power of two."""
+    out = np.zeros((len(rows), bits // 64), np.uint64)
+    step = max(1, (1 << 22) // bits)
+    for first in range(0, len(rows), step):
+        part = rows[first : first + step]
+        take, row = expand(offsets, part)
+        place = row * bits + (values[take] & np.uint64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=len(part) * bits) & 1).astype(np.uint8)
+        out[first : first + step] = np.packbits(odd.reshape(len(part), bits), axis=1).view(np.uint64)
+    return out
+
+
+def bits_for(size: int) -> int:
+    """Bits that tell unrelated sets of this size apart: as many as shingles, at least ``BITS``."""
+    return min(1 << 16, max(BITS, 1 << int(size - 1).bit_length()))
 
 
 def link(bands: Bands, size: np.ndarray, side: np.ndarray, bitmap: np.ndarray, overlap) -> np.ndarray:

@@ -145,7 +145,7 @@ def pack(
     integers, two bytes each if the vocabulary fits; ``sequences`` joins them.
     """
     texts = docs.select(C.key_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = stored(texts.mapInArrow(C.frugal(encode_pieces(vocabulary, end_id, size)), PIECE))
+    pieces = stored(texts.mapInArrow(C.frugal(encode_pieces(vocabulary, end_id, size), "encoders"), PIECE))
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("pieces"))
     per_task = stored(per_task)
     counts = np.zeros(size + 1, np.int64)

@@ -24,40 +24,12 @@ from furrow.llm import common as C
 from furrow.llm.bytehash import slices
 from furrow.llm.tokens import Encoder
 from furrow.session import new_folder, stored
+from furrow.sources.output import Output, qualified
 
 SLICE = 4 << 20
 MANIFEST = "part int, path string, docs long, tokens long, bytes_per_id int"
 
 
-def qualified(spark, folder: str) -> str:
-    """The folder with its scheme, as the session's file system sees it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-class Output:
-    """A file that appears under its name only when it is whole; a repeated task replaces it."""
-
-    def __init__(self, uri: str):
-        self.uri = uri
-        context = TaskContext.get()
-        self.temporary = f"{uri}.{context.taskAttemptId() if context else 0}"
-        if urlparse(uri).scheme in ("", "file"):
-            path = urlparse(self.temporary).path
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            self.fs, self.file = None, open(path, "wb")  # noqa: SIM115
-        else:
-            self.fs, path = pa.fs.FileSystem.from_uri(self.temporary)
-            self.file = self.fs.open_output_stream(path)
-
-    def commit(self) -> None:
-        self.file.close()
-        if self.fs is None:
-            os.replace(urlparse(self.temporary).path, urlparse(self.uri).path)
-        else:
-            self.fs.move(urlparse(self.temporary).path, urlparse(self.uri).path)
-
-
 def mapped(uri: str, dtype) -> np.ndarray:
     """The file as an array; memory-mapped where it lies in a mounted folder."""
     if urlparse(uri).scheme in ("", "file"):
@@ -113,7 +85,7 @@ def write_token_files(
     spark = docs.sparkSession
     texts = C.keyed(docs, id_col, text_col, 1).select("id", "th", "text")
     ordered = texts.repartitionByRange(C.shuffle_partitions(spark), "id", "th").sortWithinPartitions("id", "th")
-    written = stored(ordered.mapInArrow(C.frugal(write_parts(qualified(spark, folder), vocabulary, end_id)), MANIFEST))
+    written = stored(ordered.mapInArrow(C.frugal(write_parts(qualified(spark, folder), vocabulary, end_id), "encoders"), MANIFEST))
     # one row per part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from furrow.llm import common as C
 from furrow.llm.bytehash import RunHash, bytes_of
 
 # Characters before which a text may be cut: visible ASCII, and letters and signs of European scripts, among which
@@ -80,7 +81,7 @@ def string_hashes(strings: pa.Array) -> np.ndarray:
 class Encoder:
     """Encodes Arrow arrays of texts; made once for each worker and vocabulary."""
 
-    made: dict[str, Encoder] = {}
+    made: dict[str, Encoder] = C.KEPT.setdefault("encoders", {})
 
     @classmethod
     def of(cls, path: str) -> Encoder:

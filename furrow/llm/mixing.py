@@ -74,7 +74,7 @@ def topic(text: Column, n_words: Column) -> Column:
     return F.when(marked, "marked").when(n_words < 100, "short").when(n_words < 1000, "medium").otherwise("long")
 
 
-def probability_table(features: DataFrame, targets: Targets, budget: float | None) -> DataFrame:
+def probability_table(features: DataFrame, targets: Targets, budget: float | None, part: float | None) -> DataFrame:
     """One row per cell that holds documents: its categories and its probability."""
     spark, axes = features.sparkSession, list(targets)
     names = [[*targets[a], *([] if OTHER in targets[a] else [OTHER])] for a in axes]
@@ -90,6 +90,7 @@ def probability_table(features: DataFrame, targets: Targets, budget: float | Non
             shares.append(np.where(own > 0, own / max(1.0, own.sum()), 0) ** TEMPERATURE)
         else:
             shares.append(np.array([targets[a].get(name) or 0.0 for name in listed]))
+    budget = budget if part is None else part * cells.sum()
     p = probabilities(cells, rake(cells, shares), budget)
     rows = [(*combo, float(p[tuple(place[k][c] for k, c in enumerate(combo))])) for combo in itertools.product(*names)]
     return spark.createDataFrame(rows, ", ".join(f"{a} string" for a in axes) + ", probability double")
@@ -109,8 +110,8 @@ def features_of(docs: DataFrame, targets: Targets, id_col: str, text_col: str, c
     return counted.drop("text")
 
 
-def sampled(features: DataFrame, targets: Targets, budget: float | None, seed: int) -> DataFrame:
-    table = F.broadcast(probability_table(features, targets, budget))
+def sampled(features: DataFrame, targets: Targets, budget: float | None, part: float | None, seed: int) -> DataFrame:
+    table = F.broadcast(probability_table(features, targets, budget, part))
     chance = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     found = features.join(table, list(targets), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     return found.withColumn("kept", chance < F.col("probability"))
@@ -118,19 +119,21 @@ def sampled(features: DataFrame, targets: Targets, budget: float | None, seed: i
 
 def mix(
     docs: DataFrame, targets: Targets, columns: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
-    budget: float | None = None, seed: int = 0,
+    budget: float | None = None, seed: int = 0, part: float | None = None,
 ) -> DataFrame:
     """``doc_id``, the category on each axis, ``n_tokens, probability, kept`` for each row of ``docs``.
 
     ``targets`` gives the share of tokens for each category of each axis, ``columns`` the column of each axis; an axis
     ``topic`` without a column is taken from the form of the text. An axis whose shares are all None takes its own token
     shares to the power ``TEMPERATURE``. Categories that the targets don't name, and null, are ``(other)``, whose share
-    is 0 unless it is named or goes by temperature. Without ``budget`` as much is kept as the shares allow. A document is kept
-    if a hash of its id is below its probability; rows with a null id go by their text, and rows that repeat an id are
-    decided alike. Null and empty texts have no tokens. An empty table gives no rows.
+    is 0 unless it is named or goes by temperature. ``part`` is a budget as a part of the input's tokens: cells that would
+    need more than all they have give all, and the others make up for it. Without ``budget`` and ``part`` as much is kept
+    as holds all shares, which one tiny cell can make very little. A document is kept if a hash of its id is below its
+    probability; rows with a null id go by their text, and rows that repeat an id are decided alike. Null and empty texts
+    have no tokens. An empty table gives no rows.
     """
     features = stored(features_of(docs, targets, id_col, text_col, columns))
-    found = sampled(features, targets, budget, seed)
+    found = sampled(features, targets, budget, part, seed)
     return found.select(F.col("id").alias("doc_id"), *targets, "n_tokens", "probability", "kept")
 
 
@@ -140,8 +143,10 @@ TARGETS: Targets = {
     "lang": dict.fromkeys(["en", "fr", "de", "es"]),
     "topic": dict.fromkeys(["short", "medium", "long", "marked"]),
 }
+# Part of the input's tokens that the sample is to hold.
+PART = 0.5
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
-    return mix(docs, TARGETS, {"source": F.col("source"), "lang": F.col("lang")})
+    return mix(docs, TARGETS, {"source": F.col("source"), "lang": F.col("lang")}, part=PART)

@@ -122,3 +122,16 @@ def test_nothing_is_left_out_of_a_sample_of_everything(spark):
     df = spark.createDataFrame([(i, "a b c", "en", "s") for i in range(50)], "doc_id long, text string, lang string, source string")
     targets = {"source": {"s": 1.0}, "lang": {"en": 1.0}, "topic": {"short": None}}
     assert mix(df, targets, {"source": F.col("source"), "lang": F.col("lang")}).where("kept").count() == 50
+
+
+def test_one_odd_row_does_not_shrink_the_sample(spark):
+    """A cell with a single document is kept whole; the others still make up their part of the tokens."""
+    import corpus_pipeline as P
+    from furrow.llm.mixing import PART
+
+    rows = [(i, "word " * 50, ["en", "fr", "de", "es"][i % 4], f"src{i % 20}", 250) for i in range(4000)]
+    odd = [(4000, "word " * 50, None, "src0", 250), (4001, "word " * 50, "en", "unknown", 250)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.mixed(spark, docs, "").collect()}
+    assert abs(len(kept) / len(rows) - PART) < 0.05
+    assert {4000, 4001} <= kept

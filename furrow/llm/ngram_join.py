@@ -6,12 +6,14 @@
    documents that share one with another go on. A part holds several shingles: a common line or passage alone
    makes no candidates. If so many parts of a set are empty that only empty ones may agree, the next seed deals
    anew; two sets that no earlier seed could bring together reach the same seed.
-2. **Tiles.** Documents that may link form candidate classes (stars, then connected components, never pairs).
-   A class is cut into tiles by size band and hash, and a task compares two tiles whose sizes fit.
-3. **Bounds.** Each set has a bitmap of the parities of its hashed shingles. Two sets differ at least by the
+2. **Equal sets.** Documents with equal sets (size and 128 bits of a digest) link without a comparison: one of each
+   slice, then one of all, stands for them from here on, so a group of copies is one document in every later step.
+3. **Tiles.** Documents that may link form candidate classes (stars, then connected components, never pairs).
+   A class is cut into tiles by size band and hash, and pairs of tiles whose sizes fit are compared one after another.
+4. **Bounds.** Each set has a bitmap of the parities of its hashed shingles. Two sets differ at least by the
    number of bits in which their bitmaps differ; that bounds the overlap from above. Tiles are compared by bitmaps
    first, 128 bytes a document: documents that only share passages part there, before any text moves.
-4. **Exact.** What may still link is tiled again, with texts, and intersected exactly, as sorted arrays. Documents
+5. **Exact.** What may still link is tiled again, with texts, and intersected exactly, as sorted arrays. Documents
    already in one class are not compared again.
 
 The result has one row per document with its class: links between different texts are all found, copies are
@@ -20,6 +22,7 @@ not expanded into pairs.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -33,13 +36,16 @@ from furrow.llm.components import connected_components
 from furrow.session import stored
 
 PACKED = "bucket int, kind int, payload binary"
-PART, EDGE, SIZE = 0, 1, 2
+PART, EDGE, SIZE, SAME, WHOLE = range(5)
 PART_TYPES = ["<u4", "<u2", "<i8"]  # 48 bits of a part's hash, id
 EDGE_TYPES = ["<i8", "<i8"]
 BITS = 1024
-SIZE_TYPES = ["<i8", "<i4", ("u1", BITS // 8)]  # id, number of shingles, bitmap
+SIZE_TYPES = ["<i8", "<i4"]  # id, number of shingles
+WHOLE_TYPES = ["<u8", "<u8", "<i8", "<i4", ("u1", BITS // 8)]  # digest of a set, id, number of shingles, bitmap
 SEEDS = 12  # after so many seeds sets with empty parts also meet in those
 TILE = 1500  # documents in a tile
+SHINGLES = 4_000_000  # and shingles, on average
+FEW = 500  # rows of small pairs that are compared in one call
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -121,9 +127,15 @@ class Bands:
         return -(-self.num * total // (self.num + self.den))
 
 
-def part_keys(bands: Bands, values: np.ndarray, offsets: np.ndarray):
-    """Hashes of the parts of each set, ``key, doc``."""
-    size = np.diff(offsets)
+def digests(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two columns."""
+    each = [hashlib.blake2b(values[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(each), "<u8").reshape(-1, 2)
+
+
+def part_keys(bands: Bands, values: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | bool = True):
+    """Hashes of the parts of each ``wanted`` set, ``key, doc``."""
+    size = np.where(wanted, np.diff(offsets), 0)
     own, last = bands.of(size), bands.of(bands.largest(size))
     keys, docs = [], []
     for step in range(int((last - own)[size > 0].max(initial=-1)) + 1):
@@ -168,12 +180,12 @@ def expand(offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
     return offsets[chosen][row] + inside, row
 
 
-def stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stars(ids: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First record of each key, and the edges from its id to the other ids of the key."""
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    new = C.starts(key)
-    hub = ids[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else ids
+    order = np.lexsort((ids, *key))
+    ids = ids[order]
+    new = C.starts(*[k[order] for k in key])
+    hub = ids[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(ids) else ids
     other = hub != ids
     return order[new], hub[other], ids[other]
 
@@ -191,8 +203,21 @@ def deal_parts(words: int, bands: Bands, n: int):
             for piece in slices(batch, "text"):
                 ids = piece.column("id").to_numpy(zero_copy_only=False)
                 values, offsets = shingle_sets(piece.column("text"), words)
-                key, doc = part_keys(bands, values, offsets)
-                first, a, b = stars(key, ids[doc])
+                size, whole = np.diff(offsets).astype("<i4"), digests(values, offsets)
+                some = np.flatnonzero(size)
+                first, a, b = stars(ids[some], whole[some, 0], whole[some, 1], size[some])
+                one = some[first]
+                a, b = unique_edges(a, b)
+                where = np.mod(a, n)
+                yield C.rows(SAME, C.pack(np.argsort(where, kind="stable"), where, [a, b]))
+                where = (whole[one, 0] % np.uint64(n)).astype(np.int64)
+                bits = bitmaps(values, offsets, one)
+                sets = [whole[one, 0], whole[one, 1], ids[one], size[one], bits.view(np.uint8)]
+                yield C.rows(WHOLE, C.pack(np.argsort(where, kind="stable"), where, sets))
+                wanted = np.zeros(len(ids), bool)
+                wanted[one] = True
+                key, doc = part_keys(bands, values, offsets, wanted)
+                first, a, b = stars(ids[doc], key)
                 bucket = (key >> np.uint64(48)).astype(np.int64) % n
                 order = first[np.argsort(bucket[first], kind="stable")]
                 low, high = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), ((key >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2")
@@ -201,28 +226,58 @@ def deal_parts(words: int, bands: Bands, n: int):
                 where = np.mod(a, n)
                 yield C.rows(EDGE, C.pack(np.argsort(where, kind="stable"), where, [a, b]))
                 where = np.mod(ids, n)
-                bits = bitmaps(values, offsets, np.arange(len(ids)))
-                sizes = [ids, np.diff(offsets).astype("<i4"), bits.view(np.uint8)]
-                yield C.rows(SIZE, C.pack(np.argsort(where, kind="stable"), where, sizes))
+                yield C.rows(SIZE, C.pack(np.argsort(where, kind="stable"), where, [ids, size]))
 
     return run
 
 
 def meet_parts(group: pa.Table) -> pa.Table:
-    """Edges between documents that share a part, and the sizes passed on."""
+    """Edges between documents that share a part, and between those of equal sets; the sizes passed on; the document
+    that stands for each set."""
     low, high, ids = C.unpack(C.payloads(group, PART), PART_TYPES)
-    _, a, b = stars(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), ids)
+    _, a, b = stars(ids, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
     a2, b2 = C.unpack(C.payloads(group, EDGE), EDGE_TYPES)
     a, b = unique_edges(np.concatenate((a, a2)), np.concatenate((b, b2)))
-    doc, size, bits = C.unpack(C.payloads(group, SIZE), SIZE_TYPES)
+    low, high, ids, shingles, bits = C.unpack(C.payloads(group, WHOLE), WHOLE_TYPES)
+    one, same_a, same_b = stars(ids, low, high, shingles)
+    a2, b2 = C.unpack(C.payloads(group, SAME), EDGE_TYPES)
+    same_a, same_b = unique_edges(np.concatenate((same_a, a2)), np.concatenate((same_b, b2)))
+    doc, size = C.unpack(C.payloads(group, SIZE), SIZE_TYPES)
     return pa.table({
-        "kind": pa.array(np.repeat(np.array([EDGE, SIZE], np.int32), [len(a), len(doc)])),
-        "a": pa.array(np.concatenate((a, doc))),
-        "b": pa.array(np.concatenate((b, size.astype(np.int64)))),
-        "bits": pa.array([None] * len(a) + [row.tobytes() for row in bits], pa.binary()),
+        "kind": pa.array(np.repeat(np.array([EDGE, SAME, SIZE, WHOLE], np.int32), [len(a), len(same_a), len(doc), len(one)])),
+        "a": pa.array(np.concatenate((a, same_a, doc, ids[one]))),
+        "b": pa.array(np.concatenate((b, same_b, size.astype(np.int64), shingles[one].astype(np.int64)))),
+        "bits": pa.array([None] * (len(a) + len(same_a) + len(doc)) + [row.tobytes() for row in bits[one]], pa.binary()),
     })
 
 
+def in_turn(compare):
+    """Calls ``compare`` with whole pairs of tiles from batches in order of ``pair``: with one pair, or with small ones
+    up to ``FEW`` rows before the last of them."""
+
+    def called(held):
+        group = pa.Table.from_batches(held)
+        yield from compare(group).to_batches()
+        if group.nbytes > 1 << 24:
+            C.release()
+
+    def run(batches):
+        held, rows, last = [], 0, None
+        for batch in batches:
+            begin = 0
+            for k, pair in enumerate(batch.column("pair").to_pylist()):
+                if pair != last and rows + k - begin >= FEW:
+                    yield from called([*held, batch.slice(begin, k - begin)])
+                    held, rows, begin = [], 0, k
+                last = pair
+            held.append(batch.slice(begin))
+            rows += len(batch) - begin
+        if rows:
+            yield from called(held)
+
+    return run
+
+
 def by_pair(group: pa.Table, size: np.ndarray, classes) -> pa.Table:
     """Edges from the least id of each class that ``classes(rows, side)`` finds in a pair of tiles; rows come in
     order of size."""
@@ -240,7 +295,6 @@ def by_pair(group: pa.Table, size: np.ndarray, classes) -> pa.Table:
         other = root != ids[rows]
         a.append(root[other])
         b.append(ids[rows][other])
-    C.release()
     a, b = unique_edges(np.concatenate(a), np.concatenate(b))
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
@@ -347,19 +401,23 @@ def ngram_join(
     dealt = texts.mapInArrow(C.frugal(deal_parts(words, bands, n)), PACKED)
     met = stored(dealt.groupBy("bucket").applyInArrow(meet_parts, "kind int, a long, b long, bits binary"))
     sizes = met.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("size"))
-    largest = sizes.groupBy("id").agg(F.max("size").alias("size"))
-    bits = met.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("size"), "bits")
-    bucket = F.pmod(F.xxhash64("pair"), F.lit(n)).alias("bucket")
+    same = met.where(F.col("kind") == SAME).select("a", "b")
+    # only documents that stand for a set are tiled
+    bits = met.where(F.col("kind") == WHOLE).select(F.col("a").alias("id"), F.col("b").alias("size"), "bits")
+    largest = bits.groupBy("id").agg(F.max("size").alias("size"))
+
+    def compared(pieces, compare):
+        sorted_pieces = pieces.repartition("pair").sortWithinPartitions("pair")
+        return sorted_pieces.mapInArrow(C.frugal(in_turn(compare)), "a long, b long")
 
     classes = connected_components(met.where(F.col("kind") == EDGE).select("a", "b"))
     tiles = _tiles(classes, largest, bands)
-    pieces = bits.join(tiles, "id").select(bucket, "pair", "side", "id", "size", "bits")
-    classes = connected_components(pieces.groupBy("bucket").applyInArrow(compare_bitmaps(bands), "a long, b long"))
+    pieces = bits.join(tiles, "id").select("pair", "side", "id", "size", "bits")
+    classes = connected_components(compared(pieces, compare_bitmaps(bands)))
     tiles = _tiles(classes, largest, bands)
     # a merge join at every size: texts move once, tiles are as many as documents that may link
-    pieces = texts.join(tiles.hint("merge"), "id").select(bucket, "pair", "side", "id", "text")
-    links = pieces.groupBy("bucket").applyInArrow(compare_texts(words, bands), "a long, b long")
-    found = connected_components(links)
+    pieces = texts.join(tiles.hint("merge"), "id").select("pair", "side", "id", "text")
+    found = connected_components(compared(pieces, compare_texts(words, bands)).union(same))
     joined = sizes.join(found, "id", "left")
     own = lambda c: F.when(c != C.NO_ID, c)
     return joined.select(
@@ -372,26 +430,29 @@ def ngram_join(
 def _tiles(classes: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame:
     """``id, pair, side``: the pairs of tiles that each document of a candidate class takes part in.
 
-    A class of at most ``TILE`` documents is one tile. A larger one is cut by size band, and a band by hash; a tile
-    meets itself, the other tiles of its band and those of the next band.
+    A class of at most ``TILE`` documents and ``SHINGLES`` shingles is one tile. A larger one is cut by size band, and a
+    band by hash; a tile meets itself, the other tiles of its band and those of the next band. A document that is alone
+    in its class is in no tile.
     """
     low = [int(x) for x in bands.low]
     # the band by search in a constant array: the number of edges not above the size
     edges = F.array(*[F.lit(x) for x in low])
     band = F.size(F.filter(edges, lambda e: e <= F.col("size")))
     members = stored(classes.join(sizes, "id").withColumn("band", band))
-    counts = members.groupBy("component", "band").agg(F.count("*").alias("docs"))
+    counts = members.groupBy("component", "band").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
     # one row per band, at most some hundred for a class
     of_class = Window.partitionBy("component")
     by_band = of_class.orderBy("band")
-    splits = F.ceil(F.col("docs") / TILE).cast("int")
+    splits = F.ceil(F.greatest(F.col("docs") / TILE, F.least(F.col("docs"), F.col("shingles") / SHINGLES))).cast("int")
     counts = (
         counts.withColumn("splits", splits)
         .withColumn("all_docs", F.sum("docs").over(of_class))
+        .withColumn("all_shingles", F.sum("shingles").over(of_class))
+        .where("all_docs > 1")
         .withColumn("next", F.when(F.lead("band").over(by_band) == F.col("band") + 1, F.lead("splits").over(by_band)).otherwise(0))
         .withColumn("before", F.when(F.lag("band").over(by_band) == F.col("band") - 1, F.lag("splits").over(by_band)).otherwise(0))
     )
-    dealt = members.join(counts.drop("docs"), ["component", "band"])
+    dealt = members.join(counts.drop("docs", "shingles"), ["component", "band"])
     split = F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")
 
     def pairs(lo_band, lo, hi_band, hi, side):
@@ -412,7 +473,7 @@ def _tiles(classes: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame:
     above = F.transform(upto(F.col("next")), lambda j: pairs(b, F.col("split"), b + 1, j, F.lit(1)))
     below = F.transform(upto(F.col("before")), lambda j: pairs(b - 1, j, b, F.col("split"), F.lit(2)))
     whole = F.array(F.struct(F.col("component").cast("string").alias("pair"), F.lit(0).alias("side")))
-    chosen = F.when(F.col("all_docs") <= TILE, whole).otherwise(F.concat(own, above, below))
+    chosen = F.when((F.col("all_docs") <= TILE) & (F.col("all_shingles") <= SHINGLES), whole).otherwise(F.concat(own, above, below))
     return dealt.withColumn("split", split).select("id", F.explode(chosen).alias("p")).select("id", "p.pair", "p.side")
 
 

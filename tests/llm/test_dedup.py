@@ -80,6 +80,43 @@ def test_ngram_join(table_of, odd_rows, words, num, tile, monkeypatch):
     assert got == collections.Counter((i, len(brute.shingles(t, words)), root[i]) for i, t in rows)
 
 
+def test_equal_sets_are_tiled_once(table_of, monkeypatch):
+    """Copies, also with other spaces and capitals, move as one document; their classes stay the same."""
+    monkeypatch.setattr(N, "TILE", 3)
+    moved, tiles = [], N._tiles
+
+    def counted(*args):
+        found = tiles(*args)
+        moved.append(found.count())
+        return found
+
+    monkeypatch.setattr(N, "_tiles", counted)
+    base = " ".join(f"t{j}" for j in range(60))
+    rows = [(k, [base, base.upper(), base.replace(" ", "  ")][k % 3]) for k in range(60)] + [(60, base + " t99"), (61, "all alone here it is"), (62, "all alone here it is")]
+    got = {r.doc_id: r.component_id for r in N.ngram_join(table_of(rows)).collect()}
+    root = brute.classes(rows, 5, 80, 100)
+    assert got == {i: root[i] for i, _ in rows}
+    assert moved == [2, 2]
+
+
+def test_pairs_of_tiles_are_held_one_after_another(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "FEW", 4)
+    sizes = [3, 1, 9, 9, 2, 1, 1, 1, 20]
+    pairs = [f"p{k}" for k, size in enumerate(sizes) for _ in range(size)]
+    batches = [pa.RecordBatch.from_pydict({"pair": pairs[i : i + 5]}) for i in range(0, len(pairs), 5)]
+    groups = []
+
+    def compare(group):
+        groups.append(group.column("pair").to_pylist())
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    assert not [b for b in N.in_turn(compare)(iter(batches)) if len(b)]
+    assert sum(groups, []) == pairs
+    assert [sorted(set(g)) for g in groups] == [["p0", "p1"], ["p2"], ["p3"], ["p4", "p5", "p6"], ["p7", "p8"]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), max_size=30), min_size=2, max_size=8), st.sampled_from([(85, 100), (80, 100), (50, 100), (1, 1)]))
 def test_linked_sets_share_a_part(sets, threshold):

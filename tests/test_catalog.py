@@ -6,8 +6,7 @@ import pytest
 
 import check_oracle
 from __spark_entry__ import entry, oracle_sql, queries
-
-from conftest import SF
+from small_tables import SF
 
 
 @pytest.fixture(scope="module")

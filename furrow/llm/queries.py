@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from furrow.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from furrow.llm.fill_middle import OP13_SQL, op13_fill_middle
+from furrow.llm.isolation import op12_isolation_rules
 from furrow.llm.language_id import op5_language_id
 from furrow.llm.mixing import op10_mixing
 from furrow.llm.ngram_join import OP9_SQL, op9_ngram_join
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_vp_search": op8_vp_search,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op12_isolation_rules": op12_isolation_rules,
     "op13_fill_middle": op13_fill_middle,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op9_ngram_join": OP9_SQL, "op13_fill_middle": OP13_SQL}

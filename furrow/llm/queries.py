@@ -13,6 +13,7 @@ from furrow.llm.sentence_dedup import op2_sentence_dedup
 from furrow.llm.suffix_dedup import op7_suffix_dedup
 from furrow.llm.token_files import op3_token_files
 from furrow.llm.url_filter import OP4_SQL, op4_url_filter
+from furrow.llm.vector_codes import OP11_SQL, op11_vector_codes
 from furrow.llm.vp_search import op8_vp_search
 
 QUERIES = {
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_vp_search": op8_vp_search,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
     "op12_isolation_rules": op12_isolation_rules,
     "op13_fill_middle": op13_fill_middle,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op9_ngram_join": OP9_SQL, "op13_fill_middle": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op9_ngram_join": OP9_SQL, "op11_vector_codes": OP11_SQL, "op13_fill_middle": OP13_SQL}

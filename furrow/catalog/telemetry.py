@@ -12,9 +12,6 @@ from furrow.operators import telemetry as T
 from furrow.operators.ordered import row_index
 from furrow.sources.sinks import json_lines
 
-# The events span a month; as a log that is filled second by second, an hour of theirs is one second.
-FASTER = 3600
-
 
 @query("f06_listener_events", sql("select app, event, ts_ms, event_id from kept", "kept"))
 def _(spark, sf):
@@ -70,12 +67,24 @@ def _(spark, sf):
     return T.last_per_second(T.executor_timeline(events), start)
 
 
-@query("w07_filled_timeline", sql(f"""select app, event_id, ts_ms + k * 1000 as at_ms, executors from (select *,
-    unnest(range(greatest(ceil((coalesce(next_ms, ts_ms + 1000) - ts_ms) / 1000.0::DOUBLE), 1)::BIGINT)) as k
-    from (select * replace (ts_ms // {FASTER} as ts_ms, next_ms // {FASTER} as next_ms) from timeline))""", "timeline"))
+@query("w07_filled_timeline", sql("""select app, event_id, ts_ms as from_ms, coalesce(next_ms, ts_ms + 1000) as to_ms, executors,
+    greatest((coalesce(next_ms, ts_ms + 1000) - ts_ms + 999) // 1000, 1)::BIGINT as steps from timeline""", "timeline"))
+def _(spark, sf):
+    """Every second of every app, as intervals: a month of them is some millions of rows for each app when opened."""
+    return T.intervals(T.executor_timeline(event_log(spark, sf)))
+
+
+@query("w07_steps_per_day", sql("""select app, day, sum(least(steps, hi) - greatest(0, lo))::BIGINT as seconds, max(executors) as peak
+    from (select *, ceil((day * 86400000 - from_ms) / 1000.0::DOUBLE)::BIGINT as lo, ceil(((day + 1) * 86400000 - from_ms) / 1000.0::DOUBLE)::BIGINT as hi
+      from (select *, unnest(range(from_ms // 86400000, (from_ms + (steps - 1) * 1000) // 86400000 + 1)) as day
+        from (select app, ts_ms as from_ms, executors, greatest((coalesce(next_ms, ts_ms + 1000) - ts_ms + 999) // 1000, 1)::BIGINT as steps
+          from timeline where app like 'other%'))) group by 1, 2""", "timeline"))
 def _(spark, sf):
-    line = T.executor_timeline(event_log(spark, sf))
-    return T.filled(line.withColumns({c: F.floor(F.col(c) / F.lit(FASTER)) for c in ("ts_ms", "next_ms")}))
+    """The seconds of the jobs of one kind, opened and counted for each day."""
+    chosen = T.executor_timeline(event_log(spark, sf).where(F.col("app").startswith("other")))
+    each = T.opened_steps(T.intervals(chosen))
+    day = F.floor(F.col("at_ms") / F.lit(86400000)).cast("long").alias("day")
+    return each.groupBy("app", day).agg(F.count("*").alias("seconds"), F.max("executors").alias("peak"))
 
 
 @query("a19_job_times", sql("select *, round(waiting + execution, 3) as total from jobsecs", "jobsecs"))
@@ -114,6 +123,33 @@ def _(spark, sf):
     return marks.withColumns({c: F.round(c, 6) for c in ("start_value", "end_value")})
 
 
+# Each job from its first executor to its end, and from its start to its first executor, in seconds.
+SPANS = """, spans as (select app, floor(first_executor_ms / 1000)::BIGINT as lo, floor(end_ms / 1000)::BIGINT as hi from jobtimes),
+    waits as (select app, floor(start_ms / 1000)::BIGINT as lo, floor(first_executor_ms / 1000)::BIGINT as hi from jobtimes)"""
+
+
+def _spans(spark, sf, start: str, end: str):
+    times = T.job_times(event_log(spark, sf))
+    second = lambda c: F.floor(F.col(c) / F.lit(1000)).cast("long")
+    return times.select("app", second(start).alias("lo"), second(end).alias("hi"))
+
+
+@query("j09_job_load", sql("", "jobtimes", "mem").rstrip() + SPANS + """ select app, metric, count(value) as rows, round(avg(value), 6) as mean, max(value) as peak
+    from spans join mem on ts between lo and hi group by 1, 2""")
+def _(spark, sf):
+    """Mean and peak of each metric in the time that each job runs."""
+    load = T.span_load(_spans(spark, sf, "first_executor_ms", "end_ms"), metrics(spark, sf), ["app"], ["metric"])
+    return load.withColumn("mean", F.round("mean", 6))
+
+
+@query("j09_rows_in_waits", sql("", "jobtimes", "mem").rstrip() + SPANS + """ select app, ts, host, metric, round(value, 6) as value, lo, hi
+    from waits join mem on ts between lo and hi""")
+def _(spark, sf):
+    """Every metric row in the time that a job waits for its first executor."""
+    found = T.rows_in_spans(_spans(spark, sf, "start_ms", "first_executor_ms"), metrics(spark, sf))
+    return found.select("app", "ts", "host", "metric", F.round("value", 6).alias("value"), "lo", "hi")
+
+
 @query("o04_jobs_by_total", sql("select app, round(waiting + execution, 3) as total from jobsecs order by total desc, app", "jobsecs"))
 def _(spark, sf):
     return T.job_times(event_log(spark, sf)).select("app", "total").orderBy(F.desc("total"), "app")
@@ -139,14 +175,35 @@ def _(spark, sf):
 # ---- host metrics -----------------------------------------------------------------
 
 
-@query("s11_fetched_metrics", sql("""select ts, host, metric, round(value, 6) as value from
-    (select distinct host, metric from inside) cross join (select unnest(range(1704412800, 1704434400 + 1, 15))::BIGINT as ts)
-    left join (select floor(ts / 15)::BIGINT * 15 as ts, host, metric, avg(value) as value from inside group by 1, 2, 3) using (host, metric, ts)""",
-    "mem").replace("\nselect ts", ", inside as (select * from mem where ts between 1704412800 and 1704434400 and host not in ('h0', 'h7'))\nselect ts", 1))
+# January 2024, the month of the events.
+MONTH = 1704067200, 1706745599
+
+FETCHED = """, inside as (select * from mem where ts between {} and {} and host not in ('h0', 'h7') and value is not null),
+    h as (select host, metric, floor(ts / 15)::BIGINT * 15 as ts, avg(value) as value from inside group by 1, 2, 3)""".format(*MONTH)
+
+
+@query("s11_fetched_runs", sql("", "mem").rstrip() + FETCHED + f""",
+    n as (select *, lead(ts) over w as next_ts, lag(ts) over w as before_ts, lead(value) over w as next_value from h window w as (partition by host, metric order by ts))
+    select host, metric, ts, round(value, 6) as value, next_ts, round(next_value, 6) as next_value,
+      (coalesce(next_ts, {MONTH[1] // 15 * 15 + 15}) - ts) // 15 as slots from n
+    union all select host, metric, {MONTH[0]}, null, ts, round(value, 6), (ts - {MONTH[0]}) // 15 from n where before_ts is null and ts > {MONTH[0]}""")
+def _(spark, sf):
+    """A month at 15 seconds, gaps as runs."""
+    runs = T.fetch_runs(metrics(spark, sf), *MONTH, exclude_hosts=["h0", "h7"])
+    return runs.withColumns({c: F.round(c, 6) for c in ("value", "next_value")})
+
+
+@query("s11_fetched_metrics", sql("", "mem").rstrip() + FETCHED + f""",
+    ax as (select host, metric, unnest(range({MONTH[0]}, {MONTH[1] + 1}, 15))::BIGINT as ts from (select distinct host, metric from h))
+    select host, metric, ts // 3600 * 3600 as hour, count(*) as slots, count(value) as known, round(avg(value), 6) as value
+    from ax left join h using (host, metric, ts) group by 1, 2, 3""")
 def _(spark, sf):
-    """Six hours, each slot of 15 seconds."""
-    fetched = T.fetch(metrics(spark, sf), 1704412800, 1704434400, exclude_hosts=["h0", "h7"])
-    return fetched.withColumn("value", F.round("value", 6))
+    """Each slot of 15 seconds of a month, counted and averaged for each hour."""
+    fetched = T.fetch(metrics(spark, sf), *MONTH, exclude_hosts=["h0", "h7"])
+    hour = (F.floor(F.col("ts") / F.lit(3600)) * 3600).cast("long").alias("hour")
+    return fetched.groupBy("host", "metric", hour).agg(
+        F.count("*").alias("slots"), F.count("value").alias("known"), F.round(F.avg("value"), 6).alias("value")
+    )
 
 
 @query("f07_picked_metrics", sql("select ts, host, metric, value from mem where metric like '%mem_%' and host not in ('h3', 'h10')", "mem"))
@@ -253,23 +310,26 @@ def _(spark, sf):
     return T.equal_histogram(table(spark, sf, "events"), "value")
 
 
-DAY = 1704412800
-
-
-@query("w08_interpolated", sql("", "mem").rstrip() + f""", inside as (select * from mem where ts between {DAY} and {DAY + 86399}),
-    h as (select floor(ts / 15)::BIGINT * 15 as ts, host, metric, avg(value) as value from inside group by 1, 2, 3),
-    ax as (select host, metric, unnest(range({DAY}, {DAY + 86400}, 15))::BIGINT as ts from (select distinct host, metric from h)),
-    s as (select a.*, h.value, row_number() over (partition by a.host, a.metric order by a.ts) as i from ax a left join h using (host, metric, ts)),
-    p as (select *, max(case when value is not null then i end) over (partition by host, metric order by i rows unbounded preceding) as li,
-      min(case when value is not null then i end) over (partition by host, metric order by i rows between current row and unbounded following) as ri from s),
-    f as (select p.*, l.value as lv, r.value as rv from p left join s l on l.host = p.host and l.metric = p.metric and l.i = p.li
-      left join s r on r.host = p.host and r.metric = p.metric and r.i = p.ri)
-    select host, metric, ts, round(case when value is not null then value when lv is null then rv when rv is null then lv
-      else lv + (rv - lv) * (i - li) / (ri - li) end, 8) as filled from f""")
-def _(spark, sf):
-    """A fetched day, each slot of 15 seconds."""
-    series = T.fetch(metrics(spark, sf), DAY, DAY + 86399)
-    return T.interpolated(series, ["host", "metric"], "ts", "value").select("host", "metric", "ts", F.round("filled", 8).alias("filled"))
+@query("w08_interpolated", sql("", "mem").rstrip() + """, h as (select host, metric, floor(ts / 15)::BIGINT * 15 as ts, avg(value) as value
+      from mem where value is not null group by 1, 2, 3),
+    ax as (select host, metric, unnest(range((select floor(min(ts) / 15)::BIGINT * 15 from mem), (select max(ts) + 1 from mem), 15))::BIGINT as ts
+      from (select distinct host, metric from h)),
+    s as (select a.*, h.value from ax a left join h using (host, metric, ts)),
+    lo as (select s.*, h.ts as lt, h.value as lv from s asof left join h on s.host = h.host and s.metric = h.metric and s.ts >= h.ts),
+    f as (select lo.*, h.ts as rt, h.value as rv from lo asof left join h on lo.host = h.host and lo.metric = h.metric and lo.ts <= h.ts)
+    select host, metric, ts // 3600 * 3600 as hour, count(*) as slots, round(min(v) + 1e-9, 6) as least, round(max(v) + 1e-9, 6) as greatest, round(avg(v) + 1e-9, 6) as mean
+    from (select host, metric, ts, case when value is not null then value when lv is null then rv when rv is null then lv
+      else lv + (rv - lv) * ((ts - lt) // 15) / ((rt - lt) // 15) end as v from f) group by 1, 2, 3""")
+def _(spark, sf):
+    """The whole month at 15 seconds, gaps filled, summed up for each hour. Many values end in a 5 behind the digits
+    shown; a little is added, so that the last bit does not decide how these are rounded."""
+    near = lambda c: F.round(c + 1e-9, 6)
+    series = T.interpolated_axis(metrics(spark, sf))
+    hour = (F.floor(F.col("ts") / F.lit(3600)) * 3600).cast("long").alias("hour")
+    return series.groupBy("host", "metric", hour).agg(
+        F.count("*").alias("slots"), near(F.min("filled")).alias("least"), near(F.max("filled")).alias("greatest"),
+        near(F.avg("filled")).alias("mean"),
+    )
 
 
 @query("w09_empirical_cdf", _slotted_sql("cpu", """select ts, metric, round(value, 6) as value, round((row_number() over (partition by metric order by value, ts) - 1)

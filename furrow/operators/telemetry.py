@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from furrow.functions.stats import normal_cdf, normal_pdf
 from furrow.functions.text import bytes_to_kb, job_code, wall_clock, whole_seconds
 from furrow.operators.ordered import SLICE, across, inside, null_safe_join, rank_within, sliced
+from furrow.session import broadcast_if_small, materialize
 
 # The four listener events that make up an executor timeline.
 APP_START = "SparkListenerApplicationStart"
@@ -127,16 +128,28 @@ def counted_out(rows: DataFrame, count: str, name: str) -> DataFrame:
     return runs.withColumn(name, F.explode(F.sequence(F.col("_run") * run, last))).drop("_run")
 
 
-def filled(timeline: DataFrame, step_s: int = 1) -> DataFrame:
-    """One row per step between an event and the next one, with the current count.
-
-    A gap is opened in two levels (about square-root sized runs of steps, then steps), so
-    no row ever carries one long array.
-    """
+def intervals(timeline: DataFrame, step_s: int = 1) -> DataFrame:
+    """``app, event_id, from_ms, to_ms, steps, executors``: the time from each event to the next one, with the count
+    that holds in it and the number of steps it has. An app's last event holds for one step, and so does an event that
+    the next one follows within the same step."""
     step = step_s * 1000
-    count = F.greatest(F.ceil((F.coalesce("next_ms", F.col("ts_ms") + step) - F.col("ts_ms")) / F.lit(float(step))), F.lit(1))
-    steps = counted_out(timeline.withColumn("_n", count.cast("long")), "_n", "_k")
-    return steps.select("app", "event_id", (F.col("ts_ms") + F.col("_k") * step).alias("at_ms"), "executors")
+    to = F.coalesce("next_ms", F.col("ts_ms") + step)
+    # steps that begin before the end, in whole numbers
+    spans = timeline.select("app", "event_id", F.col("ts_ms").alias("from_ms"), to.alias("to_ms"), "executors")
+    steps = F.greatest(F.expr(f"(to_ms - from_ms + {step - 1}) div {step}"), F.lit(1).cast("long"))
+    return spans.select("app", "event_id", "from_ms", "to_ms", steps.alias("steps"), "executors")
+
+
+def opened_steps(spans: DataFrame, step_s: int = 1) -> DataFrame:
+    """One row for each step of the intervals: ``app, event_id, at_ms, executors``. The rows are made where they are
+    read; filters on app or time belong before this call."""
+    steps = counted_out(spans, "steps", "_k")
+    return steps.select("app", "event_id", (F.col("from_ms") + F.col("_k") * (step_s * 1000)).alias("at_ms"), "executors")
+
+
+def filled(timeline: DataFrame, step_s: int = 1) -> DataFrame:
+    """One row per step between an event and the next one, with the current count."""
+    return opened_steps(intervals(timeline, step_s), step_s)
 
 
 def job_times(events: DataFrame) -> DataFrame:
@@ -198,6 +211,75 @@ def job_marks(events: DataFrame, metrics: DataFrame, resolution: int = RESOLUTIO
     )
 
 
+def span_load(spans: DataFrame, points: DataFrame, names: Sequence[str], by: Sequence[str] = (), ts: str = "ts", value: str = "value") -> DataFrame:
+    """``names, by, rows, mean, peak`` of the values whose time lies in a span ``lo`` to ``hi``, both included.
+
+    No row meets a span. Values are summed up for dyadic ranges of time, which are as many as bits of the whole range
+    for each second; a span of any length is at most two ranges of each size, taken from its ends inwards. Both sides
+    meet by equal ranges, and the sums of a span's ranges are added up. Spans that are null or end before they start hold
+    nothing, and spans without a value are not returned; spans of equal names are one.
+    """
+    known = points.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    bounds = known.agg(F.min(ts).alias("low"), F.max(ts).alias("high"))
+    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
+    one = F.lit(1).cast("long")
+    # at level l a range holds 2 ** l seconds, counted from the first value
+    levels = F.sequence(F.lit(0), F.floor(F.log2((high - low + 1).cast("double"))).cast("int"))
+    parts = [F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.max("_max").alias("_max")]
+    seconds = known.groupBy(F.col(ts).alias("_at"), *by).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"), F.max(value).alias("_max"))
+    ranges = (
+        seconds.withColumn("_level", F.explode(levels))
+        .groupBy("_level", _shifted(F.col("_at") - low, "_level").alias("_node"), *by)
+        .agg(*parts)
+    )
+    # a span from a up to b has the whole ranges ceil(a / 2 ** l) up to floor(b / 2 ** l) at level l; an odd first one and
+    # an even last one are in no range of the next level that lies in the span
+    cut = spans.select(*names, (F.greatest("lo", low) - low).alias("_a"), (F.least("hi", high) - low + 1).alias("_b")).where("_a < _b")
+    whole = cut.withColumn("_level", F.explode(levels)).select(
+        *names, "_level", _shifted(F.col("_a") + _left(one, "_level") - 1, "_level").alias("_a"), _shifted(F.col("_b"), "_level").alias("_b")
+    )
+    own = F.array(F.when(F.col("_a") % 2 == 1, F.col("_a")), F.when(F.col("_b") % 2 == 1, F.col("_b") - 1))
+    covers = whole.where("_a < _b").select(*names, "_level", F.explode(F.array_compact(own)).alias("_node")).distinct()
+    found = covers.join(ranges, ["_level", "_node"]).groupBy(*names, *by).agg(*parts)
+    return found.select(*names, *by, F.col("_n").alias("rows"), (F.col("_sum") / F.col("_n")).alias("mean"), F.col("_max").alias("peak"))
+
+
+def _shifted(number: Column, bits: str) -> Column:
+    """``floor(number / 2 ** bits)``"""
+    return F.call_function("shiftright", number, F.col(bits))
+
+
+def _left(number: Column, bits: str) -> Column:
+    return F.call_function("shiftleft", number, F.col(bits))
+
+
+# Seconds of a time bin, and points of one above which it is cut again.
+BIN_S, BIN_POINTS = 3600, 20_000
+
+
+def rows_in_spans(spans: DataFrame, points: DataFrame, ts: str = "ts", bin_s: int = BIN_S, bin_points: int = BIN_POINTS) -> DataFrame:
+    """Each row of ``points`` with each span ``lo`` to ``hi``, both included, that its time lies in; all columns of both.
+
+    Points lie in one bin of time, and spans are dealt to the bins that they cover and that hold points; both meet by
+    equal bins and are then compared. A bin with many points is cut: its points are spread by a hash over so many parts,
+    and its spans go to each of them.
+    """
+    binned = points.where(F.col(ts).isNotNull()).withColumn("_bin", F.floor(F.col(ts) / F.lit(bin_s)).cast("long"))
+    parts = F.ceil(F.count("*") / F.lit(bin_points)).cast("int").alias("_parts")
+    # one row for each bin of time
+    bins = broadcast_if_small(materialize(binned.groupBy("_bin").agg(parts)))
+    bounds = binned.agg(F.min("_bin").alias("low"), F.max("_bin").alias("high"))
+    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
+    spread = binned.join(bins, "_bin").withColumn("_part", F.pmod(F.xxhash64(*points.columns), F.col("_parts")).cast("int")).drop("_parts")
+    first = F.greatest(F.floor(F.col("lo") / F.lit(bin_s)).cast("long"), low)
+    last = F.least(F.floor(F.col("hi") / F.lit(bin_s)).cast("long"), high)
+    some = spans.where(F.col("lo") <= F.col("hi")).withColumns({"_first": first, "_n": last - first + 1})
+    dealt = counted_out(some, "_n", "_k").withColumn("_bin", F.col("_first") + F.col("_k")).drop("_first", "_n", "_k")
+    copies = dealt.join(bins, "_bin").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    met = spread.join(copies, ["_bin", "_part"])
+    return met.where(F.col(ts).between(F.col("lo"), F.col("hi"))).drop("_bin", "_part")
+
+
 # ---- host metrics ----------------------------------------------------------------
 
 
@@ -219,27 +301,90 @@ def pick_metrics(metrics: DataFrame, fragments: Sequence[str] = (), exclude_host
     return out
 
 
+def slot_means(metrics: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+    """``host, metric, ts, value``: the mean of each slot that holds a value."""
+    known = metrics.where(F.col("value").isNotNull())
+    return known.groupBy("host", "metric", slot(F.col("ts"), resolution).alias("ts")).agg(F.avg("value").alias("value"))
+
+
+def gap_runs(points: DataFrame, keys: Sequence[str], order: str, value: str, first: Column, last: Column, step: int, slices: int | None = None) -> DataFrame:
+    """The regular axis from ``first`` to ``last`` as runs: ``keys, order, value, next_order, next_value, slots``.
+
+    A run starts at a known point and has all slots before the next one; the run of a key's last point reaches the end
+    of the axis and has no next point. Where a key's first point lies behind the start of the axis, a run without a value
+    comes before it. Slots themselves are nowhere: what moves is one row for each known point, whatever the axis has.
+    Points lie on the axis, one at most in each slot of a key, and their values are not null.
+    """
+    keys = list(keys)
+    rows = sliced(points.select(*keys, order, value), keys, [order], slices)
+    here = inside(keys, [order])
+    point = F.struct(F.col(order).alias("at"), F.col(value).alias("v"))
+    local = rows.withColumns({"_next": F.lead(point).over(here), "_before": F.lag(order).over(here)})
+    # the first point of each slice is the next one of the last point of the slice before
+    heads = rows.groupBy(*keys, SLICE).agg(F.min_by(point, order).alias("_head"))
+    carried = heads.withColumns({"_later": F.lead("_head").over(across(keys)), "_first": F.lag("_head").over(across(keys)).isNull()})
+    joined = null_safe_join(local, carried.drop("_head"), [*keys, SLICE])
+    after = F.coalesce("_next", "_later")
+    ahead = F.col("_first") & F.col("_before").isNull() & (F.col(order) > first)
+    slots = lambda a, b: F.floor((b - a) / F.lit(step)).cast("long")
+    null = F.lit(None).cast(points.schema[value].dataType)
+    own = F.struct(
+        F.col(order).alias(order), F.col(value).alias(value), after["at"].alias(f"next_{order}"), after["v"].alias(f"next_{value}"),
+        F.when(after.isNull(), slots(F.col(order), last) + 1).otherwise(slots(F.col(order), after["at"])).alias("slots"),
+    )
+    lead_in = F.struct(
+        first.cast("long").alias(order), null.alias(value), F.col(order).alias(f"next_{order}"), F.col(value).alias(f"next_{value}"),
+        slots(first, F.col(order)).alias("slots"),
+    )
+    return joined.select(*keys, F.explode(F.when(ahead, F.array(lead_in, own)).otherwise(F.array(own))).alias("_run")).select(*keys, "_run.*")
+
+
+def opened_runs(runs: DataFrame, keys: Sequence[str], order: str, value: str, step: int) -> DataFrame:
+    """Every slot of the runs: ``keys, order, value, filled``. The value is NULL in the slots of a gap; ``filled`` lies on
+    the line between the points on both sides of it, or is the nearest value where one side has none."""
+    each = counted_out(runs, "slots", "_k")
+    at, k = F.col(order) + F.col("_k") * step, F.col("_k")
+    low, high = F.col(value), F.col(f"next_{value}")
+    line = low + (high - low) * k / F.col("slots")
+    known = F.when(k == 0, low)
+    filled = F.when(low.isNull(), high).when(high.isNull() | (k == 0), low).otherwise(line)
+    return each.select(*keys, at.cast("long").alias(order), known.alias(value), filled.alias("filled"))
+
+
+SERIES = ["host", "metric"]
+
+
+def fetch_runs(metrics: DataFrame, start: int, end: int, resolution: int = RESOLUTION, exclude_hosts: Sequence[str] = ()) -> DataFrame:
+    """Averages per (host, metric, slot) of the range, both ends included, with the gaps as runs (``gap_runs``)."""
+    inside_range = pick_metrics(metrics, exclude_hosts=exclude_hosts).where(F.col("ts").between(start, end))
+    first, last = start // resolution * resolution, end // resolution * resolution
+    return gap_runs(slot_means(inside_range, resolution), SERIES, "ts", "value", F.lit(first), F.lit(last), resolution)
+
+
 def fetch(metrics: DataFrame, start: int, end: int, resolution: int = RESOLUTION, exclude_hosts: Sequence[str] = ()) -> DataFrame:
     """Average per (host, metric, slot) of the range, both ends included. Every slot of the range is returned for
     each (host, metric) that has a value in it; slots without values are NULL."""
-    inside = pick_metrics(metrics, exclude_hosts=exclude_hosts).where(F.col("ts").between(start, end))
-    found = inside.groupBy(slot(F.col("ts"), resolution).alias("ts"), "host", "metric").agg(F.avg("value").alias("value"))
-    first, last = start // resolution * resolution, end // resolution * resolution
-    return _every_slot(found, F.lit(first), F.lit((last - first) // resolution + 1), resolution)
+    runs = fetch_runs(metrics, start, end, resolution, exclude_hosts)
+    return opened_runs(runs, SERIES, "ts", "value", resolution).select("ts", *SERIES, "value")
 
 
-def _every_slot(metrics: DataFrame, first: Column, slots: Column, resolution: int) -> DataFrame:
-    series = metrics.select("host", "metric").distinct().withColumn("_n", slots.cast("long"))
-    axis = counted_out(series, "_n", "_k").select("host", "metric", (first + F.col("_k") * resolution).cast("long").alias("ts"))
-    return axis.join(metrics, ["host", "metric", "ts"], "left").select("ts", "host", "metric", "value")
+def axis_runs(metrics: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+    """All slots between the first and the last one of the table, for every (host, metric) with a value, as runs."""
+    bounds = metrics.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    low, high = (slot(bounds.select(c).scalar(), resolution) for c in ("low", "high"))
+    return gap_runs(slot_means(metrics, resolution), SERIES, "ts", "value", low, high, resolution)
 
 
 def on_axis(metrics: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     """Every slot between the first and last one of the table for every (host, metric);
     missing slots are NULL."""
-    bounds = metrics.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
-    return _every_slot(metrics, low, F.floor((high - low) / F.lit(resolution)) + 1, resolution)
+    return opened_runs(axis_runs(metrics, resolution), SERIES, "ts", "value", resolution).select("ts", *SERIES, "value")
+
+
+def interpolated_axis(metrics: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+    """``host, metric, ts, value, filled``: the whole series at ``resolution``, gaps filled on the line between their
+    ends."""
+    return opened_runs(axis_runs(metrics, resolution), SERIES, "ts", "value", resolution)
 
 
 def host_mean(metrics: DataFrame) -> DataFrame:

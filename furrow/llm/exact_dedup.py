@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm import common as C
 from furrow.llm.bytehash import bytes_of, slices
-from furrow.session import stored
+from furrow.session import broadcast_if_small, stored
 
 # Sizes of chunks in bytes: no cut before LEAST, a cut for one in AVERAGE positions, at MOST in any case.
 LEAST, AVERAGE, MOST = 256, 1024, 8192
@@ -88,6 +88,22 @@ def recipes(batches):
             )
 
 
+def with_variants(chunks: DataFrame) -> DataFrame:
+    """Adds ``variant`` to chunks ``name, digest``: a number that tells digests of one name apart, NULL where a name has
+    one digest. That is all of them, unless 64 bits collide; so chunks stay where they are, and only one partial row for
+    each name and task moves."""
+    clashing = stored(chunks.groupBy("name").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("name"))
+    variants = stored(
+        chunks.join(broadcast_if_small(clashing), "name", "left_semi")
+        .select("name", "digest").distinct()
+        .withColumn("variant", F.row_number().over(Window.partitionBy("name").orderBy("digest")))
+    )
+    return chunks.join(broadcast_if_small(variants), ["name", "digest"], "left")
+
+
+RECIPES = "id long, th int, text_sha256 string, chunks array<struct<place:int,name:long,digest:binary>>"
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``: one row for each row of ``docs``.
 
@@ -96,22 +112,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and count in ``group_size``. Other columns are not read.
     """
     texts = C.keyed(docs, id_col, text_col, 1).select("id", "th", "text")
-    read = stored(
-        texts.mapInArrow(
-            C.frugal(recipes), "id long, th int, text_sha256 string, chunks array<struct<place:int,name:long,digest:binary>>"
-        )
-    )
+    return grouped(stored(texts.mapInArrow(C.frugal(recipes), RECIPES)))
+
+
+def grouped(read: DataFrame) -> DataFrame:
+    """The result of ``exact_dedup`` from the recipes of all rows."""
     # one row per document key; repeated rows are counted
     rows = read.groupBy("id", "th", "text_sha256").agg(F.count("*").alias("times"))
     chunks = read.select("id", "th", "text_sha256", F.explode("chunks").alias("c")).select("id", "th", "text_sha256", "c.*")
-    # names under which the corpus holds different chunks: none, unless 64 bits collide
-    clashing = chunks.groupBy("name").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
-    variants = (
-        chunks.join(clashing.select("name"), "name", "left_semi")
-        .select("name", "digest").distinct()
-        .withColumn("variant", F.row_number().over(Window.partitionBy("name").orderBy("digest")))
-    )
-    named = chunks.join(variants, ["name", "digest"], "left")
+    named = with_variants(chunks)
     entry = F.struct("place", "name", F.coalesce("variant", F.lit(0)).alias("variant"))
     listed = named.groupBy("id", "th", "text_sha256").agg(F.sort_array(F.collect_set(entry)).alias("recipe"))
     recipe = F.coalesce("recipe", F.array().cast("array<struct<place:int,name:long,variant:int>>"))

@@ -417,8 +417,12 @@ def ngram_join(
     tiles = _tiles(classes, largest, bands)
     # a merge join at every size: texts move once, tiles are as many as documents that may link
     pieces = texts.join(tiles.hint("merge"), "id").select("pair", "side", "id", "text")
-    found = connected_components(compared(pieces, compare_texts(words, bands)).union(same))
-    joined = sizes.join(found, "id", "left")
+    # an id with several texts is one node of several sets, so its links to them are links like others
+    several = sizes.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    first = same.join(several, same["b"] == several["id"], "left_semi")
+    above = same.join(first.select(F.col("a").alias("up")), F.col("b") == F.col("up"), "left_semi")
+    found = connected_components(compared(pieces, compare_texts(words, bands)).union(first).union(above))
+    joined = sizes.join(_with_copies(found, same), "id", "left")
     own = lambda c: F.when(c != C.NO_ID, c)
     return joined.select(
         own(F.col("id")).alias("doc_id"),
@@ -427,6 +431,19 @@ def ngram_join(
     )
 
 
+def _with_copies(found: DataFrame, same: DataFrame) -> DataFrame:
+    """``id, component`` of the documents that stand for sets, and of their copies.
+
+    Copies of a slice of documents hang on the first one there, and that one on the first of the whole table, so two
+    joins reach all; no group is larger than the copies in a slice or the slices of the table.
+    """
+    here = same.join(found, F.col("a") == F.col("id"), "left").select("a", "b", F.coalesce("component", "a").alias("near"))
+    here = stored(here)
+    above = here.select(F.col("b").alias("up"), F.col("near").alias("far"))
+    copies = here.join(above, F.col("a") == F.col("up"), "left").select(F.col("b").alias("id"), F.coalesce("far", "near").alias("component"))
+    return found.union(copies).groupBy("id").agg(F.min("component").alias("component"))
+
+
 def _tiles(classes: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame:
     """``id, pair, side``: the pairs of tiles that each document of a candidate class takes part in.
 

@@ -57,9 +57,11 @@ class Tree:
     def _offer(self, rows: np.ndarray, who: np.ndarray, queries, names, best: Best) -> None:
         """Measures the rows that may be among the k best of a query, by a matrix product with room for rounding."""
         x, q = self.vectors[rows], queries[who]
-        rough = np.square(x).sum(axis=1) + np.square(q).sum(axis=1)[:, None] - 2 * (q @ x.T)
+        norms = np.square(x).sum(axis=1) + np.square(q).sum(axis=1)[:, None]
+        rough = norms - 2 * (q @ x.T)
         border = np.square(best.distance[who, -1:])
-        near = (rough <= border + 1e-9 * (1 + border)) & (self.ids[rows][None, :] != names[who][:, None])  # not its own row
+        # the product is off by parts of the norms, however near the vectors are to each other
+        near = (rough <= border * (1 + 1e-9) + (x.shape[1] + 8) * 1e-15 * norms) & (self.ids[rows][None, :] != names[who][:, None])  # not its own row
         some = np.flatnonzero(near.any(axis=1))
         for i in some.tolist():
             chosen = rows[near[i]]
@@ -80,7 +82,7 @@ class Tree:
         self._visit(inner, who[near], queries, names, best, factor)
         self._visit(outer, who[~near], queries, names, best, factor)
         # what lies beyond the border is at least this far away
-        room = factor * np.abs(d - median) <= best.distance[who, -1]
+        room = factor * (np.abs(d - median) - 1e-14 * (d + median)) <= best.distance[who, -1]
         self._visit(outer, who[near & room], queries, names, best, factor)
         self._visit(inner, who[~near & room], queries, names, best, factor)
 

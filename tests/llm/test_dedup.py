@@ -7,11 +7,15 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from furrow.llm import common as C
+from furrow.llm import exact_dedup as E
 from furrow.llm import ngram_join as N
 from furrow.llm.components import connected_components
 from furrow.llm.exact_dedup import exact_dedup
 from furrow.llm.sentence_dedup import dedup_sentences
 from furrow.llm.suffix_dedup import dedup_substrings
+from furrow.session import stored
+from pyspark.sql import functions as F
 
 
 def test_exact(table_of, odd_rows):
@@ -26,19 +30,24 @@ def test_exact(table_of, odd_rows):
     assert got == want
 
 
-def test_exact_tells_colliding_names_apart(table_of, monkeypatch):
-    import xxhash
+@pytest.mark.parametrize("names", [1, 3])
+def test_exact_tells_colliding_names_apart(spark, table_of, odd_rows, names):
+    """Where different chunks share a name, as a collision would have it, their digests tell texts apart."""
+    texts = C.keyed(table_of(odd_rows), "doc_id", "text", 1).select("id", "th", "text")
+    read = texts.mapInArrow(E.recipes, E.RECIPES)
+    clashing = F.transform("chunks", lambda c: c.withField("name", F.pmod(c["name"], F.lit(names))))
+    got, want = (E.grouped(stored(r)) for r in (read.withColumn("chunks", clashing), read))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    chunks = spark.createDataFrame([(1, b"a"), (1, b"b"), (1, b"a"), (2, b"c"), (2, b"c")], "name long, digest binary")
+    assert sorted((r.name, bytes(r.digest), r.variant or 0) for r in E.with_variants(chunks).collect()) == [(1, b"a", 1), (1, b"a", 1), (1, b"b", 2), (2, b"c", 0), (2, b"c", 0)]
 
-    class Same:
-        def intdigest(self):
-            return 5
 
-    from furrow.llm import exact_dedup as E
-
-    # every chunk has one name; only the verified variants tell texts apart
-    monkeypatch.setattr(xxhash, "xxh64", lambda piece: Same())
-    table = list(E.recipes([__import__("pyarrow").RecordBatch.from_pydict({"id": [1], "th": [0], "text": ["abc"]})]))
-    assert table[0].column("chunks")[0].as_py()[0]["name"] == 5
+def test_exact_moves_no_chunks_by_name(spark, table_of, odd_rows):
+    """Chunks are dealt by document; names only meet as one partial row for each task."""
+    read = stored(table_of(odd_rows).select(F.col("doc_id").alias("id"), F.lit(0).alias("th"), "text").mapInArrow(E.recipes, E.RECIPES))
+    chunks = read.select("id", F.explode("chunks").alias("c")).select("id", "c.*")
+    plan = E.with_variants(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
 def test_substrings(table_of, odd_rows):
@@ -99,6 +108,17 @@ def test_equal_sets_are_tiled_once(table_of, monkeypatch):
     assert moved == [2, 2]
 
 
+def test_copies_and_ids_with_several_texts(table_of):
+    """Copies hang on two levels of representatives; an id with several texts links the sets of all of them."""
+    sets = [" ".join(f"s{k}w{j}" for j in range(30)) for k in range(6)]
+    rows = [(200 - i, sets[i % 3]) for i in range(90)]  # copies in falling order of id
+    rows += [(500, sets[3]), (501, sets[3]), (502, sets[4]), (501, sets[4]), (300, sets[5]), (110, sets[5]), (301, sets[5])]
+    rows += [(None, sets[0]), (None, "a text of its own that has words")]
+    got = collections.Counter((r.doc_id, r.component_id) for r in N.ngram_join(table_of(rows)).collect())
+    root = brute.classes(rows, 5, 80, 100)
+    assert got == collections.Counter((i, root[i]) for i, _ in rows)
+
+
 def test_pairs_of_tiles_are_held_one_after_another(monkeypatch):
     import pyarrow as pa
 

@@ -58,3 +58,16 @@ def test_recall_of_the_registered_factor():
         d[q] = np.inf
         hits += len(set(np.argsort(d, kind="stable")[:10]) & set(found[q]))
     assert hits / 800 >= 0.9
+
+
+@pytest.mark.parametrize("norm", [1.0, 1e3, 1e4, 1e5, 1e6])
+def test_close_vectors_far_from_the_origin(norm):
+    """The pre-filter by products loses none of them, whatever their norm is."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=64) * norm / 8 + rng.normal(size=(1000, 64)) * 1e-3
+    ids = np.arange(len(x))
+    found, _ = Tree(ids, x).search(x[:50], ids[:50], 10, 1.0)
+    for q in range(50):
+        d = distances(x, x[q])
+        d[q] = np.inf
+        assert found[q].tolist() == np.lexsort((ids, d))[:10].tolist()

@@ -234,7 +234,7 @@ def span_load(spans: DataFrame, points: DataFrame, names: Sequence[str], by: Seq
     )
     # a span from a up to b has the whole ranges ceil(a / 2 ** l) up to floor(b / 2 ** l) at level l; an odd first one and
     # an even last one are in no range of the next level that lies in the span
-    cut = spans.select(*names, (F.greatest("lo", low) - low).alias("_a"), (F.least("hi", high) - low + 1).alias("_b")).where("_a < _b")
+    cut = spans.where(F.col("lo") <= F.col("hi")).select(*names, (F.greatest("lo", low) - low).alias("_a"), (F.least("hi", high) - low + 1).alias("_b")).where("_a < _b")
     whole = cut.withColumn("_level", F.explode(levels)).select(
         *names, "_level", _shifted(F.col("_a") + _left(one, "_level") - 1, "_level").alias("_a"), _shifted(F.col("_b"), "_level").alias("_b")
     )

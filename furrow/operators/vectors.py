@@ -10,10 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from furrow.operators.clustering import nearest_in_blocks, nearest_of
 from furrow.session import materialize
 
 # Clusters and iterations of the bag-of-words model, the match ratio and
@@ -48,24 +48,11 @@ def center_list(centers: DataFrame, limit: int = MAX_CENTERS) -> np.ndarray:
 def nearest_center(points: DataFrame, centers: DataFrame, column: str = "desc") -> DataFrame:
     """Adds ``cluster`` and ``dist``: the closest center, smallest cluster on ties.
 
-    The centers travel with the function and are compared in Arrow batches, so no row is
-    multiplied and nothing shuffles.
+    Up to ``MAX_CENTERS`` centers travel to every task, so no row is multiplied and nothing shuffles; more of them
+    meet the points in blocks.
     """
-    known = center_list(centers)
-
-    @F.pandas_udf(StructType([StructField("cluster", IntegerType()), StructField("dist", DoubleType())]))
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        x = np.stack(vectors.to_numpy()).astype(np.float64)
-        best, cluster = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
-        for k, center in enumerate(known):  # one center at a time keeps memory at the batch size
-            squares = ((x - center) ** 2).sum(axis=1)
-            closer = squares < best
-            best[closer], cluster[closer] = squares[closer], k
-        return pd.DataFrame({"cluster": cluster, "dist": np.sqrt(best)})
-
-    return points.withColumn("_near", nearest(column)).select(
-        *points.columns, F.col("_near.cluster").alias("cluster"), F.col("_near.dist").alias("dist")
-    )
+    few = centers.select("cluster", "center").limit(MAX_CENTERS + 1).count() <= MAX_CENTERS
+    return nearest_of(points, center_list(centers), column) if few else nearest_in_blocks(points, centers, column)
 
 
 def nearest_value(values: DataFrame, centers: list[float], column: str) -> DataFrame:
@@ -94,6 +81,24 @@ def bag_of_words(points: DataFrame, centers: DataFrame, pooling: str = "max", cl
     return pooled.select("image_id", (ranked["k"] + 1).alias("grp"), *[F.col(f"_p{k}").alias(f"pool_{k}") for k in range(clusters)])
 
 
+def bag_of_many_words(points: DataFrame, centers: DataFrame, clusters: int, pooling: str = "max") -> DataFrame:
+    """``image_id, grp`` by the same rule for any number of clusters, as rows of (image, cluster).
+
+    Of the clusters without descriptors only the first can win, and it stands right behind the first gap in the
+    cluster numbers of the image.
+    """
+    pool = {"max": F.max, "sum": F.sum}[pooling]
+    pooled = nearest_center(points, centers).groupBy("image_id", "cluster").agg(F.round(pool("dist"), 9).alias("_pool"))
+    order = Window.partitionBy("image_id").orderBy("cluster")
+    # up to the first gap, cluster numbers are places; one row for each cluster of an image
+    placed = pooled.withColumn("_place", F.row_number().over(order) - 1)
+    least = F.min(F.struct("_pool", "cluster")).alias("_least")
+    unbroken = F.count_if(F.col("_place") == F.col("cluster")).alias("_gap")
+    found = placed.groupBy("image_id").agg(least, unbroken)
+    gap = F.when(F.col("_gap") < clusters, F.struct(F.lit(0.0).alias("_pool"), F.col("_gap").cast("int").alias("cluster")))
+    return found.select("image_id", (F.least("_least", gap)["cluster"] + 1).alias("grp"))
+
+
 def fit_words(points: DataFrame, column: str = "desc", k: int = WORDS, iterations: int = WORD_ITERATIONS, seed: int = 1) -> KMeansModel:
     """k-means on vectors with random, seeded starts."""
     vectors = points.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
@@ -143,14 +148,8 @@ def _blocked(rows: DataFrame, counts: DataFrame, keys: list[str], own: str, othe
     )
 
 
-def nearest_two(descriptors: DataFrame, target_band: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The two nearest target descriptors of every descriptor of the other bands, exact.
-
-    Both sides of a (group, band) are cut into blocks of about ``block_rows`` rows; one
-    task compares one block pair with a matrix product and returns two candidates per
-    query, and the block results are merged by a small aggregation. A hot group is only
-    more block pairs, and no pair of rows is ever written.
-    """
+def _block_pairs(descriptors: DataFrame, target_band: int, block_rows: int, compare, schema: str) -> DataFrame:
+    """Calls ``compare`` with each block of a (group, band) and each block of the target descriptors of its group."""
     used = with_features(descriptors).select("group_key", "band", "kp", "desc")
     query, target = used.where(F.col("band") != target_band), used.where(F.col("band") == target_band).drop("band")
 
@@ -163,8 +162,21 @@ def nearest_two(descriptors: DataFrame, target_band: int, block_rows: int = BLOC
     right = _blocked(target, counts, ["group_key"], "t", "q")
     right = right.toDF(*right.columns)  # fresh columns: both sides come from one table
     keys = ["group_key", "band", "_q", "_t"]
-    schema = "group_key STRING, band INT, kp BIGINT, target_kp BIGINT, dist DOUBLE"
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_pair, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
+
+
+NEAR = "group_key STRING, band INT, kp BIGINT, target_kp BIGINT, dist DOUBLE"
+
+
+def nearest_two(descriptors: DataFrame, target_band: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The two nearest target descriptors of every descriptor of the other bands, exact.
+
+    Both sides of a (group, band) are cut into blocks of about ``block_rows`` rows; one
+    task compares one block pair with a matrix product and returns two candidates per
+    query, and the block results are merged by a small aggregation. A hot group is only
+    more block pairs, and no pair of rows is ever written.
+    """
+    partial = _block_pairs(descriptors, target_band, block_rows, _block_pair, NEAR)
     best = F.array_sort(F.collect_list(F.struct("dist", "target_kp")))
     # two entries per target block: the list is as long as the block count, not the group
     return (
@@ -175,6 +187,24 @@ def nearest_two(descriptors: DataFrame, target_band: int, block_rows: int = BLOC
     )
 
 
+def mutual_pairs(descriptors: DataFrame, target_band: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``group_key, band, kp, target_kp, dist``: the pairs of a descriptor of any other band and a target descriptor of
+    its group that are each other's nearest; ties go to the smaller keypoint on both sides.
+
+    One pass over the block pairs gives the candidates of both directions.
+    """
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        there, back = _block_pair(left, right), _block_pair(right.assign(band=left["band"].iloc[0] if len(left) else 0), left)
+        return pd.concat([there.assign(back=False), back.assign(back=True)])
+
+    partial = _block_pairs(descriptors, target_band, block_rows, both, NEAR + ", back BOOLEAN")
+    best = partial.groupBy("group_key", "band", "back", "kp").agg(F.min(F.struct("dist", "target_kp")).alias("hit"))
+    there = best.where("not back").select("group_key", "band", "kp", "hit.target_kp", "hit.dist")
+    back = best.where("back").select("group_key", "band", F.col("kp").alias("target_kp"), F.col("hit.target_kp").alias("kp"))
+    return there.join(back, ["group_key", "band", "kp", "target_kp"])
+
+
 def _block_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     columns = ["group_key", "band", "kp", "target_kp", "dist"]
     if left.empty or right.empty:
@@ -219,13 +249,6 @@ def ratio_matches(near: DataFrame, ratio: float = MATCH_RATIO) -> DataFrame:
     return wide.where(F.col("dist_2").isNotNull() & (F.col("dist") < F.col("dist_2") * ratio))
 
 
-def mutual_matches(near: DataFrame, near_back: DataFrame) -> DataFrame:
-    """All pairs that are each other's nearest neighbour, in one group."""
-    there = near.where("rank = 1").select("group_key", "kp", "target_kp", "dist")
-    back = near_back.where("rank = 1").select("group_key", F.col("kp").alias("target_kp"), F.col("target_kp").alias("kp"))
-    return there.join(back, ["group_key", "kp", "target_kp"])
-
-
 def shown_matches(matches: DataFrame, shown: int = SHOWN_MATCHES) -> DataFrame:
     """The closest pairs, as a plot shows them."""
     return matches.orderBy("dist", "kp").limit(shown)

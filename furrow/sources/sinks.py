@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeansModel
+from pyspark.mllib.clustering import KMeansModel as CenterModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,18 @@ def load_model(folder: str) -> KMeansModel:
     return KMeansModel.load(folder)
 
 
+def save_centers(centers: DataFrame, folder: str) -> None:
+    """Centers ``cluster, center`` as a model file that Spark's own k-means reads."""
+    rows = sorted(centers.select("cluster", "center").collect())  # as many as a model has
+    CenterModel([r["center"] for r in rows]).save(centers.sparkSession.sparkContext, folder)
+
+
+def load_centers(spark: SparkSession, folder: str) -> DataFrame:
+    model = CenterModel.load(spark.sparkContext, folder)
+    rows = [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters)]
+    return spark.createDataFrame(rows, "cluster INT, center ARRAY<DOUBLE>")
+
+
 def timing_record(spark: SparkSession, job: str, read_s: float, process_s: float) -> DataFrame:
     """One timing row of a job run."""
     row = spark.range(1).select(F.lit(job).alias("job"), F.lit(read_s).alias("read_s"), F.lit(process_s).alias("process_s"))

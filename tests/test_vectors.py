@@ -74,7 +74,7 @@ def test_fitted_words_and_check_points(spark, tmp_path):
     assert classes == sorted(classes)
 
 
-def test_too_many_centers_are_refused(spark):
+def test_a_list_of_too_many_centers_is_refused(spark):
     centers = spark.range(5).select(F.col("id").cast("int").alias("cluster"), F.array(F.col("id").cast("double")).alias("center"))
     with pytest.raises(ValueError, match="more than 4 centers"):
         V.center_list(centers, limit=4)

@@ -15,7 +15,8 @@ from furrow.operators import vectors as V
 from furrow.operators.ordered import row_index
 from furrow.plans import jobs
 from furrow.plans.steps import Step, run_steps
-from furrow.session import default_slices, stored
+from furrow.session import default_slices, new_folder, stored
+from furrow.sources import files as S
 
 CELLS = [[0, 1, 0], [1, 0, 1], [0, 1, 0]]
 CENTRE = [[0, 0, 0], [0, 1, 0], [0, 0, 0]]
@@ -428,6 +429,62 @@ def _(spark, sf):
     return run_steps(grey(spark, sf), steps)
 
 
+def _image_folder(spark, sf, *channels) -> str:
+    """The stand-in images as 8-bit colour files, blue, green and red by the given functions of their grey. Every fifth
+    file is cut in its middle, and every seventh holds text; returns the folder."""
+    folder, k = new_folder(spark), F.col("image_id")
+    samples = F.concat(*[F.lpad(F.hex(c(F.col("v"))), 2, "0") for c in channels])
+    packed = grey(spark, sf).select("image_id", F.struct("y", "x", samples.alias("s")).alias("p"))
+    # as many entries as an image has pixels
+    data = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), ""))
+    name = F.concat(F.lit("/"), F.lpad(k.cast("string"), 12, "0"), F.lit(".png"))
+    images = packed.groupBy("image_id").agg(data.alias("data")).select(name.alias("path"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "data")
+    files = I.to_png(images).withColumn("image_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))
+    cut = F.when(k % 7 == 0, F.lit("no image").cast("binary")).when(k % 5 == 0, F.expr("substring(content, 1, length(content) div 2)")).otherwise(F.col("content"))
+    S.write_files(files.select("path", cut.alias("content")), folder).count()
+    return folder
+
+
+def _image_id(path: str):
+    return F.regexp_extract(path, r"(\d+)\.png$", 1).cast("long").alias("image_id")
+
+
+@query("s02_decoded_images", sql("select image_id, y, x, v as b, 255 - v as g, (v * 7 % 256)::INT as r from grey where image_id % 5 <> 0 and image_id % 7 <> 0", "grey"))
+def _(spark, sf):
+    """A folder of image files, decoded by Spark's image source; broken files are left out."""
+    folder = _image_folder(spark, sf, lambda v: v, lambda v: 255 - v, lambda v: v * 7 % 256)
+    pixel = S.decoded(spark, folder).select(_image_id("path"), "width", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("at"), "data")
+    sample = lambda c: F.conv(F.hex(F.expr(f"substring(data, at * 3 + {c + 1}, 1)")), 16, 10).cast("int")
+    return pixel.select(
+        "image_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).alias("x"),
+        sample(0).alias("b"), sample(1).alias("g"), sample(2).alias("r"),
+    )
+
+
+@query("s02_dropped_files", "select count(*) as files, count(*) filter (where vec_id % 5 <> 0 and vec_id % 7 <> 0) as decoded from embeddings")
+def _(spark, sf):
+    folder = _image_folder(spark, sf, *[lambda v: v] * 3)
+    read = S.decoded(spark, folder).select("path").withColumn("ok", F.lit(1))
+    return S.scan(spark, folder).select("path").withColumn("ok", F.lit(None).cast("int")).union(read).agg(
+        F.count_if(F.col("ok").isNull()).alias("files"), F.count("ok").alias("decoded")
+    )
+
+
+@query("g16_folder_selection", sql("", "sound").rstrip().replace("from embeddings", "from embeddings where vec_id % 5 <> 0 and vec_id % 7 <> 0") + ",\n" + _lloyd_sql("sound", 4, 10, "a")
+       + ",\nfirst as (select image_id, n_yellow from ac where cluster = 0),\n" + _lloyd_sql("first", 2, 10, "b")
+       + "\nselect image_id, n_yellow from bc where cluster = 0")
+def _(spark, sf):
+    """From a folder of files to the images chosen by their flower pixels. The files are grey, so their grey histogram
+    takes the place of the colour one too."""
+    # the grey values are scaled by the extremes of all images that can be read
+    sound = table(spark, sf, "embeddings").where("vec_id % 5 <> 0 and vec_id % 7 <> 0")
+    folder = new_folder(spark)
+    sound.write.parquet(f"{folder}/embeddings.parquet")
+    images = S.decoded(spark, _image_folder(spark, folder, *[lambda v: v] * 3))
+    hists = stored(I.image_histograms(images, CORNERS)).select("path", "hist_g", F.col("hist_g").alias("hist_b"))
+    return jobs.selected_images(hists, "path").select(_image_id("path"), "n_yellow")
+
+
 @query("g05_blobs")
 def _(spark, sf):
     return I.blobs_of_planes(planes(spark, sf)).select("image_id", F.inline("blobs"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.catalog.registry import epoch_micros, event_log, query, sql, table
+from furrow.catalog.registry import APP_PREFIXES, epoch_micros, event_log, query, sql, table
 from furrow.functions import text as X
+from furrow.operators import telemetry as T
 from furrow.session import new_folder, stored
 from furrow.sources import files as S
 from furrow.sources import logs as L
@@ -77,26 +78,39 @@ def _(spark, sf):
 ENDINGS = [".jpg", ".tiff", ".tif", ".png", ".JPG", ".PNG", ".jpeg", ".Jpg", ".txt"]
 
 
-def _tree(spark, sf):
-    """Pages as files of a folder tree; every fifth one is empty."""
+def _tree(spark, sf) -> str:
+    """Pages as files of a folder tree, every fifth one empty; returns the root."""
+    root = new_folder(spark)
     ending = F.get(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("page_id") % 9).cast("int"))
-    path = F.concat(F.lit("/data/day-"), (F.col("page_id") % 7).cast("string"), F.lit("/cam/img"), F.col("page_id").cast("string"), ending)
-    length = F.when(F.col("page_id") % 5 == 0, 0).otherwise(F.length("html")).cast("long")
-    return table(spark, sf, "pages").select(path.alias("path"), length.alias("length"))
+    path = F.concat(F.lit("/day-"), (F.col("page_id") % 7).cast("string"), F.lit("/cam/img"), F.col("page_id").cast("string"), ending)
+    content = F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.col("html")).cast("binary")
+    S.write_files(table(spark, sf, "pages").select(path.alias("path"), content.alias("content")), root, tree=True).count()
+    return root
 
 
-@query("s04_collected_catalog", f"""select path, 'data_day-' || d || '_cam' || name as name, length from (select page_id % 7 as d,
-    'img' || page_id || (({ENDINGS})[page_id % 9 + 1]) as name, '/data/day-' || (page_id % 7) || '/cam/img' || page_id || (({ENDINGS})[page_id % 9 + 1]) as path,
-    case when page_id % 5 = 0 then 0 else length(html) end::BIGINT as length from pages where page_id % 9 < 6) where length > 0""")
+@query("s04_collected_catalog", f"""select 'day-' || d || '_cam' || name as name, length, 'day-' || d as day from (select page_id % 7 as d,
+    'img' || page_id || (({ENDINGS})[page_id % 9 + 1]) as name,
+    case when page_id % 5 = 0 then 0 else strlen(html) end::BIGINT as length from pages where page_id % 9 < 6) where length > 0""")
 def _(spark, sf):
-    return S.catalog_of(_tree(spark, sf))
+    """A tree of files, walked."""
+    found = S.collect_catalog(spark, _tree(spark, sf))
+    return found.select("name", "length", F.element_at(F.split("path", "/"), -3).alias("day"))
 
 
-@query("s06_datasets", """select '1108-0' || (l_linenumber % 5) as dataset, count(*) as files from lineitem where l_linenumber % 5 <> 3 group by 1""")
+@query("s06_datasets", """select 'day-' || (page_id % 7) as dataset, count(*) as files, sum(strlen(html))::BIGINT as bytes
+    from pages where page_id % 7 <> 3 and page_id % 5 <> 0 group by 1""")
 def _(spark, sf):
-    folder = F.concat(F.lit("/in/1108-0"), (F.col("l_linenumber") % 5).cast("string"), F.lit("/img"), F.col("l_orderkey").cast("string"), F.lit(".jpg"))
-    rows = S.datasets(table(spark, sf, "lineitem").select(folder.alias("path")), "1108-0", ["1108-03"])
-    return rows.groupBy("dataset").agg(F.count("*").alias("files"))
+    """Several day folders in one read, one of them left out; empty files hold nothing to read."""
+    rows = S.read_datasets(spark, _tree(spark, sf), "day-", ["day-3"])
+    return rows.groupBy("dataset").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("s07_packed_files", """select 'page' || page_id || '.png' as png_name, length(html)::INT as chars from pages""")
+def _(spark, sf):
+    """Many files packed into few, and unpacked."""
+    target = new_folder(spark)
+    S.pack(S.scan(spark, _page_files(spark, sf)), target)
+    return S.unpack(spark, target).select("png_name", F.length(F.col("content").cast("string")).alias("chars"))
 
 
 @query("s07_unpacked_bundle", """select url as name, regexp_replace(split_part(url, '/', -1), '\\.[^.]*$', '') || '.png' as png_name,
@@ -118,6 +132,33 @@ def _(spark, sf):
     return L.event_lines(log.select("app", "event_id", cut.alias("value"))).select("app", "event", "ts_ms", "event_id")
 
 
+@query("s09_event_folder", sql("select app, event, ts_ms, row_number() over (partition by app order by ts_ms, event_id) - 1 as line, 3::BIGINT as reads from ev", "ev"))
+def _(spark, sf):
+    """Log files of all apps, read with splits of three sizes: every line has the same number each time."""
+    folder, name = new_folder(spark), "spark.sql.files.maxPartitionBytes"
+    L.write_event_logs(event_log(spark, sf), folder).count()
+    size, reads = spark.conf.get(name), None
+    try:
+        for split in ("4k", "9k", size):
+            spark.conf.set(name, split)
+            read = stored(L.event_log(spark, folder))
+            reads = read if reads is None else reads.union(read)
+    finally:
+        spark.conf.set(name, size)
+    return reads.groupBy("app", "event", "ts_ms", F.col("event_id").alias("line")).agg(F.count("*").alias("reads"))
+
+
+@query("k09_timing_records", sql("select app as job, waiting as read_s, execution as process_s, waiting + execution as total_s from jobsecs", "jobsecs"))
+def _(spark, sf):
+    """Timing rows of every job, added kind by kind and read back."""
+    folder, times = new_folder(spark), T.job_times(event_log(spark, sf))
+    record = times.select(F.col("app").alias("job"), F.col("waiting").alias("read_s"), F.col("execution").alias("process_s"))
+    record = record.withColumn("total_s", F.col("read_s") + F.col("process_s"))
+    for prefix in APP_PREFIXES:
+        K.append_timing(record.where(F.col("job").startswith(prefix)), folder)
+    return K.timings(spark, folder)
+
+
 KINDS = {"signup": "cpu_idle", "view": "mem_free", "click": "cpu_user", "purchase": "bytes_in", "error": "load_one"}
 
 

@@ -600,30 +600,29 @@ def longest_stages(stages: DataFrame) -> DataFrame:
 
 def flat_json(rows: DataFrame, key: str, document: str) -> DataFrame:
     """Leaves of a JSON document as (path, value) rows; the path joins the object keys and array positions with
-    underscores. Null leaves keep their row, with a NULL value. Documents are opened level by level, as deep as the
-    deepest goes; a document that is no JSON has no leaves.
+    underscores. Null leaves keep their row, with a NULL value. A document that is no JSON has no leaves.
+
+    Documents are opened level by level, as deep as the deepest goes. What a level gives is written once: leaves as
+    text, and inner nodes, which alone are opened next. So each level is computed once, from the one before.
     """
-    level = rows.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(F.col(document)).alias("node"))
+    spark = rows.sparkSession
+    level = rows.select(F.col(key).alias("_key"), F.lit("").alias("_path"), F.try_parse_json(F.col(document)).alias("_node"))
     leaves = None
     while True:
-        shape = F.schema_of_variant("node")
-        opened = level.withColumn("shape", F.when(shape.startswith("OBJECT<"), "object").when(shape.startswith("ARRAY<"), "array").otherwise("leaf"))
-        here = opened.where("shape = 'leaf' and path <> ''").select(key, "path", F.col("node").cast("string").alias("value"))
-        leaves = here if leaves is None else leaves.unionByName(here)
-        inner = opened.where("shape <> 'leaf'")
-        if inner.isEmpty():
+        # columns of a member: pos, key (NULL in an array) and value
+        members = level.lateralJoin(spark.tvf.variant_explode(F.col("_node").outer()))
+        prefix = F.when(F.col("_path") == "", "").otherwise(F.concat("_path", F.lit("_")))
+        kind = F.schema_of_variant("value")
+        inner = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
+        opened = materialize(members.select(
+            "_key", F.concat(prefix, F.coalesce("key", F.col("pos").cast("string"))).alias("_path"),
+            inner.alias("_inner"), F.when(~inner, F.col("value").cast("string")).alias("_value"), F.when(inner, F.col("value")).alias("_node"),
+        ))
+        here = opened.where("not _inner").select(F.col("_key").alias(key), F.col("_path").alias("path"), F.col("_value").alias("value"))
+        leaves = here if leaves is None else leaves.unionAll(here)
+        level = opened.where("_inner").select("_key", "_path", "_node")
+        if level.isEmpty():
             return leaves
-        prefix = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("_")))
-        members = F.when(
-            F.col("shape") == "object",
-            F.map_entries(F.try_variant_get("node", "$", "map<string,variant>")),
-        )
-        items = F.when(
-            F.col("shape") == "array",
-            F.transform(F.try_variant_get("node", "$", "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value"))),
-        )
-        child = inner.select(key, prefix.alias("_prefix"), F.explode(F.coalesce(members, items)).alias("m"))
-        level = child.select(key, F.concat("_prefix", "m.key").alias("path"), F.col("m.value").alias("node"))
 
 
 # ---- result comparison ------------------------------------------------------------

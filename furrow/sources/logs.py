@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.text import metric_seconds
 from furrow.schemas import EVENT_LINE, NODE_METRICS, STAGES, TASKS
+from furrow.session import broadcast_if_small, stored
+from furrow.sources.output import Output, qualified
 
 # Lines of run and experiment logs.
 PROC_TIME = r"Image proc\. time: ([0-9.]+)"
@@ -35,13 +38,57 @@ def event_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file, line, value``: every line of the files with its number in its file, from 0.
+
+    The number does not depend on how files are cut into splits and splits into tasks. Lines are read once and written
+    with the split that they came from and their place among the rows of their task; splits then follow one another by
+    their first byte, and what moves between tasks is one row for each split.
+    """
+    split = ["file", "_start"]
+    rows = stored(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), "value",
+    ))
+    # a split is read by one task without a break, so its rows have consecutive ids
+    splits = rows.groupBy(*split).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = rows.join(broadcast_if_small(stored(starts)), split)
+    return joined.select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
+
+
 def event_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Logs of a folder; the app is the file name, and files with an extension are skipped."""
-    lines = spark.read.text(path).select(
-        "value", F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("app"),
-        (F.col("_metadata.file_block_start") * 0 + F.monotonically_increasing_id()).alias("event_id"),
-    )
-    return event_lines(lines.where(~F.col("app").contains(".")))
+    """Logs of a folder; the app is the file name, and files with an extension are skipped. ``event_id`` is the number
+    of the line, so events of one time stay in the order of the file."""
+    lines = numbered_lines(spark, path).withColumn("app", F.substring_index("file", "/", -1))
+    return event_lines(lines.where(~F.col("app").contains(".")).select("value", "app", F.col("line").alias("event_id")))
+
+
+def write_event_logs(events: DataFrame, folder: str) -> DataFrame:
+    """One log file for each app, a JSON text a line, in order of time and id; returns ``app, lines`` when run. A task
+    writes its apps one after another and holds a batch of lines at a time."""
+    target = qualified(events.sparkSession, folder)
+
+    def run(batches):
+        app, file, lines = None, None, 0
+        for pdf in batches:
+            for name, value in zip(pdf["app"], pdf["value"], strict=True):
+                if name != app:
+                    if file is not None:
+                        file.commit()
+                        yield pd.DataFrame({"app": [app], "lines": [lines]})
+                    app, file, lines = name, Output(f"{target}/{name}"), 0
+                file.file.write(value.encode() + b"\n")
+                lines += 1
+        if file is not None:
+            file.commit()
+            yield pd.DataFrame({"app": [app], "lines": [lines]})
+
+    text = F.to_json(F.struct(F.col("event").alias("Event"), F.col("ts_ms").alias("Timestamp"), F.col("app").alias("App Name")))
+    rows = events.where(F.col("app").isNotNull()).select("app", "ts_ms", "event_id", text.alias("value"))
+    ordered = rows.repartition("app").sortWithinPartitions("app", "ts_ms", "event_id")
+    return ordered.select("app", "value").mapInPandas(run, "app STRING, lines BIGINT")
 
 
 def long_metrics(wide: DataFrame, time: str = "Timestamp") -> DataFrame:

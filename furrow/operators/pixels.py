@@ -213,8 +213,8 @@ def local_maxima(pixels: DataFrame, value: str = "v") -> DataFrame:
 def warp(pixels: DataFrame, homographies: DataFrame, width: int, height: int) -> DataFrame:
     """Warp every image by its homography onto a canvas of the same size, bilinear, zero
     outside. Output pixels look up their four source neighbours by an equi join."""
-    inverse = homographies.select("image_id", _inverse(F.col("h")).alias("_h"))
-    placed = pixels.select("image_id", "y", "x").join(inverse, "image_id")
+    back = homographies.select("image_id", inverse(F.col("h")).alias("_h"))
+    placed = pixels.select("image_id", "y", "x").join(back, "image_id")
     h = F.col("_h")
     w = h[6] * F.col("x") + h[7] * F.col("y") + h[8]
     placed = placed.withColumns(
@@ -239,7 +239,7 @@ def warp(pixels: DataFrame, homographies: DataFrame, width: int, height: int) ->
     return pixels.select("image_id", "y", "x").join(mixed, ["image_id", "y", "x"], "left").fillna({"v": 0.0})
 
 
-def _inverse(h: Column) -> Column:
+def inverse(h: Column) -> Column:
     """Adjugate of a 3 x 3 array; the scale cancels in the projection."""
     a, b, c, d, e, f, g, i, k = (h[n] for n in range(9))
     return F.array(

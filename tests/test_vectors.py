@@ -129,10 +129,22 @@ def test_known_transforms_are_recovered_among_outliers(spark, share):
 def test_no_transform_is_no_transform(spark):
     """Matches that agree on nothing have none, instead of an arbitrary one."""
     rows = matched(spark, n=300, outliers=1.0)[0]
-    got = G.fit_homographies(spark.createDataFrame(rows, MATCHES), shares=(0.5, 0.3)).first()
+    got = G.fit_homographies(spark.createDataFrame(rows, MATCHES), least_share=0.3).first()
     assert got["h"] is None
 
 
+def test_noise_ends_early_and_all_matches_vote(spark):
+    """Quadruples follow the best vote so far; few candidates of a group meet its matches, whatever it holds."""
+    rows = [r for k, share in enumerate((0.0, 0.2, 0.5, 0.9)) for r in matched(spark, n=3000, outliers=1 - share, group=f"g{k}", seed=k)[0]]
+    usable = G._blocks(spark.createDataFrame(rows, MATCHES))
+    found = G.candidates(usable, G.REPROJECTION, 0.15, G.CONFIDENCE, 1)
+    drawn = {r["group_key"]: r["drawn"] for r in found.collect()}
+    assert drawn["g3"] <= drawn["g2"] == G.DRAWN <= drawn["g1"] <= 2 * G.draws(0.2) and drawn["g0"] <= 4 * drawn["g1"]
+    assert found.agg(F.max(F.size("tries"))).first()[0] <= 9 * G.FINAL
+    votes = {r["group_key"]: r for r in G.best_votes(usable, found, G.REPROJECTION).collect()}
+    assert {r["n_matches"] for r in votes.values()} == {3000} and votes["g3"]["hits"] > 2600 and votes["g1"]["hits"] > 550
+
+
 def test_all_members_stay(spark):
     rows = [("a", b % 7 + 1, f"n{b:05d}", float(b)) for b in range(5000)] + [("b", 1, "n", 1.0), ("b", 1, "n", 1.0)]
     df = spark.createDataFrame(rows, "group_key STRING, band INT, name STRING, v DOUBLE")

@@ -528,7 +528,7 @@ def _band_files(spark, sf) -> DataFrame:
     )
 
 
-@query("g10_registration_products", sql("""select 'IMG_' || g || '_' || b as name, y, x, v::INT as value from moved union all
+PRODUCTS_SQL = sql("""select 'IMG_' || g || '_' || b as name, y, x, v::INT as value from moved union all
     select 'IMG_' || g || '_NDVI', y, x, coalesce(greatest(round_even((n.v * 257 / 65535.0::DOUBLE - r.v * 257 / 65535.0::DOUBLE) / nullif(n.v * 257 / 65535.0::DOUBLE + r.v * 257 / 65535.0::DOUBLE, 0) * 255, 0), 0), 0)::INT
       from moved r join moved n using (g, y, x) where r.b = 3 and n.b = 4 union all
     select 'IMG_' || g || '_RGB_CROPPED', y - 1, (x - 1) * 3 + 3 - b, v::INT from moved where b <= 3 and x between 1 and 6 and y between 1 and 6 union all
@@ -537,7 +537,10 @@ def _band_files(spark, sf) -> DataFrame:
 bnd as (select (image_id // 5)::VARCHAR as g, (image_id % 5 + 1)::INT as b, y, x, v from grey),
 moved as (select o.g, o.b, o.y, o.x, coalesce(s.v, 0) as v from bnd o left join bnd s on s.g = o.g and s.b = o.b
     and s.x = o.x - (o.b = 2)::INT and s.y = o.y + (o.b = 5)::INT)
-select 'IMG_'""", 1))
+select 'IMG_'""", 1)
+
+
+@query("g10_registration_products", PRODUCTS_SQL)
 def _(spark, sf):
     """Band 2 moves one pixel to the right and band 5 one up, so one pixel is cropped all round. Tiles of 5 x 5 pixels, so
     that every image has several."""
@@ -548,3 +551,17 @@ def _(spark, sf):
     homographies = files.select("group_key", "band", h.alias("h"))
     tiles = stored(R.tiles_of_files(files, 5))
     return R.samples_of(R.product_tiles(tiles, homographies, B.crop_box(homographies, WIDTH, HEIGHT), 5))
+
+
+@query("g19_registered_products", PRODUCTS_SQL)
+def _(spark, sf):
+    """The same products from descriptors: the vectors of a hundred are the keypoints of the images of the same hundred,
+    in every band at the places that its shift gives."""
+    files = stored(_band_files(spark, sf))
+    k, b = F.col("kp"), F.col("band")
+    vectors = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("_of"), F.col("vec_id").alias("kp"), F.col("embedding").alias("desc"))
+    seen = files.select("group_key", "band", F.floor(F.col("group_key").cast("long") / 20).alias("_of")).join(vectors, "_of")
+    keypoints = seen.select(
+        "group_key", "band", "kp", "desc", (k * 37 % 101 - (b == 2).cast("int")).cast("double").alias("x"), (k * 53 % 97 + (b == 5).cast("int")).cast("double").alias("y")
+    )
+    return R.samples_of(jobs.register_tiles(files, stored(keypoints), WIDTH, HEIGHT, tile=5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.catalog.registry import (
-    CPU_METRICS, MEMORY_METRICS, event_log, metrics, query, sql, table,
+    CPU_METRICS, MEMORY_METRICS, epoch_micros, event_log, metrics, query, sql, table,
 )
 from furrow.functions.text import metric_seconds, wall_clock
 from furrow.operators import telemetry as T
@@ -260,16 +260,13 @@ def _(spark, sf):
     return used.select("ts", F.round("mem_free", 8).alias("mem_free"), F.round("mem_used", 8).alias("mem_used"))
 
 
-@query("a17_map_means", """select floor(epoch_us(ts) / 3600000000)::BIGINT as hour, 'k' as name,
+@query("a17_map_means", """select floor(epoch_us(ts) / 1000000)::BIGINT as ts, 'k' as name,
     round(avg((props->>'k')::DOUBLE), 6) as value, count(*) as n from events group by 1""")
 def _(spark, sf):
-    rows = metrics_maps(spark, sf)
-    return T.map_means(rows, "hour", "props").withColumn("value", F.round("value", 6))
-
-
-def metrics_maps(spark, sf):
-    e = table(spark, sf, "events").withColumn("us", F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())))
-    return e.select(F.floor(F.col("us") / F.lit(3600000000)).cast("long").alias("hour"), F.from_json("props", "map<string,double>").alias("props"))
+    """Mean of every key of the maps at every timestamp."""
+    e = table(spark, sf, "events")
+    rows = e.select(F.floor(epoch_micros(F.col("ts")) / F.lit(1000000)).cast("long").alias("ts"), F.from_json("props", "map<string,double>").alias("props"))
+    return T.map_means(rows, "ts", "props").withColumn("value", F.round("value", 6))
 
 
 @query("x19_flat_json", """select event_id, 'k' as path, props->>'k' as value from events union all

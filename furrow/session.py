@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import uuid
 import zipfile
@@ -47,6 +48,7 @@ def ship_package(spark: SparkSession) -> None:
     # the driver's own file server hands this file out; executors fetch it from there
     with NamedTemporaryFile(prefix="furrow-", suffix=".zip", delete=False) as out:
         out.write(packed.getvalue())
+    atexit.register(Path(out.name).unlink, missing_ok=True)
     sc.addPyFile(out.name)
     sc._furrow_shipped = True
 
@@ -84,13 +86,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
-# Rows a side may have to be sent to every executor on purpose.
-BROADCAST_ROWS = 100_000
+# Bytes of a side that may be sent to every executor on purpose, and those of a row of a few numbers or a short name.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 80
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written-out table for broadcast when it has at most ``rows`` rows; a larger
-    one stays as it is and joins by shuffle."""
+def broadcast_if_small(df: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Marks a written-out table for broadcast when rows of about ``row_bytes`` bytes add up to at most
+    ``BROADCAST_BYTES``; a larger one stays as it is and joins by shuffle."""
+    rows = BROADCAST_BYTES // row_bytes
     small = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if small else df
 

@@ -54,7 +54,7 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     splits = rows.groupBy(*split).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = rows.join(broadcast_if_small(stored(starts)), split)
+    joined = rows.join(broadcast_if_small(stored(starts), 400), split)
     return joined.select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
 
 

@@ -26,3 +26,12 @@ def test_python_functions_run_from_another_folder(tmp_path):
         [sys.executable, "-c", SCRIPT, str(entry), str(tmp_path / "warehouse")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200
     )
     assert run.stdout.strip().endswith("done"), run.stderr[-2000:]
+
+
+def test_broadcast_goes_by_bytes(spark):
+    """Wide rows are too many sooner than narrow ones."""
+    from furrow.session import BROADCAST_BYTES, broadcast_if_small
+
+    df = spark.range(BROADCAST_BYTES // 2000)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(broadcast_if_small(df, 1000)) and "broadcast" not in plan(broadcast_if_small(df, 4000))

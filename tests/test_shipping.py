@@ -33,5 +33,5 @@ def test_broadcast_goes_by_bytes(spark):
     from furrow.session import BROADCAST_BYTES, broadcast_if_small
 
     df = spark.range(BROADCAST_BYTES // 2000)
-    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(broadcast_if_small(df, 1000)) and "broadcast" not in plan(broadcast_if_small(df, 4000))

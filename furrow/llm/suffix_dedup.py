@@ -41,9 +41,10 @@ GRAM = 32
 MANY, MARK = 64, 128
 PACKED = "bucket int, kind int, payload binary"
 DEALT = "dest int, kind int, payload binary"
+CUT = ("blocks", "windows", "spans")
 
 # kinds of packed records
-BLOCK, SPAN, REQUEST, WINDOW = 0, 1, 2, 3
+BLOCK, SPAN, REQUEST = 0, 1, 2
 BLOCK_TYPES = ["<u8", "<u8", "<i8", "<i4", "<i4", "u1", "u1"]  # gram, block, id, th, start, windows, place of the gram
 SPAN_TYPES = ["<i8", "<i4", "<i4", "<i4"]  # id, th, start, stop
 WINDOW_TYPES = ["<u8", "<u8", "<i8", "<i4", "<i4"]  # two hashes, id, th, start
@@ -131,6 +132,10 @@ def spans(ids, th, start, windows, depth: int, where, key: str = "bucket") -> pa
 
 
 def packed_spans(ids, th, start, stop, where, key: str) -> pa.RecordBatch:
+    return C.rows(SPAN, pack_spans(ids, th, start, stop, where), key)
+
+
+def pack_spans(ids, th, start, stop, where):
     order = np.lexsort((th, ids))
     ids, th = ids[order], th[order]
     doc = np.cumsum(C.starts(ids, th)) - 1
@@ -139,8 +144,22 @@ def packed_spans(ids, th, start, stop, where, key: str) -> pa.RecordBatch:
     ids, th = ids[first][doc], th[first][doc]
     bucket = where(ids)
     order = np.argsort(bucket, kind="stable")
-    columns = [ids, th, start.astype("<i4"), stop.astype("<i4")]
-    return C.rows(SPAN, C.pack(order, bucket, columns), key)
+    return C.pack(order, bucket, [ids, th, start.astype("<i4"), stop.astype("<i4")])
+
+
+def side_by_side(blocks, windows, spans) -> pa.Table:
+    """One row for each bucket with what the three kinds of records hold for it: a slice of documents sends each bucket
+    one row, whatever it has."""
+    kinds = [dict(blocks), dict(windows), dict(spans)]
+    buckets = sorted(set().union(*kinds))
+    return pa.table({
+        "bucket": pa.array(buckets, pa.int32()),
+        **{name: pa.array([kind.get(b) for b in buckets], pa.binary()) for name, kind in zip(CUT, kinds, strict=True)},
+    })
+
+
+def held(group: pa.Table, name: str) -> list[bytes]:
+    return [payload for payload in group.column(name).to_pylist() if payload is not None]
 
 
 def settle_blocks(depth: int, n: int):
@@ -184,13 +203,13 @@ class Windows:
         both = [hashed.runs(hashed.prefix(data), begin, begin + self.depth) for hashed in hashes()]
         self.parts.append([*both, np.repeat(ids, windows), np.repeat(th, windows), begin.astype("<i4")])
 
-    def settled(self, n: int) -> tuple[list[np.ndarray], pa.RecordBatch]:
+    def settled(self, n: int):
         """What earlier windows of the slice cover, and the first of each window, packed."""
         found = [np.concatenate(c) for c in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, t) for t in WINDOW_TYPES]
         one, later = first_windows(found)
         bucket = (found[0] % np.uint64(n)).astype(np.int64)
         one = one[np.argsort(bucket[one], kind="stable")]
-        return covered_by(found, later, self.depth), C.rows(WINDOW, C.pack(one, bucket, found))
+        return covered_by(found, later, self.depth), C.pack(one, bucket, found)
 
 
 def first_windows(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +266,7 @@ def cut_blocks(depth: int, n: int):
         covered = C.unpack(C.payloads(asked, SPAN), SPAN_TYPES)
         more, sent = whole.settled(n)
         covered = [np.concatenate(x) for x in zip(covered, more, strict=True)]
-        return pa.Table.from_batches([
-            C.rows(BLOCK, C.pack(order, bucket, [keys, *columns, raw])), sent,
-            packed_spans(*covered, lambda key: np.mod(key, n), "bucket"),
-        ])
+        return side_by_side(C.pack(order, bucket, [keys, *columns, raw]), sent, pack_spans(*covered, lambda key: np.mod(key, n)))
 
     return run
 
@@ -280,7 +296,7 @@ def sort_suffixes(depth: int, n: int):
 
     def run(group: pa.Table) -> pa.Table:
         types = ["<u8", *REQUEST_TYPES, ("u1", width)]
-        keys, ids, th, start, windows, place, raw = C.unpack(C.payloads(group, BLOCK), types)
+        keys, ids, th, start, windows, place, raw = C.unpack(held(group, "blocks"), types)
         row = np.repeat(np.arange(len(keys)), windows)
         begin = np.arange(len(row)) - np.repeat(np.cumsum(windows.astype(np.int64)) - windows, windows)
         # equal windows have the gram at the same place
@@ -295,9 +311,9 @@ def sort_suffixes(depth: int, n: int):
         first = np.flatnonzero(C.starts(klass))[klass_number(klass)] if len(klass) else klass
         later = (ids[r] != ids[r[first]]) | (th[r] != th[r[first]]) | (s != s[first])
         r, s = r[later], s[later]
-        covered = C.unpack(C.payloads(group, SPAN), SPAN_TYPES)
+        covered = C.unpack(held(group, "spans"), SPAN_TYPES)
         found = [ids[r], th[r], s.astype("<i4"), s.astype(np.int64) + depth]
-        single = C.unpack(C.payloads(group, WINDOW), WINDOW_TYPES)
+        single = C.unpack(held(group, "windows"), WINDOW_TYPES)
         more = covered_by(single, first_windows(single)[1], depth)
         spans_ = [np.concatenate(x) for x in zip(covered, found, more, strict=True)]
         return pa.Table.from_batches([packed_spans(*spans_, lambda key: C.dest(key, n), "dest")])
@@ -357,7 +373,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     settled = found.groupBy("bucket").applyInArrow(settle_blocks(depth, n), DEALT)
     # the two passes over the texts share one exchange
     by_dest = texts.groupBy("dest")
-    cut = by_dest.cogroup(settled.groupBy("dest")).applyInArrow(cut_blocks(depth, n), PACKED)
+    cut = by_dest.cogroup(settled.groupBy("dest")).applyInArrow(cut_blocks(depth, n), "bucket int, " + ", ".join(f"{c} binary" for c in CUT))
     ordered = cut.groupBy("bucket").applyInArrow(sort_suffixes(depth, n), DEALT)
     return by_dest.cogroup(ordered.groupBy("dest")).applyInArrow(
         cut_texts, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary"

@@ -94,12 +94,13 @@ def test_a_common_passage_is_in_no_large_group():
         found = pa.Table.from_batches(list(S.find_blocks(100, 1)(iter(table.to_batches()))))
         settled = S.settle_blocks(100, 1)(found)
         cut = S.cut_blocks(100, 1)(table, settled)
-        keys = C.unpack(C.payloads(cut, S.BLOCK), ["<u8", *S.REQUEST_TYPES, ("u1", 168)])[0]
-        windows = C.unpack(C.payloads(cut, S.WINDOW), S.WINDOW_TYPES)
+        keys = C.unpack(S.held(cut, "blocks"), ["<u8", *S.REQUEST_TYPES, ("u1", 168)])[0]
+        windows = C.unpack(S.held(cut, "windows"), S.WINDOW_TYPES)
         most[docs] = max([*collections.Counter(keys.tolist()).values(), *collections.Counter(windows[0].tolist()).values()])
         gone = C.unpack(C.payloads(S.sort_suffixes(100, 1)(cut), S.SPAN), S.SPAN_TYPES)
         # a byte beside the passage may agree by chance
         assert sorted(gone[0].tolist()) == list(range(1, docs)) and min(gone[2]) >= 96 and max(gone[2]) == 100 and min(gone[3]) == 220 and max(gone[3]) <= 224
+        assert cut.num_rows == 1  # one row for each bucket
     assert max(most.values()) <= S.MANY
 
 

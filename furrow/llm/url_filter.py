@@ -2,8 +2,9 @@
 
 Each rule is a regular expression with the literal tokens that every URL it fits must contain. How many URLs hold
 each of these tokens is counted over the whole table, and a rule is filed under its rarest one. A URL's own tokens
-then fetch the candidate rules, and only those run their expressions. All of it is column expressions: the index is
-a constant of the plan, so that judging a URL moves no rows.
+then fetch the candidate rules, and only those run their expressions. All of it is column expressions and joins. A
+short index is a constant of the plan, so that judging a URL moves no rows; a longer one is a table that the URLs'
+tokens are joined with, since a map in a plan is searched entry by entry.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm import common as C
+from furrow.session import BROADCAST_BYTES, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# The rules are part of the plan that goes to each task.
-MOST_RULES = 10_000
+# Up to so many rules are part of the plan that goes to each task; more are a table.
+IN_PLAN = 64
+# Parts that the URLs of one token are dealt to where that table is too large to go to each task.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -80,21 +84,26 @@ def rarest(pages: DataFrame, rules: Sequence[Rule], place: Column) -> dict[Rule,
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``id, host, path, rule, verdict`` for each row: the longest rule that fits and its verdict, else null and
-    ``default``; of rules of one length the first by alphabet counts.
+    """``page_id, host, path, rule, verdict`` for each row: the longest rule that fits and its verdict, else null and
+    ``default``; of rules of one length the first by alphabet counts, and of rules with one name the last given.
 
     A null URL, or one without ``://``, has an empty host and path and fits no rule with a host. Repeated rows are
-    judged each. Other columns are not read. At most ``MOST_RULES`` rules.
+    judged each, those without an id too. An empty table gives no rows, and without rules each row gets the default.
+    Other columns are not read. Any number of rules will do.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    place = F.concat("host", "path")
     if not rules:
         return judged.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    filed: dict[str | None, list[Column]] = {}
     ordered = sorted(rules, key=lambda r: (len(r.name), [-ord(c) for c in r.name]))
+    best = judged_in_plan(judged, ordered) if len(ordered) <= IN_PLAN else judged_by_join(judged, ordered)
+    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def judged_in_plan(judged: DataFrame, ordered: Sequence[Rule]) -> DataFrame:
+    """``judged`` with the last rule of ``ordered`` that fits, as a struct ``best``; the index is a constant map."""
+    place = F.concat("host", "path")
+    filed: dict[str | None, list[Column]] = {}
     token = rarest(judged, ordered, place)
     for order, rule in enumerate(ordered):
         entry = F.struct(
@@ -109,10 +118,38 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
         fetched = F.transform(_tokens(place), lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast(kind)))
         candidates = F.concat(always, F.flatten(fetched))
     fitting = F.filter(candidates, lambda r: F.rlike(place, r["pattern"]))
-    best = F.array_max(fitting)
-    return judged.withColumn("best", best).select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    return judged.withColumn("best", F.array_max(fitting))
+
+
+def rule_index(held: DataFrame, ordered: Sequence[Rule]) -> DataFrame:
+    """``token, order, rule, verdict, pattern``: each rule under the one of its tokens that the fewest URLs hold, ties
+    to the first by alphabet; a rule without tokens is filed under the empty one, which every URL holds."""
+    spark = held.sparkSession
+    rows = [(k, r.name, r.verdict, r.pattern, r.tokens or [""]) for k, r in enumerate(ordered)]
+    rules = spark.createDataFrame(rows, "order int, rule string, verdict string, pattern string, tokens array<string>")
+    asked = rules.select("order", F.explode("tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("urls"))
+    found = asked.join(counts, "token", "left").groupBy("order").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("least"))
+    return rules.join(found, "order").select(F.col("least.token").alias("token"), "order", "rule", "verdict", "pattern")
+
+
+def judged_by_join(judged: DataFrame, ordered: Sequence[Rule]) -> DataFrame:
+    """The same by a join of tokens. Rows get numbers in a table written once, so that equal rows stay apart and no
+    host, URL or id becomes a group. An index of up to ``BROADCAST_BYTES`` goes to each task; for a larger one the
+    URLs of a token are dealt to ``SALTS`` parts, each of which meets a copy of the token's rules."""
+    rows = stored(judged.withColumn("row", F.monotonically_increasing_id()))
+    place = F.concat("host", "path")
+    held = rows.select("row", place.alias("place"), F.explode(F.array_union(_tokens(place), F.array(F.lit("")))).alias("token"))
+    index = stored(rule_index(held, ordered))
+    size = sum(len(f"{r.name}{r.verdict}{r.pattern}".encode()) + max((len(t) for t in r.tokens), default=0) + 100 for r in ordered)
+    if size <= BROADCAST_BYTES:
+        met = held.join(F.broadcast(index), "token")
+    else:
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = held.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
+    fitting = met.where(F.rlike("place", F.col("pattern")))
+    best = fitting.groupBy("row").agg(F.max(F.struct("order", "rule", "verdict")).alias("best"))
+    return rows.join(best, "row", "left")
 
 
 RULES = (

@@ -1,9 +1,11 @@
+import collections
 import zlib
 
 import numpy as np
 import pytest
 
 from furrow.llm import language_id as L
+from furrow.llm import url_filter as U
 from furrow.llm.mixing import OTHER, PART, TARGETS, capped_rake, lifted, margins, mix, rake, reachable, topic
 from furrow.llm.queries import ORACLES, QUERIES
 from furrow.llm.url_filter import RULES, Rule, filter_urls
@@ -35,6 +37,38 @@ def test_urls(spark, rules):
     assert got == {i: judge(u, rules) for i, u in enumerate(URLS * 2)}
 
 
+MANY = [
+    *RULES, Rule("block", "example.net", "/en/1"), Rule("block", "", "/a://b"), Rule("allow", "", "/"), Rule("block", "de", ""),
+    *(Rule("block" if k % 3 else "allow", f"h{k}.example{k % 50}.com", f"/p{k % 7}" if k % 2 else "") for k in range(300)),
+]
+
+
+@pytest.mark.parametrize(("in_plan", "bytes_sent"), [(1000, 8 << 20), (0, 8 << 20), (0, 0)])
+def test_urls_are_judged_alike_in_the_plan_and_by_join(spark, monkeypatch, in_plan, bytes_sent):
+    """Rules without tokens, equal rows, rows without an id, very long URLs, one URL in a third of all rows."""
+    monkeypatch.setattr(U, "IN_PLAN", in_plan)
+    monkeypatch.setattr(U, "BROADCAST_BYTES", bytes_sent)
+    long = "http://h7.example7.com/p0" + "/seg-ment" * 30_000
+    urls = [*URLS, long, long + "?q", *(f"http://x.h{k}.example{k % 50}.com/p{k % 5}/y" for k in range(0, 320, 7))]
+    urls += ["http://h3.example3.com/p3"] * len(urls)
+    rows = [(i if i % 5 else None, u, "x", 1) for i, u in enumerate(urls)] + [(1, urls[1], "x", 1)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, token string, row int").repartition(3)
+    got = collections.Counter(tuple(r) for r in filter_urls(df, MANY).collect())
+    assert got == collections.Counter((i, *judge(u, MANY)) for i, u, *_ in rows)
+    assert filter_urls(df.limit(0), MANY).count() == 0
+
+
+def test_urls_meet_twenty_thousand_rules(spark, monkeypatch):
+    rules = [Rule("block", f"site{k}.org", f"/dir{k % 11}/") for k in range(20_000)]
+    df = spark.createDataFrame([(k, f"http://www.site{k}.org/dir{k % 13}/x") for k in range(0, 25_000, 50)], "page_id long, url string")
+    found = filter_urls(df, rules)
+    assert {r.page_id: r.rule for r in found.collect()} == {
+        k: f"site{k}.org/dir{k % 11}/" if k < 20_000 and k % 11 == k % 13 else None for k in range(0, 25_000, 50)
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+
+
 def test_urls_run_no_python_and_move_no_rows(spark):
     plan = QUERIES["op4_url_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.llm import common as C
 from furrow.llm.bytehash import bytes_of, slices
@@ -26,8 +27,11 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
 EMBEDDED = 8
-# The sample that the network learns from: about so many rows of each language, one window of each.
+# The sample that the network learns from: about so many rows of each language, one window of each; no more rows in
+# all, and no more languages, than these.
 ROWS_PER_LANGUAGE = 1500
+MOST_ROWS = 60_000
+MOST_LANGUAGES = 1000
 STEPS, BATCH, RATE = 500, 64, 0.01
 UNKNOWN = "und"
 
@@ -122,22 +126,30 @@ def assembled(p: dict[str, np.ndarray], languages: list[str]) -> Network:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Network:
     """Trains on about ``rows`` rows of each language in ``docs``, chosen by a hash of their id; a language with fewer
     gives all it has. One window of each goes to the driver, at a place that the hash chooses. Rows without text or
-    language teach nothing; without any such row the network knows no language."""
+    language teach nothing; without any such row the network knows no language.
+
+    What reaches the driver is bounded whatever the table holds: the ``MOST_LANGUAGES`` languages with most rows (ties to
+    the first by alphabet), ``MOST_ROWS`` rows shared among them, and at most twice as many where rows repeat an id. Rows
+    without an id are chosen by a hash of their text.
+    """
     text = F.col(text_col).cast("string").cast("binary")
     known = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text) > 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    held = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in held.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(counts)
     if not languages:
         return Network([], [], np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    scale = 1_000_000
-    share = F.lit(0)
-    for name in languages:
-        share = F.when(F.col(lang_col) == name, min(scale, -(-rows * scale // counts[name]))).otherwise(share)
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
-    begin = F.lit(1) + F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("place")), F.greatest(F.lit(1), F.octet_length(text) - WINDOW + 1))
+    scale, rows = 1_000_000, max(1, min(rows, MOST_ROWS // len(languages)))
+    shares = F.create_map(*[F.lit(v) for name in languages for v in (name, min(scale, -(-rows * scale // counts[name])))])
+    row = F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    h = F.xxhash64(row, F.lit("sample"))
+    begin = F.lit(1) + F.pmod(F.xxhash64(row, F.lit("place")), F.greatest(F.lit(1), F.octet_length(text) - WINDOW + 1))
     sample = (
-        known.where(F.pmod(h, F.lit(scale)) < share)
-        .select(F.col(lang_col).alias("lang"), F.substring(text, begin.cast("int"), F.lit(WINDOW)).alias("bytes"))
+        known.where(F.pmod(h, F.lit(scale)) < F.try_element_at(shares, F.col(lang_col)))
+        .select(F.col(lang_col).alias("lang"), F.substring(text, begin.cast("int"), F.lit(WINDOW)).alias("bytes"), h.alias("h"))
+        .orderBy("h", "lang", "bytes")
+        .limit(2 * MOST_ROWS)
+        .drop("h")
         .collect()
     )
     sample.sort()
@@ -160,13 +172,13 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(whole, data[np.minimum(at, max(0, len(data) - 1))], 0) if len(doc) else np.zeros((0, WINDOW), np.uint8), doc
 
 
-def predict(network: Network, keep: list[str]):
-    """``keep`` columns, then the language and its score, for batches with a column ``_text``."""
+def predict(network: Network, keep: list[str], text: str):
+    """``keep`` columns, then the language and its score of the column ``text``."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
-                data, offsets = bytes_of(part.column("_text"))
+            for part in slices(batch, text, 1 << 20):
+                data, offsets = bytes_of(part.column(text))
                 rows, classes = part.num_rows, len(network.languages)
                 name, score = np.full(rows, UNKNOWN, object), np.zeros(rows)
                 if classes:
@@ -177,7 +189,7 @@ def predict(network: Network, keep: list[str]):
                         chosen = slice(first, first + 256)
                         np.add.at(total, doc[chosen], network.probabilities(windows[chosen]) * weight[chosen, None])
                     letters = np.bincount(doc, weights=weight, minlength=rows)
-                    some = pc.match_substring_regex(part.column("_text").fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
+                    some = pc.match_substring_regex(part.column(text).fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
                     some &= letters > 0
                     best = total.argmax(axis=1)
                     name[some] = np.array(network.languages, object)[best[some]]
@@ -190,18 +202,22 @@ def predict(network: Network, keep: list[str]):
     return run
 
 
-def identify(docs: DataFrame, network: Network, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of ``docs``, and the predicted language with its score, 0 to 1, in two more, which take the place
-    of columns so named. Texts that are null or hold no letter, and all texts if the network knows no language, are
-    ``und`` with score 0. Each row is predicted on its own; only the text is looked at."""
-    kept = [c for c in docs.columns if c not in (lang, score)]
+def identify(
+    docs: DataFrame, network: Network, text_col: str = "text", lang: str = "lang_pred", score: str = "score", keep: list[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``docs``, all of them by default, and the predicted language with its score, 0 to 1, in two
+    more, which take the place of columns so named. Texts that are null or hold no letter, and all texts if the network
+    knows no language, are ``und`` with score 0. Each row is predicted on its own; only the text is looked at."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (lang, score)]
     # neutral names on the way through Python, whatever the columns are called
     inner = [f"_{i}" for i in range(len(kept))]
-    text = F.col(f"`{text_col}`").cast("string").alias("_text")
-    sent = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], text)
+    sent = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    text = "_text"
+    if text_col in kept and docs.schema[text_col].dataType == T.StringType():
+        sent, text = sent.drop("_text"), inner[kept.index(text_col)]  # the text goes through once
     types = {f.name: f.dataType for f in sent.schema.fields}
     schema = ", ".join(f"`{i}` {types[i].simpleString()}" for i in inner) + ", _lang string, _score double"
-    out = sent.mapInArrow(C.frugal(predict(network, inner)), schema.lstrip(", "))
+    out = sent.mapInArrow(C.frugal(predict(network, inner, text)), schema.lstrip(", "))
     return out.select(*[F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)], F.col("_lang").alias(lang), F.col("_score").alias(score))
 
 
@@ -214,5 +230,5 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
     """Learns from the documents that are not held out, and predicts all."""
     docs = C.table(spark, sf_dir, "documents")
     network = fit(docs.where(~held_out(F.col("doc_id"))))
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return identify(rows, network).drop("text")
+    found = identify(docs, network, keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

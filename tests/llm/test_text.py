@@ -103,6 +103,58 @@ def test_language_without_labels(spark):
     assert L.identify(df, L.fit(df)).first()["lang_pred"] == "und"
 
 
+def plain_scores(network, text):
+    """Language and score by loops: embedded bytes times filters at each place, maximum, softmax, mean by letters."""
+    data, total, letters = text.encode(), np.zeros(len(network.languages)), 0
+    for begin in range(0, len(data), L.WINDOW):
+        window = data[begin : begin + L.WINDOW].ljust(L.WINDOW, b"\0")
+        pooled = []
+        for table in network.tables:
+            places = range(L.WINDOW - len(table) + 1)
+            pooled += [max(sum(float(table[k][window[p + k], f]) for k in range(len(table))) for p in places) for f in range(L.FILTERS)]
+        z = np.maximum(np.array(pooled) + network.bias, 0) @ network.weights + network.last_bias
+        p = np.exp(z - z.max())
+        own = sum(bytes([b]).isalpha() or b >= 128 for b in window)
+        total += own * p / p.sum()
+        letters += own
+    return network.languages[total.argmax()], total.max() / letters
+
+
+def test_language_against_plain_convolution(spark):
+    """A whole text, a very long one, repeated rows and rows that share an id, window by window in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    network = L.fit(docs.where(~L.held_out(F.col("doc_id"))))
+    some = [t for (t,) in docs.where("doc_id % 60 = 2").select("text").collect() if t]
+    texts = [some[0], some[1][:90] + " 123", "".join(t + "\n" for t in some[:4])[:6000], "x", "ünïcode"]
+    long = (some[0] + " ") * 2000
+    rows = [(k % 2, t, 7) for k, t in enumerate([*texts, *texts, long])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text int")
+    got = L.identify(df, network).collect()
+    assert len(got) == len(rows) and {r._text for r in got} == {7}
+    for text in texts:
+        lang, score = plain_scores(network, text)
+        own = [r for r in got if r.text == text]
+        assert len(own) == 2 and all(r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4) for r in own)
+    assert [r.lang_pred for r in got if r.text == long] == [plain_scores(network, some[0])[0]]
+    narrow = L.identify(df, network, keep=["doc_id"])
+    assert narrow.columns == ["doc_id", "lang_pred", "score"]
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in narrow.collect()) == sorted((r.doc_id, r.lang_pred, r.score) for r in got)
+
+
+def test_sample_of_the_network_is_bounded(spark, monkeypatch):
+    """Rows that share an id or have none, and many labels, send no more to the driver than the bounds say."""
+    seen = {}
+    monkeypatch.setattr(L, "train", lambda windows, labels, languages: seen.update(n=len(windows), languages=languages))
+    monkeypatch.setattr(L, "MOST_ROWS", 120)
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 6)
+    rows = [(None if k % 2 else 5, f"text {k if k % 4 else 0} of the sample", f"l{k % 3}") for k in range(3000)] + [(k, "odd label", f"odd{k:03d}") for k in range(200)]
+    L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen["languages"] == ["l0", "l1", "l2", "odd000", "odd001", "odd002"] and 0 < seen["n"] <= 240
+    rows = [(k, f"text {k}", f"l{k % 3}") for k in range(3000)]
+    L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 80 <= seen["n"] <= 160 and len(seen["languages"]) == 3
+
+
 def test_windows_hold_every_byte():
     data = np.arange(1, 200, dtype=np.uint8).repeat(5)[:700]
     offsets = np.array([0, 0, 300, 556, 700])

@@ -98,6 +98,12 @@ def broadcast_if_small(df: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as the session shuffles to, for groups that cost time rather than bytes:
+    adaptive execution puts small partitions together only where it was not told their number."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def default_slices(df: DataFrame) -> int:
     """How many ordered slices a prefix computation is cut into."""
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -135,16 +135,11 @@ def _(spark, sf):
 @query("s09_event_folder", sql("select app, event, ts_ms, row_number() over (partition by app order by ts_ms, event_id) - 1 as line, 3::BIGINT as reads from ev", "ev"))
 def _(spark, sf):
     """Log files of all apps, read with splits of three sizes: every line has the same number each time."""
-    folder, name = new_folder(spark), "spark.sql.files.maxPartitionBytes"
+    folder, reads = new_folder(spark), None
     L.write_event_logs(event_log(spark, sf), folder).count()
-    size, reads = spark.conf.get(name), None
-    try:
-        for split in ("4k", "9k", size):
-            spark.conf.set(name, split)
-            read = stored(L.event_log(spark, folder))
-            reads = read if reads is None else reads.union(read)
-    finally:
-        spark.conf.set(name, size)
+    for split in ("4k", "9k", spark.conf.get("spark.sql.files.maxPartitionBytes")):
+        read = stored(L.event_log(spark, folder, split))
+        reads = read if reads is None else reads.union(read)
     return reads.groupBy("app", "event", "ts_ms", F.col("event_id").alias("line")).agg(F.count("*").alias("reads"))
 
 

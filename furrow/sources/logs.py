@@ -7,6 +7,7 @@ from another table go through the same parsing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,18 +39,39 @@ def event_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+@contextmanager
+def cut_into(spark: SparkSession, size: str | None):
+    """Files that are read inside are cut into splits of at most ``size``, and splits are put together into a few tasks
+    for each shuffle partition, so that small splits are not as many tasks; None leaves the session as it is."""
+    if size is None:
+        yield
+        return
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.maxPartitionNum": str(tasks)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def numbered_lines(spark: SparkSession, path: str | Sequence[str], split_size: str | None = None) -> DataFrame:
     """``file, line, value``: every line of the files with its number in its file, from 0.
 
     The number does not depend on how files are cut into splits and splits into tasks. Lines are read once and written
     with the split that they came from and their place among the rows of their task; splits then follow one another by
-    their first byte, and what moves between tasks is one row for each split.
+    their first byte, and what moves between tasks is one row for each split. ``split_size`` holds for the files alone:
+    the tables that are written on the way are read as the session says.
     """
     split = ["file", "_start"]
-    rows = stored(spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"), "value",
-    ))
+    with cut_into(spark, split_size):
+        rows = stored(spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_id"), "value",
+        ))
     # a split is read by one task without a break, so its rows have consecutive ids
     splits = rows.groupBy(*split).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,10 +80,10 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return joined.select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
 
 
-def event_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def event_log(spark: SparkSession, path: str | Sequence[str], split_size: str | None = None) -> DataFrame:
     """Logs of a folder; the app is the file name, and files with an extension are skipped. ``event_id`` is the number
     of the line, so events of one time stay in the order of the file."""
-    lines = numbered_lines(spark, path).withColumn("app", F.substring_index("file", "/", -1))
+    lines = numbered_lines(spark, path, split_size).withColumn("app", F.substring_index("file", "/", -1))
     return event_lines(lines.where(~F.col("app").contains(".")).select("value", "app", F.col("line").alias("event_id")))
 
 

@@ -155,6 +155,19 @@ def test_line_numbers_do_not_follow_splits(spark, tmp_path, split):
     assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(v)) for k, v in texts.items()}
 
 
+def test_small_splits_are_few_tasks(spark, tmp_path):
+    """Thousands of splits are read by a few tasks, and their size does not reach the tables written on the way."""
+    for k in range(3):
+        (tmp_path / f"app-{k}").write_text("".join(f"line {n} of {k}\n" for n in range(3000)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    rows = logs.numbered_lines(spark, str(tmp_path), "50b")
+    got = {(r["file"][-1], r["line"], r["value"]) for r in rows.collect()}
+    assert got == {(str(k), n, f"line {n} of {k}") for k in range(3) for n in range(3000)}
+    assert spark.conf.get(name) == before and spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
+    assert len(rows.inputFiles()) <= 2 * 4 * 4 + 4
+
+
 def test_written_logs_are_read_in_order(spark, tmp_path):
     """Events of one time stay in the order of their ids, one file an app."""
     events = [("a", T.APP_START, 5, 3), ("a", T.EXECUTOR_ADDED, 5, 4), ("a", T.EXECUTOR_REMOVED, 5, 9), ("b", T.APP_END, 1, 1), (None, T.APP_END, 1, 2)]

@@ -1,6 +1,7 @@
 """Neighbours, clusters, homographies and the registration job."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,30 @@ def test_noise_ends_early_and_all_matches_vote(spark):
     assert {r["n_matches"] for r in votes.values()} == {3000} and votes["g3"]["hits"] > 2600 and votes["g1"]["hits"] > 550
 
 
+def test_python_gets_matches_by_number(spark):
+    """A batch for Python holds a bounded number of matches, however many blocks and groups there are, and their votes are whole."""
+    rows = [r for k in range(60) for r in matched(spark, n=500, group=f"g{k}", seed=k)[0]]
+    usable = G._blocks(spark.createDataFrame(rows, MATCHES).coalesce(1)).coalesce(1)
+    tries = [*TRUE, *np.eye(3).ravel()]
+    found = usable.select("group_key", "band").distinct().withColumn("tries", F.array(*[F.lit(float(v)) for v in tries])).withColumn("norm", F.lit(None))
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        opened = G._opened(usable.join(found, G.KEYS), "tries")
+        sizes = opened.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]}) for b in batches), "n BIGINT, bytes BIGINT")
+        n, largest = sizes.agg(F.sum("n"), F.max("bytes")).first()
+        votes = {r["group_key"]: r for r in G.best_votes(usable, found, G.REPROJECTION).collect()}
+        plan = G.best_votes(usable, found, G.REPROJECTION)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert n == 30_000 and largest < 700 * 8 * (len(tries) + 20)
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    for k in range(60):
+        p = np.array([r[3:] for r in rows if r[0] == f"g{k}"])
+        hits = (G._residuals(np.array(tries), p) <= G.REPROJECTION**2).sum(axis=1)
+        assert votes[f"g{k}"]["hits"] == hits.max() and votes[f"g{k}"]["n_matches"] == 500
+
+
 def test_all_members_stay(spark):
     rows = [("a", b % 7 + 1, f"n{b:05d}", float(b)) for b in range(5000)] + [("b", 1, "n", 1.0), ("b", 1, "n", 1.0)]
     df = spark.createDataFrame(rows, "group_key STRING, band INT, name STRING, v DOUBLE")

@@ -80,11 +80,10 @@ def _(spark, sf):
         from (select app, ts_ms as from_ms, executors, greatest((coalesce(next_ms, ts_ms + 1000) - ts_ms + 999) // 1000, 1)::BIGINT as steps
           from timeline where app like 'other%'))) group by 1, 2""", "timeline"))
 def _(spark, sf):
-    """The seconds of the jobs of one kind, opened and counted for each day."""
+    """The seconds of the jobs of one kind, counted for each day."""
     chosen = T.executor_timeline(event_log(spark, sf).where(F.col("app").startswith("other")))
-    each = T.opened_steps(T.intervals(chosen))
-    day = F.floor(F.col("at_ms") / F.lit(86400000)).cast("long").alias("day")
-    return each.groupBy("app", day).agg(F.count("*").alias("seconds"), F.max("executors").alias("peak"))
+    each = T.steps_per_bin(T.intervals(chosen), 86400000)
+    return each.groupBy("app", F.col("bin").alias("day")).agg(F.sum("steps").alias("seconds"), F.max("executors").alias("peak"))
 
 
 @query("a19_job_times", sql("select *, round(waiting + execution, 3) as total from jobsecs", "jobsecs"))

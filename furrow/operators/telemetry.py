@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from furrow.functions.stats import normal_cdf, normal_pdf
 from furrow.functions.text import bytes_to_kb, job_code, wall_clock, whole_seconds
 from furrow.operators.ordered import SLICE, across, inside, null_safe_join, rank_within, sliced
-from furrow.session import broadcast_if_small, materialize
+from furrow.session import broadcast_if_small, default_slices, materialize
 
 # The four listener events that make up an executor timeline.
 APP_START = "SparkListenerApplicationStart"
@@ -143,10 +143,27 @@ def intervals(timeline: DataFrame, step_s: int = 1) -> DataFrame:
 def opened_steps(spans: DataFrame, step_s: int = 1) -> DataFrame:
     """One row for each step of the intervals: ``app, event_id, at_ms, executors``. The rows are made where they are
     read; filters on app or time belong before this call."""
-    steps = counted_out(spans, "steps", "_k")
+    # a few rows of intervals are many steps, and adaptive execution would leave them in few tasks
+    steps = counted_out(spans.repartition(default_slices(spans)), "steps", "_k")
     return steps.select("app", "event_id", (F.col("from_ms") + F.col("_k") * (step_s * 1000)).alias("at_ms"), "executors")
 
 
+def steps_per_bin(spans: DataFrame, bin_ms: int, step_s: int = 1) -> DataFrame:
+    """``app, event_id, bin, steps, executors``: how many steps of each interval begin in each bin of ``bin_ms``, the bin
+    that starts at 0 being number 0. One row for each interval and bin that has any: steps are counted from where a bin
+    cuts the interval, so the work does not depend on how short a step is. An interval without a time is in no bin (NULL)."""
+    step, width = step_s * 1000, F.lit(bin_ms)
+    bin_of = lambda at: F.floor(at / width).cast("long")
+    first, last = bin_of(F.col("from_ms")), bin_of(F.col("from_ms") + (F.col("steps") - 1) * step)
+    cut = counted_out(spans.withColumns({"_first": first, "_bins": F.coalesce(last - first + 1, F.lit(1).cast("long"))}), "_bins", "_k")
+    cut = cut.withColumn("bin", F.col("_first") + F.col("_k"))
+    # number of the first step at or after the start of this bin, and of the next one; NULL is left out of least and greatest
+    before = F.expr(f"(greatest(bin * {bin_ms}L - from_ms, 0L) + {step - 1}) div {step}")
+    upto = F.expr(f"((bin + 1) * {bin_ms}L - from_ms + {step - 1}) div {step}")
+    steps = F.least("steps", upto) - F.when(F.col("bin").isNull(), 0).otherwise(before)
+    return cut.select("app", "event_id", "bin", steps.alias("steps"), "executors").where("steps > 0")
+
+
 def filled(timeline: DataFrame, step_s: int = 1) -> DataFrame:
     """One row per step between an event and the next one, with the current count."""
     return opened_steps(intervals(timeline, step_s), step_s)

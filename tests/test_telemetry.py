@@ -1,6 +1,7 @@
 """Gap runs, intervals and spans against plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,18 @@ def test_intervals(spark):
         assert {i: sorted(t) for i, t in opened.items()} == want
 
 
+def test_steps_per_bin(spark):
+    """Counts of steps are those of the opened ones, for bins longer and shorter than a step; no single step is made."""
+    rows = [("a", 0, 0, 1, 2500), ("a", 1, 2500, 2, 2500), ("a", 2, 2500, 3, 9999), ("a", 3, 9999, 2, 20_000), ("a", 4, -4100, 1, 3700), ("b", 5, 7, 1, None), ("b", 6, None, 4, 9), (None, 7, 5, 2, 8005)]
+    line = spark.createDataFrame(rows, "app STRING, event_id BIGINT, ts_ms BIGINT, executors BIGINT, next_ms BIGINT")
+    for step, width in ((1, 4000), (1, 3333), (2, 5000), (3, 700)):
+        want = Counter((r["app"], r["event_id"], None if r["at_ms"] is None else r["at_ms"] // width, r["executors"]) for r in T.filled(line, step).collect())
+        got = {(r["app"], r["event_id"], r["bin"], r["executors"]): r["steps"] for r in T.steps_per_bin(T.intervals(line, step), width, step).collect()}
+        assert got == want
+    ages = spark.createDataFrame([("a", 1, 0, 1, 10**15)], line.schema)
+    assert T.steps_per_bin(T.intervals(ages), 10**13).agg(F.count("*"), F.sum("steps")).first()[:] == (100, 10**12)
+
+
 SPANS = [("all", -10, 10_000), ("one", 500, 500), ("left", -100, 17), ("odd", 1, 2999), ("even", 1024, 2047), ("late", 5999, 5999), ("none", 7000, 9000),
          ("back", 50, 40), ("open", None, 10), ("ends", 10, None), ("same", 100, 4000), ("sama", 100, 4000)]
 

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.catalog import QUERIES
 from furrow.operators import telemetry as T
 
 
@@ -121,6 +122,26 @@ def test_steps_per_bin(spark):
     assert T.steps_per_bin(T.intervals(ages), 10**13).agg(F.count("*"), F.sum("steps")).first()[:] == (100, 10**12)
 
 
+def test_timeline_is_filled_by_seconds(spark, tmp_path):
+    """The query opens every second of every app, on the times of the table."""
+    kinds = {"signup": 0, "purchase": 1, "error": -1, "view": 0}
+    rows = [(1, "2024-01-01 00:00:10.250", 3, "signup"), (2, "2024-01-01 00:59:58.000", 3, "purchase"), (4, "2024-01-01 02:00:01.500", 3, "view"), (5, "2024-01-01 01:00:00.000", 8, "purchase")]
+    df = spark.createDataFrame(rows, "event_id BIGINT, ts STRING, user_id BIGINT, event_type STRING").withColumns({"ts": F.to_timestamp("ts"), "value": F.lit(1.0)})
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    start = 1_704_067_200_000
+    lines = [("other_3", 1, 10_250, 3_598_000, 0), ("other_3", 2, 3_598_000, 7_201_500, kinds["purchase"]), ("other_3", 4, 7_201_500, 7_202_500, 0), ("imageClustering_8", 5, 3_600_000, 3_601_000, 1)]
+    want = {}
+    for app, event, lo, hi, executors in lines:
+        for at in range(start + lo, start + hi, 1000):
+            want.setdefault((app, at // 3_600_000), []).append((at, executors, event))
+    got = {(r["app"], r["hour"]): r[2:] for r in QUERIES["w07_filled_timeline"](spark, str(tmp_path)).collect()}
+    assert got == {
+        k: (len(v), min(at for at, *_ in v), max(at for at, *_ in v), min(e for _, e, _ in v), max(e for _, e, _ in v), sum(e for _, e, _ in v),
+            sum(e * (at // 1000 % 3600) for at, e, _ in v), sum(i for *_, i in v))
+        for k, v in want.items()
+    }
+
+
 SPANS = [("all", -10, 10_000), ("one", 500, 500), ("left", -100, 17), ("odd", 1, 2999), ("even", 1024, 2047), ("late", 5999, 5999), ("none", 7000, 9000),
          ("back", 50, 40), ("open", None, 10), ("ends", 10, None), ("same", 100, 4000), ("sama", 100, 4000)]
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from functools import wraps
 
 import numpy as np
@@ -20,15 +21,22 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
-# Rows of an Arrow batch; documents are kilobytes, and a task holds a batch on both sides.
-BATCH_ROWS = 2000
+# Rows of an Arrow batch and its bytes, which long texts reach first; a task holds a batch on both sides.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets the session send batches of ``BATCH_ROWS`` to Python, unless it was told to send fewer."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lets the session send batches of ``BATCH_ROWS`` and ``BATCH_BYTES`` to Python, unless it was told to send fewer."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < bytes_in(spark.conf.get(name, str(most + 1))) <= most:
+            spark.conf.set(name, str(most))
+
+
+def bytes_in(setting: str) -> int:
+    """A number with or without a unit, such as ``64MB``; -1 is none."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,8 +44,10 @@ SIZE_TYPES = ["<i8", "<i4"]  # id, number of shingles
 WHOLE_TYPES = ["<u8", "<u8", "<i8", "<i4", ("u1", BITS // 8)]  # digest of a set, id, number of shingles, bitmap
 SEEDS = 12  # after so many seeds sets with empty parts also meet in those
 TILE = 1500  # documents in a tile
-SHINGLES = 4_000_000  # and shingles, on average
+SHINGLES = 2_000_000  # and shingles, on average
 FEW = 500  # rows of small pairs that are compared in one call
+FEW_BYTES = 8 << 20  # and their bytes, about
+AT_ONCE = 1 << 20  # elements of sets that are laid side by side at a time
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -180,6 +182,16 @@ def expand(offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
     return offsets[chosen][row] + inside, row
 
 
+def in_parts(size: np.ndarray, most: int = AT_ONCE):
+    """Ranges ``first, last`` of sets with at most ``most`` elements together; a larger set stands alone."""
+    ends, first = np.cumsum(size), 0
+    while first < len(size):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield first, last
+        first = last
+
+
 def stars(ids: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First record of each key, and the edges from its id to the other ids of the key."""
     order = np.lexsort((ids, *key))
@@ -253,31 +265,42 @@ def meet_parts(group: pa.Table) -> pa.Table:
 
 def in_turn(compare):
     """Calls ``compare`` with whole pairs of tiles from batches in order of ``pair``: with one pair, or with small ones
-    up to ``FEW`` rows before the last of them."""
+    up to ``FEW`` rows or ``FEW_BYTES`` before the last of them."""
 
     def called(held):
         group = pa.Table.from_batches(held)
+        large = group.nbytes > FEW_BYTES
         yield from compare(group).to_batches()
-        if group.nbytes > 1 << 24:
+        if large:
+            del group
+            held.clear()
             C.release()
 
     def run(batches):
-        held, rows, last = [], 0, None
+        held, rows, taken, last = [], 0, 0, None
         for batch in batches:
-            begin = 0
+            begin, ends = 0, row_ends(batch)
             for k, pair in enumerate(batch.column("pair").to_pylist()):
-                if pair != last and rows + k - begin >= FEW:
-                    yield from called([*held, batch.slice(begin, k - begin)])
-                    held, rows, begin = [], 0, k
+                if pair != last and (rows + k - begin >= FEW or taken + ends[k] - ends[begin] >= FEW_BYTES):
+                    ready, held, rows, taken = [*held, batch.slice(begin, k - begin)], [], 0, 0
+                    begin = k
+                    yield from called(ready)
                 last = pair
             held.append(batch.slice(begin))
-            rows += len(batch) - begin
+            rows, taken = rows + len(batch) - begin, taken + ends[-1] - ends[begin]
         if rows:
             yield from called(held)
 
     return run
 
 
+def row_ends(batch: pa.RecordBatch) -> list[int]:
+    """The n + 1 offsets of the rows' texts, or zeros where they have none."""
+    if "text" not in batch.schema.names:
+        return [0] * (len(batch) + 1)
+    return bytes_of(batch.column("text"))[1].tolist()
+
+
 def by_pair(group: pa.Table, size: np.ndarray, classes) -> pa.Table:
     """Edges from the least id of each class that ``classes(rows, side)`` finds in a pair of tiles; rows come in
     order of size."""
@@ -323,14 +346,18 @@ def compare_texts(words: int, bands: Bands):
                 offsets.append(ends[1:] + total)
                 total += len(values)
         values, offsets = np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate(offsets)
+        parts.clear()
         size = np.diff(offsets)
 
         def classes(rows, side):
             def overlap(i, others):
-                mine = values[offsets[rows[i]] : offsets[rows[i] + 1]]
-                take, row = expand(offsets, rows[others])
-                at = np.minimum(np.searchsorted(mine, values[take]), len(mine) - 1)
-                return np.bincount(row, weights=mine[at] == values[take], minlength=len(others))
+                mine, common = values[offsets[rows[i]] : offsets[rows[i] + 1]], []
+                for first, last in in_parts(size[rows[others]]):
+                    take, row = expand(offsets, rows[others[first:last]])
+                    theirs = values[take]
+                    at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                    common.append(np.bincount(row, weights=mine[at] == theirs, minlength=last - first))
+                return np.concatenate(common)
 
             bits = bits_for(max(1, int(size[rows].max(initial=1))))
             return link(bands, size[rows], side, bitmaps(values, offsets, rows, bits), overlap)
@@ -343,13 +370,12 @@ def compare_texts(words: int, bands: Bands):
 def bitmaps(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Parities of the hashed shingles of each set, ``bits`` of them, which is a power of two."""
     out = np.zeros((len(rows), bits // 64), np.uint64)
-    step = max(1, (1 << 22) // bits)
-    for first in range(0, len(rows), step):
-        part = rows[first : first + step]
+    for first, last in in_parts(np.maximum(offsets[rows + 1] - offsets[rows], bits)):
+        part = rows[first:last]
         take, row = expand(offsets, part)
         place = row * bits + (values[take] & np.uint64(bits - 1)).astype(np.int64)
         odd = (np.bincount(place, minlength=len(part) * bits) & 1).astype(np.uint8)
-        out[first : first + step] = np.packbits(odd.reshape(len(part), bits), axis=1).view(np.uint64)
+        out[first:last] = np.packbits(odd.reshape(len(part), bits), axis=1).view(np.uint64)
     return out
 
 

@@ -156,6 +156,63 @@ def test_copies_and_ids_with_several_texts(table_of):
     assert got == collections.Counter((i, root[i]) for i, _ in rows)
 
 
+def test_sets_are_laid_side_by_side_in_parts(monkeypatch):
+    """One set meets all others of its tile a bounded number of shingles at a time; the classes stay the same."""
+    import pyarrow as pa
+
+    base = [f"t{j}" for j in range(300)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k:]]) for k in range(30)] + [" ".join(f"u{k}w{j}" for j in range(300)) for k in range(10)]
+    group = pa.table({"pair": ["p"] * 40, "side": pa.array([0] * 40, pa.int32()), "id": list(range(40)), "text": texts})
+    once = N.compare_texts(5, N.Bands(80, 100))(group)
+    most, expand = [], N.expand
+
+    def counted(*args):
+        found = expand(*args)
+        most.append(len(found[0]))
+        return found
+
+    monkeypatch.setattr(N, "expand", counted)
+    monkeypatch.setattr(N.in_parts, "__defaults__", (2000,))
+    assert N.compare_texts(5, N.Bands(80, 100))(group).equals(once) and once.num_rows == 29
+    assert max(most) <= 2000
+
+
+def test_pairs_with_long_texts_are_not_put_together():
+    """Small pairs are compared in one call up to some megabytes of text, whatever the number of their rows."""
+    import pyarrow as pa
+
+    calls = []
+
+    def compare(group):
+        calls.append((group.num_rows, sorted(set(group.column("pair").to_pylist()))))
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    rows = [(f"{k:03}", "x" * (1 << 20)) for k in range(40) for _ in range(2)]
+    batches = [pa.RecordBatch.from_pylist([{"pair": p, "text": t} for p, t in rows[i : i + 7]]) for i in range(0, 80, 7)]
+    assert not any(b.num_rows for b in N.in_turn(compare)(iter(batches)))
+    assert sum(n for n, _ in calls) == 80 and max(n for n, _ in calls) <= 10
+    assert [p for _, pairs in calls for p in pairs] == [f"{k:03}" for k in range(40)]
+
+
+def test_long_texts_make_small_batches(spark):
+    import pyarrow as pa
+
+    C.small_batches(spark)
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    long = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('abcdefghij', 60000) as text")
+    found = [r.n for r in long.mapInArrow(rows, "n long").collect()]
+    assert sum(found) > 60 * 600_000 and max(found) < C.BATCH_BYTES + (1 << 20)
+
+
+@pytest.mark.parametrize(("setting", "number"), [("10000", 10000), ("67108864b", 64 << 20), ("64MB", 64 << 20), ("8m", 8 << 20), ("-1", -1)])
+def test_settings_with_units(setting, number):
+    assert C.bytes_in(setting) == number
+
+
 def test_pairs_of_tiles_are_held_one_after_another(monkeypatch):
     import pyarrow as pa
 

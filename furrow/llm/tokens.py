@@ -25,15 +25,17 @@ AFTER = r"!-~\x{a1}-\x{2ff}\x{370}-\x{482}\x{48a}-\x{590}"
 # A text with white space that something else follows is cut one by one, by CUT.
 ODD = f"[ \\n]([^{AFTER}]|$)"
 CUT = re.compile(r" (?=[!-~¡-˿Ͱ-҂Ҋ-֐])")
-# A word of Latin letters with a line feed before it or a mark after it; the vocabularies cut between them.
-WORD = "^(?P<feed>\\n?)(?P<word> ?[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+)(?P<mark>[.,]?)$"
-PLAIN_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
-# Pieces a worker remembers; beyond that it forgets all and starts anew. No text is treated differently for it.
-REMEMBERED = 400_000
+# A word of Latin letters with a line feed before it or marks after it; the vocabularies cut between them. An apostrophe
+# is no mark, since they keep it with the letters of a contraction.
+LETTERS = "[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+"
+WORD = f"^(?P<feed>\\n?)(?P<word> ?{LETTERS})(?P<mark>[!-&(-/:-@\\[-`{{-~]*)$"
+PLAIN_WORD = f"^ {LETTERS}$"
+# Pieces and words a worker remembers; beyond that it forgets all and starts anew. No text is treated differently for it.
+REMEMBERED = 1_000_000
 
 
 class Known:
-    """Strings and their ids, in Arrow and numpy arrays: 400,000 take some 20 MB."""
+    """Strings and their ids, in Arrow and numpy arrays: a million take some 50 MB."""
 
     def __init__(self, dtype: np.dtype):
         self.strings = pa.array([], pa.string())
@@ -97,21 +99,27 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        # tokens that can only begin a word with a space before it, or only end one
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.first, self.last = np.zeros(size, bool), np.zeros(size, bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.first[number] = token.startswith("Ġ")
+            self.last[number] = bool(suffix) and token.endswith(suffix)
         self.pieces, self.words = Known(self.dtype), Known(self.dtype)
 
     def _learn_words(self, words: pa.Array) -> np.ndarray:
         """Encodes words that aren't known, and returns the order in which it notes them. Those that begin
         with a space are encoded side by side."""
         listed = words.to_pylist()
-        side = np.array([bool(PLAIN_WORD.fullmatch(w)) for w in listed], bool)
+        side = pc.match_substring_regex(words, PLAIN_WORD).to_numpy(zero_copy_only=False)
         order = np.concatenate((np.flatnonzero(side), np.flatnonzero(~side)))
         plain = [listed[i] for i in np.flatnonzero(side).tolist()]
         pools, counts = [], []
         for first in range(0, len(plain), 1000):
             part = plain[first : first + 1000]
-            found = self.tokenizer.encode_batch(["".join(part)], add_special_tokens=False)[0]
-            pools.append(np.array(found.ids, self.dtype))
-            counts.append(np.bincount(found.word_ids, minlength=len(part)))
+            ids, count = self._side_by_side(part)
+            pools.append(ids)
+            counts.append(count)
         others = [listed[i] for i in np.flatnonzero(~side).tolist()]
         for found in self.tokenizer.encode_batch_fast(others, add_special_tokens=False):
             pools.append(np.array(found.ids, self.dtype))
@@ -121,6 +129,18 @@ class Encoder:
             self.words.add(strings, np.concatenate(pools), np.concatenate(counts).astype(np.int64))
         return order
 
+    def _side_by_side(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that each begin with a space, and how many each has. The words' first or last tokens tell
+        where they part, so the library need not note the place of each token."""
+        text = ["".join(words)]
+        ids = np.array(self.tokenizer.encode_batch_fast(text, add_special_tokens=False)[0].ids, self.dtype)
+        for edge, last in ((self.first, 0), (self.last, 1)):
+            cuts = np.flatnonzero(edge[ids])
+            if len(cuts) == len(words) and (cuts[-1] == len(ids) - 1 if last else cuts[0] == 0):
+                return ids, np.diff(cuts, prepend=-1) if last else np.diff(cuts, append=len(ids))
+        found = self.tokenizer.encode_batch(text, add_special_tokens=False)[0]
+        return np.array(found.ids, self.dtype), np.bincount(found.word_ids, minlength=len(words))
+
     def _learn(self, pieces: pa.Array) -> None:
         """Takes pieces apart into line feed, word and mark, and notes the ids of each whole piece."""
         taken = pc.extract_regex(pieces, WORD)

@@ -41,6 +41,36 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [ids_of(NAMES[0], t) for t in texts]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_words_side_by_side(name):
+    """Words part at their first or last tokens; the library's slower call, which notes every place, is not needed."""
+    encoder = Encoder(vocabulary_path(name))
+    words = [" " + w for w in ("Wort", "straße", "ÉTÉ", "été", "a", "I", "Ærøskøbing", "don", "ÿÿÿ", "xqzwvkj" * 9)]
+    plain = encoder.tokenizer
+    want = [plain.encode(w, add_special_tokens=False).ids for w in words]
+
+    class Fast:
+        encode_batch_fast = plain.encode_batch_fast
+
+    encoder.tokenizer = Fast()
+    ids, count = encoder._side_by_side(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
+    # without marks in the vocabulary, the places tell the same
+    encoder.tokenizer = plain
+    encoder.first[:] = encoder.last[:] = False
+    ids, count = encoder._side_by_side(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_marks_after_a_word_make_no_other_word(name):
+    encoder = Encoder(vocabulary_path(name))
+    texts = ["x " + " ".join("wort" + m for m in ("", ",", "$$$", ",%%%", "!!", "...", '"', "|~", "()[]", "'", "'s", "-a"))]
+    ids, _ = encoder.encode(pa.array(texts))
+    assert ids.tolist() == ids_of(name, texts[0])
+    assert sum(w.startswith(" wort") for w in encoder.words.strings.to_pylist()) == 4  # the plain one, two apostrophes, one hyphen
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

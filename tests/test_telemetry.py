@@ -163,6 +163,21 @@ def test_rows_in_spans(spark):
     assert T.rows_in_spans(spans, frame(spark, [])).count() == 0 and T.rows_in_spans(spans.limit(0), frame(spark, rows)).count() == 0
 
 
+def test_rows_in_spans_in_runs(spark):
+    """A span comes once for each tile, not once for each row; tiles of any size, nulls and equal rows lose nothing."""
+    rows = sparse(4, n=300) + [(5, None, None, None)] * 4 + sparse(4, n=300)[:40]
+    spans = spark.createDataFrame(SPANS + SPANS[:2], "app STRING, lo BIGINT, hi BIGINT")
+    want = sorted(pairs(rows) + [p for name, _, _ in SPANS[:2] for p in pairs(rows) if p[0] == name], key=str)
+    for tile in (1, 7, 256):
+        got = T.rows_in_spans(spans, frame(spark, rows), bin_s=600, bin_points=50, tile=tile).collect()
+        assert sorted(((r["app"], (r["ts"], r["host"], r["metric"], r["value"])) for r in got), key=str) == want
+    points = frame(spark, [(k, "h", "m", float(k)) for k in range(1000)])
+    long = spark.createDataFrame([(f"a{k}", 0, 2000) for k in range(40)], "app STRING, lo BIGINT, hi BIGINT")
+    apps = [r["app"] for r in T.rows_in_spans(long, points, tile=100).collect()]
+    assert len(apps) == 40 * 1000
+    assert 1 + sum(a != b for a, b in zip(apps, apps[1:])) <= 40 * 10
+
+
 def test_span_load(spark):
     rows = sparse(5, n=500)
     spans = spark.createDataFrame(SPANS, "app STRING, lo BIGINT, hi BIGINT")

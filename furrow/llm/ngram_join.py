@@ -10,9 +10,11 @@
    slice, then one of all, stands for them from here on, so a group of copies is one document in every later step.
 3. **Tiles.** Documents that may link form candidate classes (stars, then connected components, never pairs).
    A class is cut into tiles by size band and hash, and pairs of tiles whose sizes fit are compared one after another.
-4. **Bounds.** Each set has a bitmap of the parities of its hashed shingles. Two sets differ at least by the
-   number of bits in which their bitmaps differ; that bounds the overlap from above. Tiles are compared by bitmaps
-   first, 128 bytes a document: documents that only share passages part there, before any text moves.
+4. **Bounds.** Each set has a bitmap of the parities of its hashed shingles, with at least as many bits as shingles. Two
+   sets differ at least by the number of bits in which their bitmaps differ; that bounds the overlap from above. Tiles
+   are compared by bitmaps first, 128 bytes for up to 1024 shingles: documents that only share passages part there, before
+   any text moves. Tiles of bitmaps are larger than those of texts, and a large band has few of them, so that a document
+   comes to few others however many are alike.
 5. **Exact.** What may still link is tiled again, with texts, and intersected exactly, as sorted arrays. Documents
    already in one class are not compared again.
 
@@ -23,7 +25,7 @@ not expanded into pairs.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,14 @@ PART_TYPES = ["<u4", "<u2", "<i8"]  # 48 bits of a part's hash, id
 EDGE_TYPES = ["<i8", "<i8"]
 BITS = 1024
 SIZE_TYPES = ["<i8", "<i4"]  # id, number of shingles
-WHOLE_TYPES = ["<u8", "<u8", "<i8", "<i4", ("u1", BITS // 8)]  # digest of a set, id, number of shingles, bitmap
+WHOLE_TYPES = ["<u8", "<u8", "<i8", "<i4"]  # digest of a set, id, number of shingles; a bitmap comes after them
+MOST_BITS = 1 << 16
+LEVELS = BITS << np.arange((MOST_BITS // BITS).bit_length())  # lengths of bitmaps; records of level k are of kind WHOLE + k
 SEEDS = 12  # after so many seeds sets with empty parts also meet in those
 TILE = 1500  # documents in a tile
 SHINGLES = 2_000_000  # and shingles, on average
+BIT_TILE = 32_768  # most bitmaps in a tile
+BIT_SHINGLES = 16 * SHINGLES  # and shingles of their sets: some 8 MB
 FEW = 500  # rows of small pairs that are compared in one call
 FEW_BYTES = 8 << 20  # and their bytes, about
 AT_ONCE = 1 << 20  # elements of sets that are laid side by side at a time
@@ -223,9 +229,12 @@ def deal_parts(words: int, bands: Bands, n: int):
                 where = np.mod(a, n)
                 yield C.rows(SAME, C.pack(np.argsort(where, kind="stable"), where, [a, b]))
                 where = (whole[one, 0] % np.uint64(n)).astype(np.int64)
-                bits = bitmaps(values, offsets, one)
-                sets = [whole[one, 0], whole[one, 1], ids[one], size[one], bits.view(np.uint8)]
-                yield C.rows(WHOLE, C.pack(np.argsort(where, kind="stable"), where, sets))
+                order = np.argsort(where, kind="stable")
+                for k in np.unique(levels(size[one])).tolist():
+                    own = order[levels(size[one[order]]) == k]
+                    rows = one[own]
+                    sets = [whole[rows, 0], whole[rows, 1], ids[rows], size[rows], bitmaps(values, offsets, rows, int(LEVELS[k])).view(np.uint8)]
+                    yield C.rows(WHOLE + k, C.pack(np.arange(len(own)), where[own], sets))
                 wanted = np.zeros(len(ids), bool)
                 wanted[one] = True
                 key, doc = part_keys(bands, values, offsets, wanted)
@@ -250,16 +259,22 @@ def meet_parts(group: pa.Table) -> pa.Table:
     _, a, b = stars(ids, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
     a2, b2 = C.unpack(C.payloads(group, EDGE), EDGE_TYPES)
     a, b = unique_edges(np.concatenate((a, a2)), np.concatenate((b, b2)))
-    low, high, ids, shingles, bits = C.unpack(C.payloads(group, WHOLE), WHOLE_TYPES)
-    one, same_a, same_b = stars(ids, low, high, shingles)
-    a2, b2 = C.unpack(C.payloads(group, SAME), EDGE_TYPES)
-    same_a, same_b = unique_edges(np.concatenate((same_a, a2)), np.concatenate((same_b, b2)))
+    same, sets, bits = [C.unpack(C.payloads(group, SAME), EDGE_TYPES)], [[np.zeros(0, np.int64)] * 2], []
+    # equal sets have bitmaps of one length
+    for k, length in enumerate(LEVELS.tolist()):
+        low, high, ids, shingles, own = C.unpack(C.payloads(group, WHOLE + k), [*WHOLE_TYPES, ("u1", length // 8)])
+        one, same_a, same_b = stars(ids, low, high, shingles)
+        same.append([same_a, same_b])
+        sets.append([ids[one], shingles[one].astype(np.int64)])
+        bits += [row.tobytes() for row in own[one]]
+    same_a, same_b = unique_edges(*(np.concatenate(c) for c in zip(*same, strict=True)))
+    ids, shingles = (np.concatenate(c) for c in zip(*sets, strict=True))
     doc, size = C.unpack(C.payloads(group, SIZE), SIZE_TYPES)
     return pa.table({
-        "kind": pa.array(np.repeat(np.array([EDGE, SAME, SIZE, WHOLE], np.int32), [len(a), len(same_a), len(doc), len(one)])),
-        "a": pa.array(np.concatenate((a, same_a, doc, ids[one]))),
-        "b": pa.array(np.concatenate((b, same_b, size.astype(np.int64), shingles[one].astype(np.int64)))),
-        "bits": pa.array([None] * (len(a) + len(same_a) + len(doc)) + [row.tobytes() for row in bits[one]], pa.binary()),
+        "kind": pa.array(np.repeat(np.array([EDGE, SAME, SIZE, WHOLE], np.int32), [len(a), len(same_a), len(doc), len(ids)])),
+        "a": pa.array(np.concatenate((a, same_a, doc, ids))),
+        "b": pa.array(np.concatenate((b, same_b, size.astype(np.int64), shingles))),
+        "bits": pa.array([None] * (len(a) + len(same_a) + len(doc)) + bits, pa.binary()),
     })
 
 
@@ -326,13 +341,44 @@ def compare_bitmaps(bands: Bands):
     """Links that the bitmaps do not rule out."""
 
     def run(group: pa.Table) -> pa.Table:
-        size = group.column("size").to_numpy()
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        return by_pair(group, size, lambda rows, side: link(bands, size[rows], side, bits[rows], None))
+        size, bits = group.column("size").to_numpy(), group.column("bits").combine_chunks()
+
+        def classes(rows, side):
+            return link(bands, size[rows], side, folded(bands, size[rows], bits.take(pa.array(rows))), None)
+
+        return by_pair(group, size, classes)
 
     return run
 
 
+def folded(bands: Bands, size: np.ndarray, bits: pa.Array):
+    """Counts the bits in which a set differs from larger ones; sets are in order of size. The bitmap of a larger set is
+    folded to the length of the smaller one's: the parities of bits that fall together are added."""
+    reach, level, data = np.searchsorted(size, bands.largest(size), side="right"), levels(size), bytes_of(bits)[0]
+    cuts = np.searchsorted(level, np.arange(len(LEVELS) + 1))
+    ends = np.concatenate(([0], np.cumsum(LEVELS[level] // 8)))
+    planes = {}
+    for k in np.unique(level).tolist():
+        upto, width = int(reach[cuts[k] : cuts[k + 1]].max(initial=cuts[k + 1])), int(LEVELS[k]) // 64
+        parts = []
+        for j in range(k, len(LEVELS)):
+            first, last = int(min(cuts[j], upto)), int(min(cuts[j + 1], upto))
+            if first < last:
+                own = data[ends[first] : ends[last]].view(np.uint64).reshape(last - first, -1, width)
+                parts.append(np.bitwise_xor.reduce(own, axis=1))
+        planes[k] = cuts[k], np.concatenate(parts)
+
+    def differ(i, others):
+        first, plane = planes[int(level[i])]
+        return differing(plane, i - first, others - first)
+
+    return differ
+
+
+def differing(bitmap: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bitmap[others] ^ bitmap[i]).sum(axis=1, dtype=np.int64)
+
+
 def compare_texts(words: int, bands: Bands):
     """Links between documents, by the intersection of their sets."""
 
@@ -359,8 +405,8 @@ def compare_texts(words: int, bands: Bands):
                     common.append(np.bincount(row, weights=mine[at] == theirs, minlength=last - first))
                 return np.concatenate(common)
 
-            bits = bits_for(max(1, int(size[rows].max(initial=1))))
-            return link(bands, size[rows], side, bitmaps(values, offsets, rows, bits), overlap)
+            bitmap = bitmaps(values, offsets, rows, int(LEVELS[levels(size[rows]).max(initial=0)]))
+            return link(bands, size[rows], side, partial(differing, bitmap), overlap)
 
         return by_pair(group, size, classes)
 
@@ -379,14 +425,15 @@ def bitmaps(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bits: int
     return out
 
 
-def bits_for(size: int) -> int:
-    """Bits that tell unrelated sets of this size apart: as many as shingles, at least ``BITS``."""
-    return min(1 << 16, max(BITS, 1 << int(size - 1).bit_length()))
+def levels(size: np.ndarray) -> np.ndarray:
+    """Place in ``LEVELS`` of the bits that tell unrelated sets of this size apart: at least as many as shingles."""
+    return np.minimum(np.searchsorted(LEVELS, size), len(LEVELS) - 1)
 
 
-def link(bands: Bands, size: np.ndarray, side: np.ndarray, bitmap: np.ndarray, overlap) -> np.ndarray:
+def link(bands: Bands, size: np.ndarray, side: np.ndarray, differ, overlap) -> np.ndarray:
     """Class of each set, in order of size; sets on sides 1 and 2 are compared with the other side only, those on
-    side 0 with all. Without ``overlap``, which measures one set against others, what the bitmaps allow counts."""
+    side 0 with all. ``differ`` counts the bits in which one set's bitmap differs from others. Without ``overlap``, which
+    measures one set against others, what the bitmaps allow counts."""
     n = len(size)
     label = np.arange(n)
     if n < 2 or size[-1] == 0:
@@ -399,8 +446,7 @@ def link(bands: Bands, size: np.ndarray, side: np.ndarray, bitmap: np.ndarray, o
             continue
         total = size[i] + size[other]
         need = bands.overlap(total)
-        differ = np.bitwise_count(bitmap[other] ^ bitmap[i]).sum(axis=1, dtype=np.int64)
-        could = differ <= total - 2 * need
+        could = differ(i, other) <= total - 2 * need
         other, need = other[could], need[could]
         if overlap is not None and len(other):
             other = other[overlap(i, other) >= need]
@@ -437,10 +483,10 @@ def ngram_join(
         return sorted_pieces.mapInArrow(C.frugal(in_turn(compare)), "a long, b long")
 
     classes = connected_components(met.where(F.col("kind") == EDGE).select("a", "b"))
-    tiles = _tiles(classes, largest, bands)
+    tiles = _tiles(classes, largest, bands, BIT_TILE, BIT_SHINGLES)
     pieces = bits.join(tiles, "id").select("pair", "side", "id", "size", "bits")
     classes = connected_components(compared(pieces, compare_bitmaps(bands)))
-    tiles = _tiles(classes, largest, bands)
+    tiles = _tiles(classes, largest, bands, TILE, SHINGLES)
     # a merge join at every size: texts move once, tiles are as many as documents that may link
     pieces = texts.join(tiles.hint("merge"), "id").select("pair", "side", "id", "text")
     # an id with several texts is one node of several sets, so its links to them are links like others
@@ -470,12 +516,12 @@ def _with_copies(found: DataFrame, same: DataFrame) -> DataFrame:
     return found.union(copies).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def _tiles(classes: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame:
+def _tiles(classes: DataFrame, sizes: DataFrame, bands: Bands, most: int, shingles: int) -> DataFrame:
     """``id, pair, side``: the pairs of tiles that each document of a candidate class takes part in.
 
-    A class of at most ``TILE`` documents and ``SHINGLES`` shingles is one tile. A larger one is cut by size band, and a
-    band by hash; a tile meets itself, the other tiles of its band and those of the next band. A document that is alone
-    in its class is in no tile.
+    A class of at most ``TILE`` documents and ``shingles`` shingles is one tile. A larger one is cut by size band, and a
+    band by hash, into four tiles where these have from ``TILE`` up to ``most`` documents; a tile meets itself, the other
+    tiles of its band and those of the next band. A document that is alone in its class is in no tile.
     """
     low = [int(x) for x in bands.low]
     # the band by search in a constant array: the number of edges not above the size
@@ -486,7 +532,8 @@ def _tiles(classes: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame:
     # one row per band, at most some hundred for a class
     of_class = Window.partitionBy("component")
     by_band = of_class.orderBy("band")
-    splits = F.ceil(F.greatest(F.col("docs") / TILE, F.least(F.col("docs"), F.col("shingles") / SHINGLES))).cast("int")
+    tile = F.greatest(F.lit(TILE), F.least(F.lit(most), F.ceil(F.col("docs") / 4)))
+    splits = F.ceil(F.greatest(F.col("docs") / tile, F.least(F.col("docs"), F.col("shingles") / shingles))).cast("int")
     counts = (
         counts.withColumn("splits", splits)
         .withColumn("all_docs", F.sum("docs").over(of_class))
@@ -516,7 +563,7 @@ def _tiles(classes: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame:
     above = F.transform(upto(F.col("next")), lambda j: pairs(b, F.col("split"), b + 1, j, F.lit(1)))
     below = F.transform(upto(F.col("before")), lambda j: pairs(b - 1, j, b, F.col("split"), F.lit(2)))
     whole = F.array(F.struct(F.col("component").cast("string").alias("pair"), F.lit(0).alias("side")))
-    chosen = F.when((F.col("all_docs") <= TILE) & (F.col("all_shingles") <= SHINGLES), whole).otherwise(F.concat(own, above, below))
+    chosen = F.when((F.col("all_docs") <= TILE) & (F.col("all_shingles") <= shingles), whole).otherwise(F.concat(own, above, below))
     return dealt.withColumn("split", split).select("id", F.explode(chosen).alias("p")).select("id", "p.pair", "p.side")
 
 

@@ -145,6 +145,51 @@ def test_equal_sets_are_tiled_once(table_of, monkeypatch):
     assert moved == [2, 2]
 
 
+def test_long_texts_that_share_a_passage_part_by_bitmaps(table_of, monkeypatch):
+    """Bitmaps have as many bits as a set has shingles, so only what may really link is compared by its texts."""
+    moved, tiles = [], N._tiles
+
+    def counted(*args):
+        found = tiles(*args)
+        moved.append(found.count())
+        return found
+
+    monkeypatch.setattr(N, "_tiles", counted)
+    shared = " ".join(f"t{j}" for j in range(1500))
+    rows = [(k, shared + "".join(f" d{k}w{j}" for j in range(1300 + 100 * k))) for k in range(6)]
+    rows += [(10, rows[5][1] + " one more word"), (11, rows[0][1] + " another word")]
+    got = {r.doc_id: r.component_id for r in N.ngram_join(table_of(rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 10: 5, 11: 0}
+    assert moved == [8, 4]
+
+
+def test_bitmaps_come_to_few_tiles(spark, monkeypatch):
+    """A document of a large class comes to a bounded number of tiles of bitmaps, whatever the size of the class."""
+    monkeypatch.setattr(N, "TILE", 2)
+    classes = spark.range(1, 601).selectExpr("id", "1L as component")
+    sizes = spark.range(1, 601).selectExpr("id", "50 + id % 20 as size")
+    moved = N._tiles(classes, sizes, N.Bands(80, 100), N.BIT_TILE, N.BIT_SHINGLES).groupBy("id").count()
+    assert moved.count() == 600 and max(r["count"] for r in moved.collect()) <= 12
+
+
+def test_bitmaps_of_several_lengths_are_folded():
+    """A bitmap folded to fewer bits is that of the same set with fewer bits."""
+    import pyarrow as pa
+
+    random = np.random.default_rng(3)
+    size = np.sort(random.integers(1, 5000, 60))
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    values = np.concatenate([np.sort(random.integers(0, 2**63, n).astype(np.uint64)) for n in size.tolist()])
+    level = N.levels(size)
+    bits = [N.bitmaps(values, offsets, np.array([k]), int(N.LEVELS[level[k]])).tobytes() for k in range(len(size))]
+    differ = N.folded(N.Bands(30, 100), size, pa.array(bits, pa.binary()))
+    for i in range(len(size) - 1):
+        others = np.arange(i + 1, np.searchsorted(size, N.Bands(30, 100).largest(size[i]), side="right"))
+        bitmap = N.bitmaps(values, offsets, np.arange(len(size)), int(N.LEVELS[level[i]]))
+        assert differ(i, others).tolist() == N.differing(bitmap, i, others).tolist()
+    assert len(set(level.tolist())) > 2
+
+
 def test_copies_and_ids_with_several_texts(table_of):
     """Copies hang on two levels of representatives; an id with several texts links the sets of all of them."""
     sets = [" ".join(f"s{k}w{j}" for j in range(30)) for k in range(6)]

@@ -3,8 +3,11 @@
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
+from furrow.session import RELEASE_CONF, stored
+
 SCRIPT = """
 import importlib.util, sys
 spec = importlib.util.spec_from_file_location("entry", sys.argv[1])
@@ -35,3 +38,19 @@ def test_broadcast_goes_by_bytes(spark):
     df = spark.range(BROADCAST_BYTES // 2000)
     plan = lambda d: d._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(broadcast_if_small(df, 1000)) and "broadcast" not in plan(broadcast_if_small(df, 4000))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What a stored table shuffled goes from the disk when it is written; the session's own setting stays."""
+    dirs = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f.name for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(RELEASE_CONF)
+    found = stored(spark.range(1000).selectExpr("id", "id % 7 as k").repartition(5, "id").groupBy("k").count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(RELEASE_CONF) == setting and found.count() == 7

@@ -1,5 +1,7 @@
 """Neighbours, clusters, homographies and the registration job."""
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -41,6 +43,23 @@ def test_nearest_two_is_exact(spark, block):
     assert seen == len(got)
 
 
+def test_descriptors_are_dealt_out_once(spark):
+    """Both sides meet by one exchange each; a third one puts the candidates of a keypoint together."""
+    _, df = described(spark)
+    plan = V.nearest_two(df, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_matches_in_turns_are_all_matches(spark):
+    rows, df = described(spark, 40)
+    more = df.unionByName(df.withColumn("group_key", F.concat("group_key", F.lit("2")))).withColumn("desc", F.transform("desc", lambda v, i: v + i * F.col("kp") / 100))
+    whole = collections.Counter(map(tuple, V.ratio_matches(V.nearest_two(more, 1), 0.9).collect()))
+    assert len(whole) > 20
+    for turn_bytes in (1 << 30, 2000):
+        assert collections.Counter(map(tuple, V.matches_in_turns(more, 1, 0.9, turn_bytes).collect())) == whole
+    assert not V.matches_in_turns(more.limit(0), 1).collect()
+
+
 def test_single_target_has_one_neighbour(spark):
     df = spark.createDataFrame(
         [("g", 1, 0, [0.0, 0.0]), ("g", 2, 0, [3.0, 4.0]), ("g", 2, 1, None)], "group_key STRING, band INT, kp BIGINT, desc ARRAY<FLOAT>"

@@ -260,8 +260,11 @@ def meet_parts(group: pa.Table) -> pa.Table:
     a2, b2 = C.unpack(C.payloads(group, EDGE), EDGE_TYPES)
     a, b = unique_edges(np.concatenate((a, a2)), np.concatenate((b, b2)))
     same, sets, bits = [C.unpack(C.payloads(group, SAME), EDGE_TYPES)], [[np.zeros(0, np.int64)] * 2], []
+    kinds = set(group.column("kind").to_pylist())
     # equal sets have bitmaps of one length
     for k, length in enumerate(LEVELS.tolist()):
+        if WHOLE + k not in kinds:
+            continue
         low, high, ids, shingles, own = C.unpack(C.payloads(group, WHOLE + k), [*WHOLE_TYPES, ("u1", length // 8)])
         one, same_a, same_b = stars(ids, low, high, shingles)
         same.append([same_a, same_b])
